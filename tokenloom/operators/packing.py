@@ -107,8 +107,11 @@ def pack_numbers(packs: DataFrame, shard_order: DataFrame | None = None) -> Data
 
     Only per-shard counts are ordered; packs keep their partitions.
     """
-    order = shard_order if shard_order is not None else order_shards(packs)
-    counts = packs.groupBy("split", "shard").agg((F.max("pack") + 1).alias("packs")).join(order, ["split", "shard"])
+    counts = packs.groupBy("split", "shard").agg((F.max("pack") + 1).alias("packs"))
+    if shard_order is None:
+        counts = counts.withColumn("shard_order", F.col("shard"))
+    else:
+        counts = counts.join(shard_order, ["split", "shard"])
     earlier = Window.partitionBy("split").orderBy("shard_order").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("split", "shard", F.coalesce(F.sum("packs").over(earlier), F.lit(0)).alias("_before"))
     return packs.join(offsets, ["split", "shard"]).withColumn("pack_number", F.col("_before") + F.col("pack")).drop("_before")

@@ -49,3 +49,19 @@ bad_corpus AS (
               WHEN doc_id % 50 = 10 THEN 0
               ELSE token_count END AS token_count
   FROM corpus)"""
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as a second corpus, one document per turn."""
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        "text",
+        F.struct(word_count(F.col("text")).alias("token_count")).alias("metadata"),
+    )
+
+
+TURNS_SQL = r"""turns AS (
+  SELECT conv_id * 1000 + turn AS doc_id, text,
+         CAST(len(regexp_extract_all(text, '[^ \n\t\r]+', 0)) AS BIGINT) AS token_count
+  FROM conversations)"""
