@@ -46,9 +46,9 @@ def test_boundary_labels(spark, inputs, labels, bos, eos, expected):
 
 
 def _encoded(spark, docs):
-    rows = [("train", s, f"{i:032x}", f"{i:032x}"[:3], i, t) for i, (s, t) in enumerate(docs)]
+    rows = [("train", s, f"{i:032x}", f"{i:032x}"[:3], i, t, len(t)) for i, (s, t) in enumerate(docs)]
     return spark.createDataFrame(
-        rows, "split string, shard int, order_key string, bucket string, doc_id long, tokens array<int>"
+        rows, "split string, shard int, order_key string, bucket string, doc_id long, tokens array<int>, n_tokens long"
     )
 
 

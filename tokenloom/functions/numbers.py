@@ -17,17 +17,15 @@ def finite_positive(value: Column) -> Column:
 
 
 def ceil_div(total: Column, step: Column) -> Column:
-    """Whole steps that cover ``total``; exact for longs, null for step 0."""
-    divisor = F.nullif(step.cast("long"), F.lit(0).cast("long"))
-    whole = total.cast("long") - F.pmod(total.cast("long"), divisor)
-    return (whole / divisor).cast("long") + F.when(F.pmod(total.cast("long"), divisor) > 0, 1).otherwise(0)
+    """Whole steps that cover ``total``, in long arithmetic; null for step 0."""
+    total, divisor = total.cast("long"), F.nullif(step.cast("long"), F.lit(0).cast("long"))
+    return F.call_function("div", total, divisor) + F.when(F.pmod(total, divisor) > 0, 1).otherwise(0)
 
 
 def geometric_points(low: Column, high: Column, count: int) -> Column:
     """``count`` points from ``low`` to ``high`` at equal ratios, ends exact."""
     step = (F.ln(high) - F.ln(low)) / F.lit(count - 1)
-    inner = F.transform(
+    return F.transform(
         F.sequence(F.lit(0), F.lit(count - 1)),
         lambda i: F.when(i == 0, low).when(i == count - 1, high).otherwise(F.exp(F.ln(low) + step * i)),
     )
-    return inner

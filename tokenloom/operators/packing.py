@@ -151,7 +151,7 @@ def pack_stats(packs: DataFrame, encoded: DataFrame, seq_len: int) -> DataFrame:
         F.sum(F.array_max("attention_mask").cast("long")).alias("segments"),
         F.sum(F.size(F.filter("labels", lambda y: y == P.IGNORED_LABEL)).cast("long")).alias("masked_labels"),
     )
-    tokens = encoded.groupBy("split", "shard").agg(F.sum(F.size("tokens").cast("long")).alias("tokens"))
+    tokens = encoded.groupBy("split", "shard").agg(F.sum("n_tokens").alias("tokens"))
     packs_made = F.coalesce("packs", F.lit(0)).cast("long")
     covered = F.when(packs_made > 0, packs_made * seq_len + 1).otherwise(0)
     return tokens.join(made, ["split", "shard"], "left").select(

@@ -16,6 +16,7 @@ def running_total(
     order: Sequence[str],
     value: Column,
     name: str,
+    stored: bool = False,
 ) -> DataFrame:
     """Add ``name``: the sum of ``value`` up to and including each row.
 
@@ -23,11 +24,18 @@ def running_total(
     of a smaller bucket come before all rows of a larger one). Rows are summed
     inside their bucket; bucket totals, one row per bucket, give the offsets.
     ``value`` must not be negative.
+
+    A narrow ``df`` is shuffled once for both uses. For a wide one pass a
+    table on disk and ``stored=True``: totals then come from a second read of
+    the few columns they need, and only partial sums move.
     """
     keys = [*group, bucket]
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = df.withColumn("_local", F.sum(value).over(inside))
-    totals = local.groupBy(*keys).agg(F.max("_local").alias("_total"))
+    if stored:
+        totals = df.groupBy(*keys).agg(F.sum(value).alias("_total"))
+    else:
+        totals = local.groupBy(*keys).agg(F.max("_local").alias("_total"))
     earlier = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset"))
     return (

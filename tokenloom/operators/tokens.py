@@ -126,11 +126,15 @@ def vocab_encoder(vocab: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> E
 
 
 def encode_documents(df: DataFrame, encoder: Encoder) -> DataFrame:
-    """``tokens``: BOS, then the ids of the text. No closing marker."""
+    """``tokens``: BOS, then the ids of the text; ``n_tokens`` counts them.
+
+    No closing marker. Store the result when more than one operator reads it.
+    """
     if encoder.bos_id is None:
         raise ValueError(f"encoder {encoder.name!r} has no BOS id")
     return (
         encoder.add_ids(df)
+        .withColumn("n_tokens", F.size("ids").cast("long") + 1)
         .withColumn("tokens", F.concat(F.array(F.lit(encoder.bos_id)), F.col("ids")))
         .drop("ids", "text")
     )
@@ -157,17 +161,20 @@ def item_size(max_id: int) -> int:
 
 
 def bos_offsets(df: DataFrame) -> DataFrame:
-    """``start``: where each document begins in its shard, BOS counted."""
-    size = F.size("tokens").cast("long")
+    """``start``: where each document begins in its shard, BOS counted.
+
+    ``df`` holds stored, encoded documents with their shard.
+    """
+    size = F.col("n_tokens")
     ended = running_total(
-        df, group=["split", "shard"], bucket="bucket", order=["order_key", "doc_id"], value=size, name="_end"
+        df, group=["split", "shard"], bucket="bucket", order=["order_key", "doc_id"], value=size, name="_end", stored=True
     )
     return ended.withColumn("start", F.col("_end") - size).drop("_end")
 
 
 def shard_headers(df: DataFrame, max_id: int) -> DataFrame:
     """Header fields of each shard file."""
-    sums = df.groupBy("split", "shard").agg(F.sum(F.size("tokens").cast("long")).alias("n"))
+    sums = df.groupBy("split", "shard").agg(F.sum("n_tokens").alias("n"))
     too_many = F.raise_error(F.format_string("%s shard %d holds %d tokens", "split", "shard", "n")).cast("long")
     return sums.select(
         "split",
@@ -181,7 +188,7 @@ def shard_headers(df: DataFrame, max_id: int) -> DataFrame:
 
 def tokenization_manifest(df: DataFrame, encoder: Encoder) -> DataFrame:
     by_shard = df.groupBy("split", "shard").agg(
-        F.sum(F.size("tokens").cast("long")).alias("tokens"), F.count("*").alias("documents")
+        F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents")
     )
     return by_shard.agg(
         F.sum("tokens").alias("tokens"), F.sum("documents").alias("documents"), F.count("*").alias("shards")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tokenloom.plans import corpus_queries
+from tokenloom.plans import corpus_queries, study_queries
 
-_MODULES = [corpus_queries]
+_MODULES = [corpus_queries, study_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}

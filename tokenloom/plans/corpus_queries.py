@@ -53,7 +53,7 @@ def _encoder(spark: SparkSession, sf: str) -> T.Encoder:
 
 def _encoded(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["doc_id", "text", "order_key", "bucket", "split", "shard"]
-    return T.encode_documents(_sharded(spark, sf).select(*columns), _encoder(spark, sf))
+    return stage(T.encode_documents(_sharded(spark, sf).select(*columns), _encoder(spark, sf)), "tokens")
 
 
 def _windows(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,7 +149,7 @@ def build_vocab(spark, sf):
 def encode_documents(spark, sf):
     docs = A.corpus(spark, sf).select("doc_id", "text")
     encoded = T.encode_documents(docs, _encoder(spark, sf))
-    return encoded.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), digest("tokens").alias("tokens_md5"))
+    return encoded.select("doc_id", "n_tokens", digest("tokens").alias("tokens_md5"))
 
 
 def encode_bytes(spark, sf):
@@ -157,7 +157,7 @@ def encode_bytes(spark, sf):
     encoded = T.encode_documents(docs, T.byte_encoder())
     return encoded.select(
         "doc_id",
-        F.size("tokens").cast("long").alias("n_tokens"),
+        "n_tokens",
         F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("id_sum"),
         F.element_at("tokens", -1).alias("last_id"),
     )
