@@ -304,7 +304,7 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(
         k.alias("run"),
         F.concat(F.lit("0."), F.lpad((k + 1).cast("string"), 12, "0")).cast("decimal(28,18)").alias("billions"),
-        (k * 977 + 1).alias("num_tokens"),
+        (k % 100 * 977 + 1).alias("num_tokens"),
         (8 * (k % 5 - F.when(k % 101 == 0, 5).otherwise(-1))).alias("global_batch"),
         (128 * (k % 3 + 1)).alias("seq_len"),
         (k % 60 - 1).alias("warmup_cap"),
@@ -317,7 +317,7 @@ def budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 BUDGETS_SQL = """budgets AS (
   SELECT o_orderkey AS run, CAST('0.' || lpad(CAST(o_orderkey + 1 AS VARCHAR), 12, '0') AS DECIMAL(28, 18)) AS billions,
-         o_orderkey * 977 + 1 AS num_tokens,
+         o_orderkey % 100 * 977 + 1 AS num_tokens,
          8 * (o_orderkey % 5 - CASE WHEN o_orderkey % 101 = 0 THEN 5 ELSE -1 END) AS global_batch,
          128 * (o_orderkey % 3 + 1) AS seq_len, o_orderkey % 60 - 1 AS warmup_cap, (o_orderkey % 13) / 10.0::DOUBLE AS decay_ratio,
          CAST([0.0003, 0.001, 0.02][o_orderkey % 3 + 1] AS DOUBLE) AS lr, o_orderkey % 105 - 1.0::DOUBLE AS lr_percentage,
