@@ -18,7 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with a word count as the supplied token count."""
-    docs = table(spark, sf_dir, "documents")
+    return as_corpus(table(spark, sf_dir, "documents"))
+
+
+def as_corpus(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "text", "lang", "source", F.struct(word_count(F.col("text")).alias("token_count")).alias("metadata")
     )
@@ -154,13 +157,17 @@ RUNS_SQL = """runs AS (
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as validation records; steps repeat inside a run, some
     records are damaged and some losses are not finite."""
+    return as_logs(table(spark, sf_dir, "events"))
+
+
+def as_logs(events: DataFrame) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     step = F.dayofmonth("ts") - 1
     loss = F.when(F.col("event_type") == "error", F.lit(float("nan"))).when(e % 83 == 0, F.lit(None)).otherwise(
         2 + F.col("value") / 1000
     )
     base = _pick([0.001, 0.002, 0.003], u % 3)
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         u.alias("run"),
         e.alias("line_no"),
         F.when(e % 97 == 0, -1.0).when(e % 89 == 0, step + 0.5).otherwise(step).cast("double").alias("step"),

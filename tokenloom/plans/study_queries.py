@@ -26,10 +26,6 @@ def _params(names=H.PARAMETERS):
     return [F.col("params")[n].alias(n) for n in names]
 
 
-def read_trials(spark, sf):
-    return A.trials(spark, sf).select("study", "trial", "state", "value", *_params())
-
-
 def compute_budget(spark, sf):
     points = _points(spark, sf)
     return points.select("study", H.compute_budget(F.col("num_parameters"), F.col("num_tokens")).alias("budget"))
@@ -166,7 +162,7 @@ def law_report(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    read_trials, compute_budget, tokens_for_compute, scaling_points, search_grid, remaining_trials, unvisited_cells,
+    compute_budget, tokens_for_compute, scaling_points, search_grid, remaining_trials, unvisited_cells,
     local_batch_candidates, final_losses, completed_trials, store_problems, near_optimal, representative_params,
     best_trials, best_settings, missing_studies, fit_power_law, power_laws_by_size, predict_power_law, best_overall,
     trial_series, trial_series_by_batch, law_report,
@@ -210,7 +206,6 @@ def _series(x: str, group: str) -> str:
 
 
 ORACLES = {
-    "read_trials": _with(A.TRIALS_SQL, "SELECT study, trial, state, value, learning_rate, global_batch_size FROM trials"),
     "compute_budget": _with(A.POINTS_SQL, "SELECT study, 6.0::DOUBLE * num_parameters * num_tokens AS budget FROM points"),
     "tokens_for_compute": """
         SELECT o_orderkey, greatest(1, CAST(round_even(o_totalprice * 3.0::DOUBLE / (6.0::DOUBLE * (o_custkey + 1)), 0) AS BIGINT)) AS num_tokens
