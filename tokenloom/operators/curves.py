@@ -78,7 +78,9 @@ def curve_points(latest: DataFrame, runs: DataFrame, fit_start_fraction: float =
 
 def invalid_runs(runs: DataFrame) -> DataFrame:
     """Runs whose schedule cannot be used, with every reason."""
-    positive = F.least("global_batch", "seq_len", "max_steps", "decay_end") > 0
+    positive = F.lit(True)
+    for name in ("global_batch", "seq_len", "max_steps", "decay_end"):
+        positive = positive & (F.col(name) > 0)
     checks = {
         "expected a WSD schedule": F.upper("decay_style") == "WSD",
         "batch, length, steps and decay end must be positive": positive,

@@ -110,7 +110,7 @@ def latest_checkpoint(listing: DataFrame, pointers: DataFrame) -> DataFrame:
         ])
         .where(F.col("has_0") & F.col("has_1") & F.col("has_2"))
     )
-    pointed = pointers.select("root", F.trim("target").alias("name"), F.lit(True).alias("pointed"))
+    pointed = pointers.select("root", F.regexp_replace("target", r"^\s+|\s+$", "").alias("name"), F.lit(True).alias("pointed"))
     ranked = states.join(pointed, ["root", "name"], "left")
     step = F.try_to_number(F.nullif(F.regexp_extract("name", CHECKPOINT_NAME, 2), F.lit("")), F.lit("999999999999999999")).cast("long")
     epoch = F.try_to_number(F.nullif(F.regexp_extract("name", CHECKPOINT_NAME, 1), F.lit("")), F.lit("999999999999999999")).cast("long")

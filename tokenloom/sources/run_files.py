@@ -39,14 +39,22 @@ def numbered_lines(spark: SparkSession, pattern: str) -> DataFrame:
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
     """Records from lines of JSON; ``malformed`` marks what cannot be read."""
-    record = F.from_json(
-        "value", "step string, val_loss string, lr string, _bad string", {"columnNameOfCorruptRecord": "_bad"}
-    )
-    parsed = lines.where(F.trim("value") != "").withColumn("r", record)
-    numbers = {name: F.col(f"r.{name}").try_cast("double") for name in ("step", "val_loss", "lr")}
-    broken = F.col("r").isNull() | F.col("r._bad").isNotNull()
-    for name, number in numbers.items():
-        broken = broken | (F.col(f"r.{name}").isNotNull() & number.isNull())
+    names, bad = ("step", "val_loss", "lr"), {"columnNameOfCorruptRecord": "_bad"}
+
+    def parsed_as(kind: str) -> Column:
+        return F.from_json("value", ", ".join([f"{n} {kind}" for n in names] + ["_bad string"]), bad)
+
+    # Numbers are read as such (NaN and Infinity too); texts that spell a
+    # number count as well.
+    parsed = lines.where(F.trim("value") != "").select("*", parsed_as("double").alias("r"), parsed_as("string").alias("t"))
+    plain = F.col("r").isNotNull() & F.col("r._bad").isNull()
+    spelled = F.col("t").isNotNull() & F.col("t._bad").isNull()
+    numbers = {}
+    for name in names:
+        text = F.col(f"t.{name}")
+        numbers[name] = F.when(plain, F.col(f"r.{name}")).when(spelled, text.try_cast("double"))
+        spelled = spelled & (text.isNull() | text.try_cast("double").isNotNull())
+    broken = ~(plain | spelled)
     others = [c for c in lines.columns if c != "value"]
     return parsed.select(*others, *[n.alias(name) for name, n in numbers.items()], broken.alias("malformed"))
 
