@@ -83,7 +83,7 @@ def test_bad_documents(spark):
 
 
 def test_shortfall(spark):
-    docs = _docs(spark, [3] * 5)
+    docs = C.running_tokens(_docs(spark, [3] * 5))
     rows = C.budget_shortfall(docs, {"train": 5, "validation": 40}).collect()
     assert [tuple(r) for r in rows] == [("validation", 9, 40)]
     assert C.budget_shortfall(docs, {"train": 5, "validation": 9}).count() == 0

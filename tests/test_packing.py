@@ -86,12 +86,12 @@ def test_packs_match_brute_force(spark, seq_len):
 
 def test_numbers_caps_and_batches(spark):
     encoded = _encoded(spark, [(s, [0] + list(range(2, 20 + s))) for s in range(3) for _ in range(2)])
-    packs = packing.pack_documents(encoded, 4, 0)
-    numbered = sorted((r["shard"], r["pack"], r["pack_number"]) for r in packing.pack_numbers(packs).collect())
+    packs, counts = packing.pack_documents(encoded, 4, 0), packing.shard_packs(encoded, 4)
+    numbered = sorted((r["shard"], r["pack"], r["pack_number"]) for r in packing.pack_numbers(packs, counts).collect())
     assert [n for _, _, n in numbered] == list(range(len(numbered)))
-    capped = packing.cap_packs(packs, 5).collect()
+    capped = packing.cap_packs(packs, counts, 5).collect()
     assert sorted(r["pack_number"] for r in capped) == [0, 1, 2, 3, 4]
-    batches = packing.batch_packs(packs, 4).orderBy("batch").collect()
+    batches = packing.batch_packs(packs, counts, 4).orderBy("batch").collect()
     assert [len(b["input_ids"]) for b in batches] == [4] * (len(numbered) // 4) + ([len(numbered) % 4] if len(numbered) % 4 else [])
     assert batches[0]["packed_seq_ids"] == batches[0]["attention_mask"]
     order = packing.order_shards(packs, shuffle=True, seed=1)
@@ -100,6 +100,6 @@ def test_numbers_caps_and_batches(spark):
 
 def test_bad_arguments(spark):
     encoded = _encoded(spark, [(0, [0, 1])])
-    for call in (lambda: packing.cut_packs(encoded, 0), lambda: packing.cap_packs(encoded, 0), lambda: packing.batch_packs(encoded, 0)):
+    for call in (lambda: packing.cut_packs(encoded, 0), lambda: packing.cap_packs(encoded, encoded, 0), lambda: packing.batch_packs(encoded, encoded, 0)):
         with pytest.raises(ValueError):
             call()

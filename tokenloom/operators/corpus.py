@@ -287,19 +287,19 @@ def sharded_documents(df: DataFrame, plan: ShardPlan, seed: int = DEFAULT_SEED)
     return place_documents(with_seeded_key(usable_documents(df), seed=seed), plan.ranges)
 
 
-def budget_shortfall(df: DataFrame, budgets: Mapping[str, int], seed: int = DEFAULT_SEED, strict: bool = False) -> DataFrame:
+def budget_shortfall(order: DataFrame, budgets: Mapping[str, int], strict: bool = False) -> DataFrame:
     """The split the documents ran out in, if any: what it got and wanted.
 
-    Splits fill one after another, so this needs only the token totals.
+    ``order`` is a stored output of running_tokens.
     """
-    plan = plan_shards(df, budgets, None, seed)
+    plan = find_ranges(order, budgets, None)
     rows = []
     if not plan.complete:
         name = list(budgets)[plan.carry.split]
         rows.append((name, plan.carry.split_tokens, budgets[name]))
         if strict:
             raise ValueError(f"documents ended after {rows[0][1]} {name} tokens, before the requested {rows[0][2]}")
-    return df.sparkSession.createDataFrame(rows, "split string, got_tokens long, wanted_tokens long")
+    return order.sparkSession.createDataFrame(rows, "split string, got_tokens long, wanted_tokens long")
 
 
 def corpus_manifest(placements: DataFrame, budgets: Mapping[str, int]) -> DataFrame:

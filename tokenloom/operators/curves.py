@@ -20,6 +20,8 @@ MIN_FIT_POINTS = 4
 LOWEST_EXPONENT, HIGHEST_EXPONENT = 0.01, 3.0
 GRID_POINTS = 161
 GRID_ROUNDS = 5
+PIECE_POINTS = 20_000  # a longer curve is summed in several tasks
+RUN_STATS = ("run", "n", "reference_tokens", "mean_loss", "var_loss", "low", "high")
 MIN_R_SQUARED = 0.95
 FORECAST_POINTS = 200
 FITTED_POINTS = 100
@@ -150,40 +152,43 @@ def eligible_points(points: DataFrame) -> DataFrame:
     return fit.join(fit_eligibility(fit).where("eligible").select("run"), "run", "left_semi")
 
 
-def _fit_basis(points: DataFrame) -> DataFrame:
-    """Points with the constants of their run: first tokens, moments of loss."""
+def _fit_basis(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points scaled by the first tokens of their run, and a row per run."""
     stats = points.groupBy("run").agg(
         F.count("*").alias("n"),
         F.min("tokens").cast("double").alias("reference_tokens"),
         F.avg("loss").alias("mean_loss"),
         F.var_pop("loss").alias("var_loss"),
+        F.lit(LOWEST_EXPONENT).alias("low"),
+        F.lit(HIGHEST_EXPONENT).alias("high"),
     )
-    return points.join(stats, "run")
+    log_ratio = F.ln(F.col("tokens") / F.col("reference_tokens")).alias("log_ratio")
+    pieces = F.ceil(F.col("n") / PIECE_POINTS)
+    piece = F.pmod(F.hash("tokens"), pieces).alias("piece")
+    return points.join(stats, "run").select("run", piece, log_ratio, "loss"), stats
 
 
-def _grid_round(basis: DataFrame, bounds: DataFrame | None) -> DataFrame:
+def _grid_round(basis: DataFrame, stats: DataFrame) -> DataFrame:
     """Best floor and amplitude for every exponent of a grid, per run.
 
     For a fixed exponent p and x = (tokens / reference) ** -p the model is
     linear, and its error depends on a few moments of x and loss only. They
     are sums over points, so a long curve is summed in pieces everywhere.
-    ``bounds``: run, low, high; the whole range when None.
+    ``stats`` has the moments of loss and the range of exponents of each run.
     """
-    if bounds is None:
-        ranged = basis.withColumn("low", F.lit(LOWEST_EXPONENT)).withColumn("high", F.lit(HIGHEST_EXPONENT))
-    else:
-        ranged = basis.join(bounds, "run")
     last = GRID_POINTS - 1
     low, high = F.col("low"), F.col("high")
 
     def exponent(k: Column) -> Column:
         return F.when(k >= last, high).otherwise(low + F.greatest(k, F.lit(0)) * ((high - low) / last))
 
-    cells = ranged.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(last)))).withColumn("exponent", exponent(F.col("k")))
-    x = F.pow(F.col("tokens") / F.col("reference_tokens"), -F.col("exponent"))
-    moments = (
-        cells.withColumn("x", x)
-        .groupBy("run", "k", "exponent", "low", "high", "n", "reference_tokens", "mean_loss", "var_loss")
+    cells = basis.join(stats.select("run", "low", "high"), "run").select(
+        "run", "log_ratio", "loss", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("k")
+    )
+    x = F.exp(-exponent(F.col("k")) * F.col("log_ratio"))
+    sums = (
+        cells.select("run", "k", "loss", x.alias("x"))
+        .groupBy("run", "k")
         .agg(
             F.avg("x").alias("mean_x"),
             F.var_pop("x").alias("var_x"),
@@ -192,6 +197,7 @@ def _grid_round(basis: DataFrame, bounds: DataFrame | None) -> DataFrame:
             F.sum(F.col("x") * F.col("x")).alias("sum_xx"),
         )
     )
+    moments = sums.join(stats, "run").withColumn("exponent", exponent(F.col("k")))
     slope = F.try_divide("cov", "var_x")
     intercept = F.col("mean_loss") - slope * F.col("mean_x")
     through_zero = F.col("sum_xy") / F.col("sum_xx")
@@ -208,8 +214,8 @@ def _grid_round(basis: DataFrame, bounds: DataFrame | None) -> DataFrame:
     free = F.when((intercept >= 0) & (slope >= 0), candidate(intercept, slope))
     best = F.least(candidate(F.col("mean_loss"), zero), candidate(zero, through_zero), free)
     return moments.withColumn("best", best).select(
-        "run", "k", "exponent", "n", "reference_tokens", "var_loss", "best.*",
-        exponent(F.col("k") - 1).alias("next_low"), exponent(F.col("k") + 1).alias("next_high"),
+        "run", "k", "exponent", "n", "reference_tokens", "mean_loss", "var_loss", "best.*",
+        exponent(F.col("k") - 1).alias("low"), exponent(F.col("k") + 1).alias("high"),
     )
 
 
@@ -220,7 +226,7 @@ def _winners(cells: DataFrame) -> DataFrame:
 
 def loss_fit_grid(points: DataFrame) -> DataFrame:
     """First round of the fit as a relation: every run and exponent."""
-    return _grid_round(_fit_basis(points), None).select("run", "k", "exponent", "sse", "floor", "amplitude")
+    return _grid_round(*_fit_basis(points)).select("run", "k", "exponent", "sse", "floor", "amplitude")
 
 
 def fit_loss_curve(points: DataFrame) -> DataFrame:
@@ -230,11 +236,12 @@ def fit_loss_curve(points: DataFrame) -> DataFrame:
     not negative, the exponent stays within its bounds. Each round narrows a
     grid of exponents to the neighbours of its best one, for all runs at once.
     """
-    basis = stage(_fit_basis(points), "fit-points")
-    best = _winners(_grid_round(basis, None))
-    for _ in range(GRID_ROUNDS - 1):
-        bounds = best.select("run", F.col("next_low").alias("low"), F.col("next_high").alias("high"))
-        best = _winners(_grid_round(basis, stage(bounds, "fit-bounds")))
+    scaled, best = _fit_basis(points)
+    # Runs stay together so that few partial sums move; long ones are split.
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    basis = stage(scaled.repartition(cores, "run", "piece"), "fit-points")
+    for _ in range(GRID_ROUNDS):
+        best = _winners(_grid_round(basis, stage(best.select(*RUN_STATS), "fit-runs")))
     p = F.col("exponent")
     return best.select(
         "run",

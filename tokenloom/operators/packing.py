@@ -102,34 +102,42 @@ def order_shards(shards: DataFrame, shuffle: bool = False, seed: int = DEFAULT_S
     return shards.select("split", "shard").distinct().withColumn("shard_order", place)
 
 
-def pack_numbers(packs: DataFrame, shard_order: DataFrame | None = None) -> DataFrame:
+def shard_packs(encoded: DataFrame, seq_len: int) -> DataFrame:
+    """How many packs each shard gives, from token counts alone."""
+    _check_length(seq_len)
+    tokens = encoded.groupBy("split", "shard").agg(F.sum("n_tokens").alias("n"))
+    return tokens.select("split", "shard", F.greatest(F.floor((F.col("n") - 1) / seq_len), F.lit(0)).alias("packs"))
+
+
+def pack_numbers(packs: DataFrame, counts: DataFrame, shard_order: DataFrame | None = None) -> DataFrame:
     """``pack_number``: place of each pack in its split, shard after shard.
 
-    Only per-shard counts are ordered; packs keep their partitions.
+    ``counts`` (see shard_packs) has one row per shard; only these are
+    ordered, packs keep their partitions.
     """
-    counts = packs.groupBy("split", "shard").agg((F.max("pack") + 1).alias("packs"))
     if shard_order is None:
-        counts = counts.withColumn("shard_order", F.col("shard"))
+        ordered = counts.withColumn("shard_order", F.col("shard"))
     else:
-        counts = counts.join(shard_order, ["split", "shard"])
+        ordered = counts.join(shard_order, ["split", "shard"])
     earlier = Window.partitionBy("split").orderBy("shard_order").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("split", "shard", F.coalesce(F.sum("packs").over(earlier), F.lit(0)).alias("_before"))
-    return packs.join(offsets, ["split", "shard"]).withColumn("pack_number", F.col("_before") + F.col("pack")).drop("_before")
+    offsets = ordered.select("split", "shard", F.coalesce(F.sum("packs").over(earlier), F.lit(0)).alias("_before"))
+    numbered = packs.join(offsets, ["split", "shard"])
+    return numbered.withColumn("pack_number", F.col("_before") + F.col("pack")).drop("_before")
 
 
-def cap_packs(packs: DataFrame, max_samples: int, shard_order: DataFrame | None = None) -> DataFrame:
+def cap_packs(packs: DataFrame, counts: DataFrame, max_samples: int, shard_order: DataFrame | None = None) -> DataFrame:
     """The first ``max_samples`` packs of each split."""
     if max_samples <= 0:
         raise ValueError("max_samples must be positive")
-    return pack_numbers(packs, shard_order).where(F.col("pack_number") < max_samples)
+    return pack_numbers(packs, counts, shard_order).where(F.col("pack_number") < max_samples)
 
 
-def batch_packs(packs: DataFrame, batch_size: int, shard_order: DataFrame | None = None) -> DataFrame:
+def batch_packs(packs: DataFrame, counts: DataFrame, batch_size: int, shard_order: DataFrame | None = None) -> DataFrame:
     """Batches of consecutive packs; the last one of a split may be short."""
     if batch_size <= 0:
         raise ValueError("batch_size must be positive")
     fields = ["input_ids", "labels", "attention_mask", "position_ids"]
-    numbered = pack_numbers(packs, shard_order).select(
+    numbered = pack_numbers(packs, counts, shard_order).select(
         "split",
         F.floor(F.col("pack_number") / batch_size).cast("long").alias("batch"),
         F.struct("pack_number", *fields).alias("row"),

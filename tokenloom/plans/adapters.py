@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.text import word_count
+from tokenloom.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with a word count as the supplied token count."""
-    return as_corpus(table(spark, sf_dir, "documents"))
+    return as_corpus(documents(spark, sf_dir))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def as_corpus(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id", "text", "lang", "source", F.struct(word_count(F.col("text")).alias("token_count")).alias("metadata")
-    )
+    """Words are counted by a generator: unlike a plain expression, its result
+    is not computed again by every later filter."""
+    counted = docs.select("doc_id", "text", "lang", "source", F.inline(F.array(F.struct(word_count(F.col("text")).alias("token_count")))))
+    return counted.select("doc_id", "text", "lang", "source", F.struct("token_count").alias("metadata"))
 
 
 CORPUS_SQL = r"""corpus AS (

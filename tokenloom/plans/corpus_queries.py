@@ -25,11 +25,6 @@ def digest(ids: str | Column) -> Column:
     return F.md5(F.array_join(column.cast("array<string>"), " "))
 
 
-def _budgets(docs: DataFrame) -> tuple[dict[str, int], int]:
-    total = docs.agg(F.sum("metadata.token_count")).first()[0]
-    return {"train": total * 7 // 10, "validation": total // 10}, total // 20
-
-
 def _plan(spark: SparkSession, sf: str) -> C.ShardPlan:
     """The shard plan, from one pass over the texts: budgets are shares of the
     total, which the stored order already holds."""
@@ -44,7 +39,7 @@ def _sharded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(T.build_vocab(A.corpus(spark, sf), VOCAB_SIZE), "vocab")
+    return stage(T.build_vocab(A.documents(spark, sf), VOCAB_SIZE), "vocab")
 
 
 def _encoder(spark: SparkSession, sf: str) -> T.Encoder:
@@ -60,8 +55,10 @@ def _windows(spark: SparkSession, sf: str) -> DataFrame:
     return K.cut_packs(T.bos_offsets(_encoded(spark, sf)), SEQ_LEN)
 
 
-def _packs(spark: SparkSession, sf: str) -> DataFrame:
-    return K.pack_documents(_encoded(spark, sf), SEQ_LEN, T.BOS_ID)
+def _numbered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Packs, and how many each shard has."""
+    encoded = _encoded(spark, sf)
+    return K.pack_documents(encoded, SEQ_LEN, T.BOS_ID), K.shard_packs(encoded, SEQ_LEN)
 
 
 def _shards(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,7 +88,7 @@ def usable_documents(spark, sf):
 
 
 def seeded_order(spark, sf):
-    return C.seeded_order(A.corpus(spark, sf))
+    return C.seeded_order(A.table(spark, sf, "documents"))
 
 
 def running_tokens(spark, sf):
@@ -110,9 +107,9 @@ def assign_shards(spark, sf):
 
 
 def budget_shortfall(spark, sf):
-    docs = A.corpus(spark, sf)
-    budgets, _ = _budgets(docs)
-    return C.budget_shortfall(docs, {"train": budgets["train"], "validation": 4 * budgets["validation"]})
+    order = stage(C.running_tokens(A.corpus(spark, sf)), "order")
+    total = order.agg(F.max("cum_tokens")).first()[0]
+    return C.budget_shortfall(order, {"train": total * 7 // 10, "validation": 4 * (total // 10)})
 
 
 def corpus_manifest(spark, sf):
@@ -143,17 +140,17 @@ def corpus_progress(spark, sf):
 # ---- tokens ---------------------------------------------------------------
 
 def build_vocab(spark, sf):
-    return T.build_vocab(A.corpus(spark, sf), VOCAB_SIZE)
+    return T.build_vocab(A.documents(spark, sf), VOCAB_SIZE)
 
 
 def encode_documents(spark, sf):
-    docs = A.corpus(spark, sf).select("doc_id", "text")
+    docs = A.documents(spark, sf).select("doc_id", "text")
     encoded = T.encode_documents(docs, _encoder(spark, sf))
     return encoded.select("doc_id", "n_tokens", digest("tokens").alias("tokens_md5"))
 
 
 def encode_bytes(spark, sf):
-    docs = A.corpus(spark, sf).select("doc_id", "text")
+    docs = A.documents(spark, sf).select("doc_id", "text")
     encoded = T.encode_documents(docs, T.byte_encoder())
     return encoded.select(
         "doc_id",
@@ -228,7 +225,7 @@ def mask_boundary_labels(spark, sf):
 
 
 def cap_packs(spark, sf):
-    return K.cap_packs(_packs(spark, sf), 500).select("split", "shard", "pack", "pack_number")
+    return K.cap_packs(*_numbered(spark, sf), 500).select("split", "shard", "pack", "pack_number")
 
 
 def order_shards(spark, sf):
@@ -236,7 +233,7 @@ def order_shards(spark, sf):
 
 
 def batch_packs(spark, sf):
-    batches = K.batch_packs(_packs(spark, sf), BATCH)
+    batches = K.batch_packs(*_numbered(spark, sf), BATCH)
     return batches.select(
         "split",
         "batch",

@@ -20,6 +20,10 @@ from tokenloom.sources import token_shard as TS
 from tokenloom.streaming import ingest, losses
 
 
+# Runs share this many log files and evaluation folders.
+LOG_FILES = 20
+
+
 def _folder(spark, label):
     return f"{stage_root(spark)}/tokenloom/{label}-{uuid.uuid4().hex}"
 
@@ -49,7 +53,7 @@ def write_token_shards(spark, sf):
     """Token shards on disk, cut into packs from byte ranges of the files."""
     path = _folder(spark, "tokens")
     TS.write_token_shards(Q._encoded(spark, sf), path, Q.VOCAB_SIZE)
-    blocks = TS.read_token_shards(spark, path, Q.SEQ_LEN, block_tokens=8 * Q.SEQ_LEN, range_bytes=16_384)
+    blocks = TS.read_token_shards(spark, path, Q.SEQ_LEN, block_tokens=8 * Q.SEQ_LEN, range_bytes=131_072)
     name = F.regexp_extract("file", r"([a-z]+-\d+)\.bin$", 1)
     return K.cut_blocks(blocks, Q.SEQ_LEN).select(name.alias("file"), "pack", Q.digest("window").alias("window_md5"))
 
@@ -69,7 +73,7 @@ def write_manifest(spark, sf):
 def read_run_logs(spark, sf):
     path = _folder(spark, "logs")
     record = F.when(F.col("malformed"), "{broken").otherwise(F.to_json(F.struct("step", "val_loss", "lr")))
-    rows = A.logs(spark, sf).withColumn("value", record).select("run", "line_no", "value")
+    rows = A.logs(spark, sf).select((F.col("run") % LOG_FILES).alias("run"), "line_no", record.alias("value"))
     rows.repartition("run").sortWithinPartitions("run", "line_no").select("run", "value").write.partitionBy("run").text(path)
     logs = R.read_run_logs(spark, f"{path}/*/*.txt")
     finite = ~F.isnan("val_loss")
@@ -90,16 +94,14 @@ def read_trials(spark, sf):
 
 
 def read_eval_results(spark, sf):
-    """The newest evaluation of each user, as files, back to metrics."""
+    """The newest evaluation of each group of users, as files, back to metrics."""
     path = _folder(spark, "evaluations")
     manifests, results = A.evaluations(spark, sf)
-    last = A.table(spark, sf, "events").groupBy("user_id").agg(F.max("event_id").alias("evaluation"))
-    manifests.join(last, "evaluation").drop("evaluation", "user_id").withColumn(
-        "folder", F.col("run_name")
-    ).write.partitionBy("folder").json(path)
-    results.join(last, "evaluation").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("folder"), F.col("content").alias("value")).write.mode(
-        "append"
-    ).partitionBy("folder").text(path)
+    group = (F.col("user_id") % LOG_FILES).alias("folder")
+    last = A.table(spark, sf, "events").groupBy(group).agg(F.max("event_id").alias("evaluation"))
+    manifests.join(last, "evaluation").drop("evaluation").write.partitionBy("folder").json(path)
+    texts = results.join(last, "evaluation").select("folder", F.col("content").alias("value"))
+    texts.write.mode("append").partitionBy("folder").text(path)
     entries = E.result_entries(*R.read_eval_results(spark, path, "part-*.json", "part-*.txt"))
     return E.metrics_table(E.pair_stderr(entries)).drop("result_file")
 
@@ -114,11 +116,11 @@ def write_table(spark, sf):
 def stream_ingest(spark, sf):
     """The corpus built by a stream over the documents, then its shards."""
     docs = A.table(spark, sf, "documents")
-    plan = Q._plan(spark, sf)
-    total = plan.order.agg(F.max("cum_tokens")).first()[0]
+    total = A.corpus(spark, sf).agg(F.sum("metadata.token_count")).first()[0]
+    budgets = {"train": total * 7 // 10, "validation": total // 10}
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents*.parquet").parquet(sf)
     path, state, checkpoint = (_folder(spark, f"ingest-{part}") for part in ("data", "state", "checkpoint"))
-    query = ingest.stream_ingest(A.as_corpus(stream), path, state, checkpoint, plan.budgets, total // 20)
+    query = ingest.stream_ingest(A.as_corpus(stream), path, state, checkpoint, budgets, total // 20)
     query.awaitTermination()
     return ingest.ingested_documents(spark, path).groupBy("split", "shard").agg(
         F.count("*").alias("documents"), F.sum("metadata.token_count").alias("tokens")
@@ -171,7 +173,7 @@ ORACLES = {
                CAST(sum(token_count) FILTER (split = 'validation') AS BIGINT) AS validation_tokens
         FROM placed"""),
     "read_run_logs": f"""WITH {A.LOGS_SQL}
-        SELECT run, row_number() OVER (PARTITION BY run ORDER BY line_no) AS line_no,
+        SELECT run % {LOG_FILES} AS run, row_number() OVER (PARTITION BY run % {LOG_FILES} ORDER BY line_no) AS line_no,
                CASE WHEN NOT malformed THEN step END AS step,
                CASE WHEN NOT malformed AND NOT isnan(val_loss) THEN val_loss END AS val_loss,
                CASE WHEN NOT malformed THEN lr END AS lr, malformed
@@ -180,7 +182,7 @@ ORACLES = {
         SELECT study, trial, state, value, learning_rate, CAST(trial % 3 + 1 AS VARCHAR) AS attempts FROM trials""",
     "read_eval_results": f"""WITH {A.METRICS_SQL}
         SELECT run, suite, task, metric, step, value, stderr, checkpoint FROM metrics
-        WHERE evaluation IN (SELECT max(event_id) FROM events GROUP BY user_id)""",
+        WHERE evaluation IN (SELECT max(event_id) FROM events GROUP BY user_id % {LOG_FILES})""",
     "write_table": eval_queries.ORACLES["metrics_table"],
     "stream_ingest": Q._with(Q.PLACED, """
         SELECT split, shard, count(*) AS documents, CAST(sum(token_count) AS BIGINT) AS tokens FROM placed GROUP BY split, shard"""),

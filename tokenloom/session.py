@@ -54,3 +54,12 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{stage_root(spark)}/tokenloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores for an input of few splits, such as one large row group.
+
+    Inputs with enough splits, which is every large table, stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
