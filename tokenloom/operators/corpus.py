@@ -184,7 +184,7 @@ def _merged(windows: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_ranges(
     order: DataFrame, budgets: Mapping[str, int], tokens_per_shard: int | None, carry: Carry = Carry()
 ) -> ShardPlan:
-    """Close shards greedily along ``order`` (the output of running_tokens).
+    """Close shards greedily along ``order`` (the output of store_order).
 
     A shard closes with the first document that brings it to
     ``tokens_per_shard`` or its split to its budget; the next one starts from
@@ -227,6 +227,12 @@ def find_ranges(
     return ShardPlan(order, ranges, left, budgets)
 
 
+def store_order(df: DataFrame, seed: int = DEFAULT_SEED, digits: int = BUCKET_DIGITS) -> DataFrame:
+    """running_tokens as a stored table, sorted so that a range of totals is
+    found by the statistics of its row groups."""
+    return stage(running_tokens(df, seed, digits).sortWithinPartitions("cum_tokens"), "order")
+
+
 def plan_shards(
     df: DataFrame,
     budgets: Mapping[str, int],
@@ -235,7 +241,7 @@ def plan_shards(
     digits: int = BUCKET_DIGITS,
 ) -> ShardPlan:
     """Store the narrow order once, then find the shard ranges in it."""
-    return find_ranges(stage(running_tokens(df, seed, digits), "order"), budgets, tokens_per_shard)
+    return find_ranges(store_order(df, seed, digits), budgets, tokens_per_shard)
 
 
 def _range_table(df: DataFrame, ranges: Sequence[KeyRange], digits: int) -> DataFrame:
@@ -290,7 +296,7 @@ def sharded_documents(df: DataFrame, plan: ShardPlan, seed: int = DEFAULT_SEED)
 def budget_shortfall(order: DataFrame, budgets: Mapping[str, int], strict: bool = False) -> DataFrame:
     """The split the documents ran out in, if any: what it got and wanted.
 
-    ``order`` is a stored output of running_tokens.
+    ``order`` is the output of store_order.
     """
     plan = find_ranges(order, budgets, None)
     rows = []

@@ -236,7 +236,7 @@ def fit_loss_curve(points: DataFrame) -> DataFrame:
     not negative, the exponent stays within its bounds. Each round narrows a
     grid of exponents to the neighbours of its best one, for all runs at once.
     """
-    scaled, best = _fit_basis(points)
+    scaled, best = _fit_basis(stage(points.select("run", "tokens", "loss"), "fit-input"))
     # Runs stay together so that few partial sums move; long ones are split.
     cores = points.sparkSession.sparkContext.defaultParallelism
     basis = stage(scaled.repartition(cores, "run", "piece"), "fit-points")

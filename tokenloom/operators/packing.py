@@ -30,14 +30,18 @@ def cut_packs(df: DataFrame, seq_len: int) -> DataFrame:
     last = first + size - 1
     first_pack = F.greatest(F.floor((first - 1) / seq_len), F.lit(0)).cast("long")
     last_pack = F.floor(last / seq_len).cast("long")
-    slices = df.where(size > 0).select(
-        "split", "shard", "start", "tokens", F.explode(F.sequence(first_pack, last_pack)).alias("pack")
-    )
-    low = F.greatest(F.col("start"), F.col("pack") * seq_len)
-    high = F.least(last, (F.col("pack") + 1) * seq_len)
-    part = F.slice("tokens", (low - F.col("start") + 1).cast("int"), (high - low + 1).cast("int"))
+
+    def cut(pack: Column) -> Column:
+        low = F.greatest(first, pack * seq_len)
+        high = F.least(last, (pack + 1) * seq_len)
+        ids = F.slice("tokens", (low - first + 1).cast("int"), (high - low + 1).cast("int"))
+        return F.struct(pack.alias("pack"), F.struct(low.alias("at"), ids.alias("ids")).alias("part"))
+
+    # All slices of a document are made at once; only they leave its row.
+    cuts = F.inline(F.transform(F.sequence(first_pack, last_pack), cut))
     joined = (
-        slices.select("split", "shard", "pack", F.struct(low.alias("at"), part.alias("ids")).alias("part"))
+        df.where(size > 0)
+        .select("split", "shard", cuts)
         .groupBy("split", "shard", "pack")
         .agg(F.array_sort(F.collect_list("part")).alias("parts"))
     )
@@ -52,13 +56,17 @@ def cut_blocks(blocks: DataFrame, seq_len: int) -> DataFrame:
     than it covers, so every window lies inside one block.
     """
     _check_length(seq_len)
-    windows = F.floor((F.size("tokens") - 1) / seq_len).cast("int")
-    inside = F.when(windows > 0, F.sequence(F.lit(0), windows - 1)).otherwise(F.array().cast("array<int>"))
-    return blocks.select("file", "start", "tokens", F.explode(inside).alias("k")).select(
-        "file",
-        (F.floor(F.col("start") / seq_len) + F.col("k")).cast("long").alias("pack"),
-        F.slice("tokens", F.col("k") * seq_len + 1, F.lit(seq_len + 1)).alias("window"),
+    count = F.floor((F.size("tokens") - 1) / seq_len).cast("int")
+    inside = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    first_pack = F.floor(F.col("start") / seq_len)
+    windows = F.transform(
+        inside,
+        lambda k: F.struct(
+            (first_pack + k).cast("long").alias("pack"),
+            F.slice("tokens", k * seq_len + 1, F.lit(seq_len + 1)).alias("window"),
+        ),
     )
+    return blocks.select("file", F.inline(windows))
 
 
 def shift_labels(df: DataFrame, seq_len: int) -> DataFrame:

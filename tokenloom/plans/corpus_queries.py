@@ -28,7 +28,7 @@ def digest(ids: str | Column) -> Column:
 def _plan(spark: SparkSession, sf: str) -> C.ShardPlan:
     """The shard plan, from one pass over the texts: budgets are shares of the
     total, which the stored order already holds."""
-    order = stage(C.running_tokens(A.corpus(spark, sf)), "order")
+    order = C.store_order(A.corpus(spark, sf))
     total = order.agg(F.max("cum_tokens")).first()[0]
     budgets = {"train": total * 7 // 10, "validation": total // 10}
     return C.find_ranges(order, budgets, total // 20)
@@ -96,7 +96,7 @@ def running_tokens(spark, sf):
 
 
 def split_by_budget(spark, sf):
-    order = stage(C.running_tokens(A.corpus(spark, sf)), "order")
+    order = C.store_order(A.corpus(spark, sf))
     total = order.agg(F.max("cum_tokens")).first()[0]
     plan = C.find_ranges(order, {"train": total * 7 // 10, "validation": total // 10}, None)
     return plan.placements().select("doc_id", "token_count", "cum_tokens", "split")
@@ -107,7 +107,7 @@ def assign_shards(spark, sf):
 
 
 def budget_shortfall(spark, sf):
-    order = stage(C.running_tokens(A.corpus(spark, sf)), "order")
+    order = C.store_order(A.corpus(spark, sf))
     total = order.agg(F.max("cum_tokens")).first()[0]
     return C.budget_shortfall(order, {"train": total * 7 // 10, "validation": 4 * (total // 10)})
 

@@ -86,7 +86,7 @@ def loss_fit_grid(spark, sf):
 
 
 def fit_loss_curve(spark, sf):
-    points = A.law_points(spark, sf)
+    points = stage(A.law_points(spark, sf), "points")
     fits = V.fit_loss_curve(points.join(V.fit_eligibility(points).where("eligible").select("run"), "run", "left_semi"))
     return fits.select(
         "run", "points", F.round("floor", 3).alias("floor"), F.round("amplitude", 3).alias("amplitude"),

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tokenloom.functions.ordering import DEFAULT_SEED
-from tokenloom.operators.corpus import Carry, find_ranges, running_tokens, sharded_documents
-from tokenloom.session import stage
+from tokenloom.operators.corpus import Carry, find_ranges, sharded_documents, store_order
 
 STATE_SCHEMA = "split int, split_tokens long, shard int, shard_tokens long, batch long"
 
@@ -53,7 +52,7 @@ def ingest_batch(
         return
     carry = _carry(state)
     if carry.split < len(budgets):
-        plan = find_ranges(stage(running_tokens(batch, seed), "order"), budgets, tokens_per_shard, carry)
+        plan = find_ranges(store_order(batch, seed), budgets, tokens_per_shard, carry)
         rows = sharded_documents(batch, plan, seed).repartition("split", "shard")
         rows.write.mode("overwrite").partitionBy("split", "shard").parquet(f"{path}/batch={batch_id}")
         carry = plan.carry
