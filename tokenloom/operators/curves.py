@@ -106,7 +106,7 @@ def run_summary(runs: DataFrame) -> DataFrame:
 def select_attempt(configs: DataFrame, trials: DataFrame) -> DataFrame:
     """The saved configuration of each trial's successful attempt.
 
-    ``configs``: study, trial, path (``.../attempt_NN_.../automodel.yaml``).
+    ``configs``: study, trial, path (``.../attempt_NN_.../config.yaml``).
     ``trials``: study, trial and the map ``attrs``; a recorded
     ``batch_size_attempts`` fixes the attempt, otherwise the last path wins.
     """

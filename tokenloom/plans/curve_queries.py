@@ -71,7 +71,7 @@ def select_attempt(spark, sf):
     e, u = F.col("event_id"), F.col("user_id")
     configs = A.table(spark, sf, "events").where(u % 19 != 0).select(
         (u % 10).alias("study"), u.alias("trial"),
-        F.format_string("/s/trial_%04d/attempt_%02d_local_batch_%d/automodel.yaml", u, e % 4, e % 3).alias("path"),
+        F.format_string("/s/trial_%04d/attempt_%02d_local_batch_%d/config.yaml", u, e % 4, e % 3).alias("path"),
     )
     return V.select_attempt(configs, _trials(spark, sf))
 
@@ -207,7 +207,7 @@ ORACLES = {
           SELECT user_id AS trial, 'attempt_0' || event_id % 4 || '_local_batch_' || event_id % 3 AS attempt, event_id % 4 AS n
           FROM events WHERE user_id % 19 <> 0)
         SELECT t.trial % 10 AS study, t.trial,
-               '/s/trial_' || lpad(CAST(t.trial AS VARCHAR), 4, '0') || '/' || max(c.attempt) || '/automodel.yaml' AS path,
+               '/s/trial_' || lpad(CAST(t.trial AS VARCHAR), 4, '0') || '/' || max(c.attempt) || '/config.yaml' AS path,
                CASE WHEN max(c.attempt) IS NULL THEN 'no saved configuration for the completed attempt' END AS problem
         FROM (SELECT DISTINCT user_id AS trial FROM events) t
         LEFT JOIN configs c ON c.trial = t.trial AND (t.trial % 3 <> 0 OR c.n = t.trial % 4)
