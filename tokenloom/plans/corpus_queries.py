@@ -74,7 +74,9 @@ def read_corpus(spark, sf):
 
 def read_split(spark, sf):
     path = f"{stage_root(spark)}/tokenloom/corpus-{uuid.uuid4().hex}"
-    IO.write_shards(_sharded(spark, sf).drop("lang", "source"), path)
+    plan = _plan(spark, sf)
+    docs = C.sharded_documents(A.corpus(spark, sf), plan).drop("lang", "source")
+    IO.write_shards(docs, path, len(plan.ranges))
     return IO.read_split(spark, path, "train", limit=300).select("doc_id", "shard", F.md5("text").alias("text_md5"))
 
 

@@ -30,7 +30,8 @@ def _folder(spark, label):
 
 def _written_shards(spark, sf):
     path = _folder(spark, "corpus")
-    IO.write_shards(Q._sharded(spark, sf).drop("lang", "source"), path)
+    plan = Q._plan(spark, sf)
+    IO.write_shards(C.sharded_documents(A.corpus(spark, sf), plan).drop("lang", "source"), path, len(plan.ranges))
     return path
 
 

@@ -16,14 +16,16 @@ def read_corpus(
     return spark.read.schema(schema).format(format).load(path)
 
 
-def write_shards(df: DataFrame, path: str) -> None:
+def write_shards(df: DataFrame, path: str, shards: int | None = None) -> None:
     """One file per split and shard, in seeded order.
 
-    The texts move once, to the task of their shard. Files appear under their
-    final names when the job commits; an existing target is refused.
+    The texts move once, to the task of their shard; ``shards`` sets the
+    number of tasks (the session's default otherwise). Files appear under
+    their final names when the job commits; an existing target is refused.
     """
+    by_shard = df.repartition(shards, "split", "shard") if shards else df.repartition("split", "shard")
     (
-        df.repartition("split", "shard")
+        by_shard
         .sortWithinPartitions("split", "shard", "order_key")
         .write.mode("errorifexists")
         .partitionBy("split", "shard")

@@ -251,9 +251,10 @@ def write_token_shards(encoded: DataFrame, path: str, max_id: int) -> None:
     register(encoded.sparkSession)
     totals = encoded.groupBy("split", "shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     rows = bos_offsets(encoded).join(totals, ["split", "shard"])
+    tasks = max(1, totals.count())
     (
         rows.select("split", "shard", "start", "shard_tokens", "tokens")
-        .repartition("split", "shard")
+        .repartition(tasks, "split", "shard")
         .sortWithinPartitions("split", "shard", "start")
         .write.format("token_shard")
         .option("itemSize", item_size(max_id))

@@ -53,7 +53,7 @@ def ingest_batch(
     carry = _carry(state)
     if carry.split < len(budgets):
         plan = find_ranges(store_order(batch, seed), budgets, tokens_per_shard, carry)
-        rows = sharded_documents(batch, plan, seed).repartition("split", "shard")
+        rows = sharded_documents(batch, plan, seed).repartition(max(1, len(plan.ranges)), "split", "shard")
         rows.write.mode("overwrite").partitionBy("split", "shard").parquet(f"{path}/batch={batch_id}")
         carry = plan.carry
     after = [(carry.split, carry.split_tokens, carry.shard, carry.shard_tokens)]
