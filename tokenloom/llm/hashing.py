@@ -51,7 +51,7 @@ def windows_hash(h: np.ndarray, k: int) -> np.ndarray:
         return h
     k = min(k, len(h))
     n = len(h) - k + 1
-    out = np.full(n, np.uint64(k) * GOLDEN, np.uint64)
+    out = np.full(n, k, np.uint64) * GOLDEN
     for i in range(k):
         out = (out ^ h[i : i + n]) * _M1 + (out >> _S31)
     return mix(out)

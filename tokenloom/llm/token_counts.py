@@ -89,7 +89,7 @@ def truncated_totals(table: DataFrame, limits: list[int]) -> DataFrame:
 
     A limit below the shortest document keeps ``limit`` tokens of every document.
     """
-    asked = table.select(F.explode(F.array(*map(F.lit, limits))).cast("long").alias("context"), "*")
+    asked = table.select(F.explode(F.array(*(F.lit(n).cast("long") for n in limits))).alias("context"), "*")
     found = asked.groupBy("context").agg(
         F.max(F.when(F.col("n_tokens") <= F.col("context"), F.struct("n_tokens", "tokens_within", "docs_over"))).alias("at"),
         F.sum("n_docs").alias("docs"),

@@ -36,8 +36,8 @@ LOOK_ALIKE = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l",
 }
 ACCENTS = str.maketrans("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy", "")
-# Cost, in nats, of one look-alike sign, one extra repetition and one dropped sign.
-SIGN_COST, REPEAT_COST, DROP_COST = 1.0, 0.7, 2.5
+# Cost, in nats, of one look-alike sign, one extra repetition, one dropped mark and one dropped digit.
+SIGN_COST, REPEAT_COST, DROP_COST, DIGIT_DROP_COST = 1.0, 0.7, 2.5, 9.0
 TRAIN_DOCUMENTS = 20_000
 REJECT = 0.7
 PREFIXES = (4, 5, 6)
@@ -112,7 +112,7 @@ class Decoder:
             steps: dict = {}
             for (a, b), (spent, text) in paths.items():
                 if not options or not "a" <= sign <= "z":
-                    drop = spent + (DROP_COST if options else 0.0)
+                    drop = spent + (DIGIT_DROP_COST if sign.isdigit() else DROP_COST if options else 0.0)
                     if drop < steps.get((a, b), (1e18,))[0]:
                         steps[a, b] = (drop, text)
                 for letter, extra in options:
