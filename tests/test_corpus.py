@@ -1,6 +1,5 @@
 import json
 import random
-import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +81,20 @@ def test_bad_documents(spark):
     assert [r["doc_id"] for r in C.usable_documents(docs).collect()] == [0]
 
 
+def test_missing_and_repeated_ids(spark):
+    rows = [(1, "a", (2,)), (1, "b", (2,)), (2, "c", (2,)), (None, "d", (3,)), (3, "e", (4,))]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    problems = sorted((r["doc_id"] or 0, r["problem"]) for r in C.bad_documents(docs).collect())
+    assert problems == [(0, "missing doc_id"), (1, "repeated doc_id"), (1, "repeated doc_id")]
+    with pytest.raises(Exception, match="missing doc_id"):
+        C.plan_shards(docs, {"train": 5}, 2)
+    with pytest.raises(ValueError, match="repeated doc_id"):
+        C.plan_shards(docs.where("doc_id IS NOT NULL"), {"train": 5}, 2)
+    plan = C.plan_shards(docs, {"train": 6}, 2, strict=False)
+    placed = plan.placements().collect()
+    assert sorted(r["doc_id"] for r in placed) == [2, 3] and sum(r["token_count"] for r in placed) == 6
+
+
 def test_shortfall(spark):
     docs = C.running_tokens(_docs(spark, [3] * 5))
     rows = C.budget_shortfall(docs, {"train": 5, "validation": 40}).collect()
@@ -92,10 +105,10 @@ def test_shortfall(spark):
         C.budget_shortfall(docs, {"train": 5, "validation": 40}, strict=True)
 
 
-def test_files_round_trip(spark):
+def test_files_round_trip(spark, tmp_path):
     docs = _docs(spark, [3, 4, 5, 6, 7, 8, 9, 10])
     plan = C.plan_shards(docs, {"train": 30, "validation": 10}, 12)
-    path = tempfile.mkdtemp() + "/corpus"
+    path = f"{tmp_path}/corpus"
     placed = C.sharded_documents(docs, plan)
     IO.write_shards(placed, path)
     with pytest.raises(Exception, match="already exists"):
@@ -120,9 +133,9 @@ def test_files_round_trip(spark):
         IO.read_split(spark, path + "-no-text")
 
 
-def test_manifests(spark):
+def test_manifests(spark, tmp_path):
     docs = _docs(spark, [3] * 5)
-    root = tempfile.mkdtemp()
+    root = str(tmp_path)
     budgets = {"train": 5, "validation": 4}
     plan = C.plan_shards(docs, budgets, 100)
     IO.write_manifest(C.corpus_manifest(plan.placements(), budgets), f"{root}/a/manifest", 42, docs)

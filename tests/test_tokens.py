@@ -21,6 +21,9 @@ def test_vocab_and_both_encoders(spark):
         encoder = T.vocab_encoder(vocab, broadcast_terms=limit)
         got = {r["doc_id"]: r["tokens"] for r in T.encode_documents(docs, encoder).collect()}
         assert got == expected
+    again = docs.union(docs).union(spark.createDataFrame([(0, "b b a"), (None, "c")], docs.schema))
+    both = [sorted(map(str, T.encode_documents(again, T.vocab_encoder(vocab, broadcast_terms=n)).select("doc_id", "tokens").collect())) for n in (10, 0)]
+    assert both[0] == both[1] and len(both[0]) == 14
     assert T.encode_documents(docs, encoder).where(F.size("tokens") != F.col("n_tokens")).count() == 0
 
 

@@ -31,23 +31,40 @@ AFTER_EVERY_KEY = "~"
 
 
 def document_problem() -> Column:
-    """Why a document's token count cannot be used, or null."""
+    """Why a document cannot be used by itself, or null."""
     count = F.col("metadata.token_count")
     return (
-        F.when(F.col("metadata").isNull(), "missing metadata")
+        F.when(F.col("doc_id").isNull(), "missing doc_id")
+        .when(F.col("metadata").isNull(), "missing metadata")
         .when(count.isNull(), "missing token_count")
         .when(count < 0, "negative token_count")
     )
 
 
+def _with_problems(df: DataFrame) -> DataFrame:
+    """``df`` with ``problem``, ids that occur more than once included."""
+    repeated = df.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1")
+    again = F.when(F.col("_n") > 1, "repeated doc_id")
+    return df.join(repeated, "doc_id", "left").withColumn("problem", F.coalesce(document_problem(), again)).drop("_n")
+
+
 def bad_documents(df: DataFrame) -> DataFrame:
-    return df.withColumn("problem", document_problem()).where(F.col("problem").isNotNull())
+    """Documents a build refuses, each with its first problem."""
+    return _with_problems(df).where(F.col("problem").isNotNull())
+
+
+def sound_documents(df: DataFrame) -> DataFrame:
+    """The rest of :func:`bad_documents`: what a build takes that sets bad documents aside."""
+    return _with_problems(df).where(F.col("problem").isNull()).drop("problem")
 
 
 def checked_documents(df: DataFrame) -> DataFrame:
-    """Strict form of :func:`bad_documents`: the job fails on the first one."""
+    """Strict form of :func:`bad_documents`: the job fails on the first one.
+
+    Repeated ids are found in the stored order, see :func:`store_order`.
+    """
     problem = document_problem()
-    message = F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(": "), problem)
+    message = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("?")), F.lit(": "), problem)
     return df.withColumn("metadata", F.when(problem.isNull(), F.col("metadata")).otherwise(F.raise_error(message)))
 
 
@@ -227,10 +244,20 @@ def find_ranges(
     return ShardPlan(order, ranges, left, budgets)
 
 
-def store_order(df: DataFrame, seed: int = DEFAULT_SEED, digits: int = BUCKET_DIGITS) -> DataFrame:
+def store_order(df: DataFrame, seed: int = DEFAULT_SEED, digits: int = BUCKET_DIGITS, strict: bool = True) -> DataFrame:
     """running_tokens as a stored table, sorted so that a range of totals is
-    found by the statistics of its row groups."""
-    return stage(running_tokens(df, seed, digits).sortWithinPartitions("cum_tokens"), "order")
+    found by the statistics of its row groups.
+
+    A bad document stops the build here; without ``strict`` bad ones are set
+    aside, see :func:`bad_documents` (then place :func:`sound_documents`). With
+    ids present and unique, ranges of keys hold exactly what was planned.
+    """
+    taken = checked_documents(df) if strict else sound_documents(df)
+    order = stage(running_tokens(taken, seed, digits).sortWithinPartitions("cum_tokens"), "order")
+    again = order.groupBy("order_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1").take(1)
+    if again:
+        raise ValueError(f"document {again[0]['doc_id']}: repeated doc_id")
+    return order
 
 
 def plan_shards(
@@ -239,9 +266,10 @@ def plan_shards(
     tokens_per_shard: int | None,
     seed: int = DEFAULT_SEED,
     digits: int = BUCKET_DIGITS,
+    strict: bool = True,
 ) -> ShardPlan:
     """Store the narrow order once, then find the shard ranges in it."""
-    return find_ranges(store_order(df, seed, digits), budgets, tokens_per_shard)
+    return find_ranges(store_order(df, seed, digits, strict), budgets, tokens_per_shard)
 
 
 def _range_table(df: DataFrame, ranges: Sequence[KeyRange], digits: int) -> DataFrame:
@@ -304,7 +332,7 @@ def budget_shortfall(order: DataFrame, budgets: Mapping[str, int], strict: bool
         name = list(budgets)[plan.carry.split]
         rows.append((name, plan.carry.split_tokens, budgets[name]))
         if strict:
-            raise ValueError(f"documents ended after {rows[0][1]} {name} tokens, before the requested {rows[0][2]}")
+            raise ValueError(f"split {name!r} needs {rows[0][2]} tokens but got {rows[0][1]}")
     return order.sparkSession.createDataFrame(rows, "split string, got_tokens long, wanted_tokens long")
 
 

@@ -140,6 +140,27 @@ def cap_packs(packs: DataFrame, counts: DataFrame, max_samples: int, shard_order
     return pack_numbers(packs, counts, shard_order).where(F.col("pack_number") < max_samples)
 
 
+def first_packs(
+    encoded: DataFrame, seq_len: int, max_samples: int, bos: P.Markers, eos: P.Markers = None, shard_order: DataFrame | None = None
+) -> DataFrame:
+    """:func:`cap_packs` on encoded documents: only what the cap keeps is cut.
+
+    The cap becomes a number of packs per shard; shards past it, and documents
+    that begin past their shard's last pack, are dropped by their places.
+    """
+    if max_samples <= 0:
+        raise ValueError("max_samples must be positive")
+    shards = shard_packs(encoded, seq_len).withColumn("pack", F.lit(0))
+    places = pack_numbers(shards.drop("packs"), shards, shard_order)
+    limits = shards.drop("pack").join(places.drop("pack"), ["split", "shard"]).select(
+        "split", "shard", F.col("pack_number").alias("_before"), F.least("packs", max_samples - F.col("pack_number")).alias("_limit")
+    ).where("_limit > 0")
+    kept = bos_offsets(encoded).join(limits, ["split", "shard"]).where(F.col("start") <= F.col("_limit") * seq_len)
+    packs = finish_packs(cut_packs(kept.drop("_before", "_limit"), seq_len), seq_len, bos, eos)
+    numbered = packs.join(limits, ["split", "shard"]).where(F.col("pack") < F.col("_limit"))
+    return numbered.withColumn("pack_number", F.col("_before") + F.col("pack")).drop("_before", "_limit")
+
+
 def batch_packs(packs: DataFrame, counts: DataFrame, batch_size: int, shard_order: DataFrame | None = None) -> DataFrame:
     """Batches of consecutive packs; the last one of a split may be short."""
     if batch_size <= 0:

@@ -93,21 +93,23 @@ def _broadcast_vocab_encoder(vocab: DataFrame) -> Callable[[DataFrame], DataFram
 
 
 def _joined_vocab_encoder(vocab: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """For vocabularies of any size: look every distinct word of a document up
-    by a join. Words are paired with their places first, so that a frequent
-    word counts once per document, not once per use."""
+    """For vocabularies of any size: look every distinct word of a text up by a
+    join. Ids depend on the text alone, so texts are told apart by their digest:
+    repeated or missing document ids change nothing, and a text that occurs
+    often is looked up once. Words are paired with their places first, so that
+    a frequent word counts once per text, not once per use."""
 
     def add_ids(df: DataFrame) -> DataFrame:
         places = (
-            df.select("doc_id", F.posexplode(words(F.col("text"))).alias("place", "term"))
-            .groupBy("doc_id", "term")
-            .agg(F.collect_list("place").alias("places"))
+            df.select(F.md5("text").alias("_text"), F.posexplode(words(F.col("text"))).alias("place", "term"))
+            .groupBy("_text", "term")
+            .agg(F.collect_set("place").alias("places"))
         )
         known = places.join(vocab.select("term", "id"), "term", "left")
         placed = F.transform("places", lambda p: F.struct(p.alias("place"), F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))
-        ids = known.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("placed"))
-        joined = df.join(ids.select("doc_id", F.col("placed.id").alias("ids")), "doc_id", "left")
-        return joined.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>")))
+        ids = known.groupBy("_text").agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("placed"))
+        joined = df.withColumn("_text", F.md5("text")).join(ids.select("_text", F.col("placed.id").alias("ids")), "_text", "left")
+        return joined.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop("_text")
 
     return add_ids
 

@@ -40,19 +40,21 @@ CORPUS_SQL = r"""corpus AS (
 
 
 def bad_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The corpus with some token counts lost, negated or zeroed."""
+    """The corpus with some token counts lost, negated or zeroed, and some ids lost or repeated."""
     case = F.pmod("doc_id", F.lit(50))
+    identifier = F.when(case == 12, F.col("doc_id") + 1).when(case != 11, F.col("doc_id"))
     count = F.col("metadata.token_count")
     damaged = (
         F.when(case == 8, F.lit(None)).when(case == 9, -1 - count).when(case == 10, F.lit(0)).otherwise(count)
     )
     metadata = F.when(case != 7, F.struct(damaged.cast("long").alias("token_count")))
-    return corpus(spark, sf_dir).withColumn("metadata", metadata)
+    return corpus(spark, sf_dir).withColumn("metadata", metadata).withColumn("doc_id", identifier)
 
 
 BAD_CORPUS_SQL = CORPUS_SQL + """,
 bad_corpus AS (
-  SELECT doc_id, text, doc_id % 50 <> 7 AS has_metadata,
+  SELECT CASE WHEN doc_id % 50 = 12 THEN doc_id + 1 WHEN doc_id % 50 <> 11 THEN doc_id END AS doc_id,
+         text, doc_id % 50 <> 7 AS has_metadata,
          CASE WHEN doc_id % 50 IN (7, 8) THEN NULL
               WHEN doc_id % 50 = 9 THEN -1 - token_count
               WHEN doc_id % 50 = 10 THEN 0
@@ -302,6 +304,31 @@ def evaluations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return manifests, results
 
 
+def user_evaluations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Manifests and result texts, one evaluation for each user: every kind of
+    event is a task, scored by its largest value."""
+    u, task = F.col("user_id"), F.col("event_type")
+    by_task = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(
+        F.max("value").cast("string").alias("top"), F.min("value").cast("string").alias("low"), F.count("*").alias("n")
+    )
+    error = F.when(u % 3 == 0, '"N/A"').otherwise(F.col("low"))
+    entry = F.concat(
+        F.lit('"'), task, F.lit('":{"alias":"x","acc,none":'), F.col("top"), F.lit(',"acc_stderr,none":'), error,
+        F.lit(',"N":'), F.col("n").cast("string"), F.lit("}"),
+    )
+    users = by_task.groupBy(u.alias("folder")).agg(
+        F.sum("n").alias("training_step"), F.array_join(F.sort_array(F.collect_list(entry)), ",").alias("tasks")
+    )
+    f = F.col("folder")
+    manifests = users.select(
+        f, F.format_string("u%d", f).alias("run_name"), F.lit("pretrain").alias("suite"),
+        F.when(f % 7 == 0, "smoke").otherwise("full").alias("phase"),
+        F.when(f % 5 == 0, "failed").otherwise("complete").alias("status"),
+        "training_step", F.format_string("/runs/u%d", f).alias("checkpoint"),
+    )
+    return manifests, users.select(f, F.concat(F.lit('{"results":{'), "tasks", F.lit("}}")).alias("value"))
+
+
 METRICS_SQL = """metrics AS (
   SELECT event_id AS evaluation, 'u' || user_id AS run, 'pretrain' AS suite, event_type AS task, m.metric,
          event_id % 1000 + 1 AS step, CASE m.metric WHEN 'acc,none' THEN value ELSE CAST(event_id % 4 AS DOUBLE) END AS value,

@@ -104,6 +104,14 @@ def split_by_budget(spark, sf):
     return plan.placements().select("doc_id", "token_count", "cum_tokens", "split")
 
 
+def sound_build(spark, sf):
+    """A build over a damaged corpus that sets its bad documents aside."""
+    order = C.store_order(A.bad_corpus(spark, sf), strict=False)
+    total = order.agg(F.max("cum_tokens")).first()[0]
+    plan = C.find_ranges(order, {"train": total * 7 // 10, "validation": total // 10}, None)
+    return plan.placements().select("doc_id", "token_count", "cum_tokens", "split")
+
+
 def assign_shards(spark, sf):
     return _plan(spark, sf).placements().select("doc_id", "token_count", "split", "shard")
 
@@ -122,12 +130,11 @@ def corpus_manifest(spark, sf):
 def audit_shards(spark, sf):
     user = F.col("user_id")
     events = A.table(spark, sf, "events")
-    folders = events.select(user.alias("folder")).distinct()
     expected = F.when(F.col("folder") % 5 == 0, None).when(F.col("folder") % 11 == 0, 3).otherwise(5).cast("long")
-    manifests = folders.where(F.col("folder") % 7 != 0).select(
-        "folder", (F.col("folder") % 13 != 0).alias("readable"), expected.alias("parquet_shards")
-    )
-    files = events.where(user % 17 != 0).select(user.alias("folder"), F.col("event_type").alias("path")).distinct()
+    moved = lambda n: F.when(user % n == 0, user + 1_000_000).otherwise(user)
+    folders = events.select(moved(7).alias("folder")).distinct()
+    manifests = folders.select("folder", (F.col("folder") % 13 != 0).alias("readable"), expected.alias("parquet_shards"))
+    files = events.select(moved(17).alias("folder"), F.col("event_type").alias("path")).distinct()
     return C.audit_shards(manifests, files)
 
 
@@ -151,6 +158,13 @@ def encode_documents(spark, sf):
     return encoded.select("doc_id", "n_tokens", digest("tokens").alias("tokens_md5"))
 
 
+def encode_documents_joined(spark, sf):
+    """As encode_documents, with a vocabulary that is taken to be too large to broadcast."""
+    docs = A.documents(spark, sf).select("doc_id", "text")
+    encoded = T.encode_documents(docs, T.vocab_encoder(_vocab(spark, sf), broadcast_terms=0))
+    return encoded.select("doc_id", "n_tokens", digest("tokens").alias("tokens_md5"))
+
+
 def encode_bytes(spark, sf):
     docs = A.documents(spark, sf).select("doc_id", "text")
     encoded = T.encode_documents(docs, T.byte_encoder())
@@ -227,7 +241,12 @@ def mask_boundary_labels(spark, sf):
 
 
 def cap_packs(spark, sf):
-    return K.cap_packs(*_numbered(spark, sf), 500).select("split", "shard", "pack", "pack_number")
+    """The first packs of each split along its shuffled shards."""
+    encoded = _encoded(spark, sf)
+    order = K.order_shards(encoded, shuffle=True)
+    return K.first_packs(encoded, SEQ_LEN, 500, T.BOS_ID, shard_order=order).select(
+        "split", "shard", "pack", "pack_number", digest("input_ids").alias("input_ids")
+    )
 
 
 def order_shards(spark, sf):
@@ -251,9 +270,9 @@ def pack_stats(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    read_corpus, read_split, bad_documents, usable_documents, seeded_order, running_tokens, split_by_budget,
+    read_corpus, read_split, bad_documents, usable_documents, seeded_order, running_tokens, split_by_budget, sound_build,
     assign_shards, budget_shortfall, corpus_manifest, audit_shards, split_overlap, corpus_progress,
-    build_vocab, encode_documents, encode_bytes, token_width, bos_offsets, shard_headers, tokenization_manifest,
+    build_vocab, encode_documents, encode_documents_joined, encode_bytes, token_width, bos_offsets, shard_headers, tokenization_manifest,
     document_samples, cut_packs, shift_labels, segment_ids, position_ids, mask_boundary_labels, cap_packs,
     order_shards, batch_packs, pack_stats,
 )}
@@ -346,15 +365,32 @@ def _with(ctes: str, body: str) -> str:
 
 _PER_PACK = "GROUP BY split, shard, pack"
 
+_ENCODED = _with(VOCAB + "," + _ids_sql("corpus", "word_ids"), f"""
+        SELECT doc_id, count(*) AS n_tokens, {_joined("id", "place")} AS tokens_md5
+        FROM (SELECT * FROM word_ids UNION ALL SELECT doc_id, 0, 0 FROM corpus) GROUP BY doc_id""")
+
 ORACLES = {
     "read_corpus": "SELECT doc_id, lang, source, md5(text) AS text_md5 FROM documents",
     "read_split": _with(PLACED, """
         SELECT doc_id, shard, md5(text) AS text_md5 FROM placed WHERE split = 'train'
         QUALIFY row_number() OVER (ORDER BY shard, order_key) <= 300"""),
     "bad_documents": _with(A.BAD_CORPUS_SQL, """
-        SELECT doc_id, CASE WHEN NOT has_metadata THEN 'missing metadata' WHEN token_count IS NULL THEN 'missing token_count'
-                            ELSE 'negative token_count' END AS problem
-        FROM bad_corpus WHERE token_count IS NULL OR token_count < 0"""),
+        SELECT doc_id, problem FROM (
+          SELECT doc_id, CASE WHEN doc_id IS NULL THEN 'missing doc_id' WHEN NOT has_metadata THEN 'missing metadata'
+                              WHEN token_count IS NULL THEN 'missing token_count' WHEN token_count < 0 THEN 'negative token_count'
+                              WHEN count(*) OVER (PARTITION BY doc_id) > 1 THEN 'repeated doc_id' END AS problem
+          FROM bad_corpus) WHERE problem IS NOT NULL"""),
+    "sound_build": _with(A.BAD_CORPUS_SQL, """,
+        sound AS (SELECT doc_id, token_count FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM bad_corpus)
+                  WHERE doc_id IS NOT NULL AND n = 1 AND token_count > 0 AND length(text) > 0),
+        ordered AS (SELECT *, CAST(sum(token_count) OVER (ORDER BY md5('42:' || doc_id) ROWS UNBOUNDED PRECEDING) AS BIGINT) AS cum_tokens
+                    FROM sound),
+        budget AS (SELECT max(cum_tokens) * 7 // 10 AS train, max(cum_tokens) // 10 AS validation FROM ordered),
+        base AS (SELECT min(cum_tokens) AS base FROM ordered, budget WHERE cum_tokens >= train)
+        SELECT doc_id, token_count, cum_tokens,
+               CASE WHEN cum_tokens - token_count < train THEN 'train' ELSE 'validation' END AS split
+        FROM ordered, budget, base
+        WHERE cum_tokens - token_count < train OR cum_tokens - token_count - base < validation""".lstrip()),
     "usable_documents": _with(A.BAD_CORPUS_SQL, """
         SELECT doc_id, token_count FROM bad_corpus WHERE token_count > 0 AND length(text) > 0"""),
     "seeded_order": """
@@ -383,8 +419,9 @@ ORACLES = {
         WITH manifests AS (
           SELECT user_id AS folder, user_id % 13 <> 0 AS readable,
                  CASE WHEN user_id % 5 = 0 THEN NULL WHEN user_id % 11 = 0 THEN 3 ELSE 5 END AS recorded
-          FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 7 <> 0),
-        files AS (SELECT user_id AS folder, count(DISTINCT event_type) AS stored FROM events WHERE user_id % 17 <> 0 GROUP BY user_id)
+          FROM (SELECT DISTINCT CASE WHEN user_id % 7 = 0 THEN user_id + 1000000 ELSE user_id END AS user_id FROM events)),
+        files AS (SELECT CASE WHEN user_id % 17 = 0 THEN user_id + 1000000 ELSE user_id END AS folder,
+                         count(DISTINCT event_type) AS stored FROM events GROUP BY folder)
         SELECT folder, CAST(recorded AS BIGINT) AS recorded_shards, coalesce(stored, 0) AS stored_shards,
                CASE WHEN m.readable IS NULL OR stored IS NULL THEN 'incomplete'
                     WHEN NOT readable THEN 'unreadable manifest'
@@ -406,9 +443,8 @@ ORACLES = {
                     FROM placed p, budget))
         WHERE progress_tokens > 0 GROUP BY progress_tokens"""),
     "build_vocab": _with(VOCAB, "SELECT term, n, id FROM vocab"),
-    "encode_documents": _with(VOCAB + "," + _ids_sql("corpus", "word_ids"), f"""
-        SELECT doc_id, count(*) AS n_tokens, {_joined("id", "place")} AS tokens_md5
-        FROM (SELECT * FROM word_ids UNION ALL SELECT doc_id, 0, 0 FROM corpus) GROUP BY doc_id"""),
+    "encode_documents": _ENCODED,
+    "encode_documents_joined": _ENCODED,
     "encode_bytes": """
         SELECT doc_id, CAST(1 + octet_length(encode(text)) AS BIGINT) AS n_tokens,
                CAST(coalesce(list_sum(b), 0) AS BIGINT) AS id_sum, coalesce(list_last(b), 0) AS last_id
@@ -450,7 +486,12 @@ ORACLES = {
     "mask_boundary_labels": _with(CELLS, f"""
         SELECT split, shard, pack, {_joined("CASE WHEN id = 0 THEN -100 ELSE id END", "i")} AS labels
         FROM cells WHERE i > 0 {_PER_PACK}"""),
-    "cap_packs": _with(CELLS, "SELECT split, shard, pack, pack_number FROM numbered WHERE pack_number < 500"),
+    "cap_packs": _with(CELLS, f"""
+        SELECT split, shard, pack, pack_number, {_joined("id", "i")} AS input_ids
+        FROM inputs JOIN (
+          SELECT split, shard, pack, row_number() OVER (PARTITION BY split ORDER BY md5('42:' || split || '-' || shard), shard, pack) - 1 AS pack_number
+          FROM (SELECT DISTINCT split, shard, pack FROM cells)) USING (split, shard, pack)
+        WHERE pack_number < 500 GROUP BY split, shard, pack, pack_number"""),
     "order_shards": _with(PLACED, """
         SELECT split, shard, CAST(row_number() OVER (PARTITION BY split ORDER BY md5('42:' || split || '-' || shard), shard) - 1 AS INTEGER) AS shard_order
         FROM (SELECT DISTINCT split, shard FROM placed)"""),
