@@ -14,13 +14,13 @@ def _write(path, ids, width=2, magic=278895051):
 
 
 def test_shard_vector(spark, tmp_path):
-    _write(tmp_path / "train-00000.bin", [0, 10, 11, 0, 20, 21, 0, 30, 31])
+    _write(tmp_path / "train-00000.bin", [0, 61, 0, 62, 63, 64, 0, 65, 66])
     for block, size in ((4, 1), (8, 1000), (1 << 18, 1 << 20)):
         blocks = TS.read_token_shards(spark, str(tmp_path), 4, block_tokens=block, range_bytes=size)
         packs = packing.finish_packs(packing.cut_blocks(blocks, 4), 4, 0, 0).orderBy("pack").collect()
         assert [(p["input_ids"], p["labels"], p["attention_mask"], p["position_ids"]) for p in packs] == [
-            ([0, 10, 11, 0], [10, 11, 0, 20], [1, 1, 1, 2], [0, 1, 2, 0]),
-            ([20, 21, 0, 30], [21, 0, 30, 31], [1, 1, 2, 2], [0, 1, 0, 1]),
+            ([0, 61, 0, 62], [61, 0, 62, 63], [1, 1, 2, 2], [0, 1, 0, 1]),
+            ([63, 64, 0, 65], [64, 0, 65, 66], [1, 1, 2, 2], [0, 1, 0, 1]),
         ]
 
 
@@ -36,6 +36,26 @@ def test_ranges_cover_files(spark, tmp_path, count, width, top):
     assert stream == list(ids)
 
 
+def test_temporary_files_are_no_shards(spark, tmp_path):
+    (tmp_path / "_temporary-1").mkdir()
+    _write(tmp_path / "_temporary-1" / "b.bin", [1, 2, 3])
+    _write(tmp_path / "a.bin", [4, 5, 6])
+    assert [r["tokens"] for r in TS.read_token_shards(spark, str(tmp_path)).collect()] == [[4, 5, 6]]
+
+
+def test_commit_moves_all_or_none(tmp_path):
+    writer = TS.TokenShardWriter({"path": str(tmp_path), "itemSize": "2"})
+    names = []
+    for name in ("a", "b"):
+        _write(tmp_path / writer.folder.rsplit("/", 1)[1] / name, [1])
+        names.append((f"{writer.folder}/{name}", f"{tmp_path}/{name}.bin"))
+    with pytest.raises(OSError):
+        writer.commit([TS.Written([names[0]]), TS.Written([(f"{writer.folder}/missing", f"{tmp_path}/c.bin"), names[1]])])
+    assert not list(tmp_path.glob("*.bin"))
+    writer.abort([])
+    assert not list(tmp_path.iterdir())
+
+
 def test_broken_shards(spark, tmp_path):
     _write(tmp_path / "a.bin", [1, 2], magic=5)
     with pytest.raises(Exception, match="not a token shard"):

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import (
@@ -28,7 +28,10 @@ from pyspark.sql.datasource import (
 )
 
 from tokenloom.operators.tokens import MAX_SHARD_TOKENS, SHARD_MAGIC, SHARD_VERSION, bos_offsets, item_size
+from tokenloom.session import stage
 
+# Ordinals of shards are broadcast up to this many (a short row each).
+BROADCAST_SHARDS = 100_000
 HEADER_WORDS = 256
 HEADER_BYTES = 4 * HEADER_WORDS
 ROWS_PER_BATCH = 64
@@ -40,6 +43,12 @@ def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else f"/{path}")
 
 
+def _is_shard(path: str, root: str) -> bool:
+    """Whether a file is a committed shard: hidden and temporary folders do not count."""
+    below = path.removeprefix(root).strip("/").split("/")
+    return path.endswith(".bin") and not any(part.startswith(("_", ".")) for part in below)
+
+
 @dataclass
 class FileRange(InputPartition):
     """One of ``parts`` equal ranges of blocks of one file."""
@@ -69,7 +78,7 @@ class TokenShardReader(DataSourceReader):
             found = files.get_file_info(fs.FileSelector(path, recursive=True))
         else:
             found = [info]
-        shards = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and f.path.endswith(".bin"))
+        shards = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and _is_shard(f.path, path))
         if not shards:
             raise FileNotFoundError(f"no token shards found in {self.path}")
         ranges = []
@@ -206,10 +215,18 @@ class TokenShardWriter(DataSourceArrowWriter):
         return done
 
     def commit(self, messages: list[Written | None]) -> None:
+        """All shards or none: a failing move puts the earlier ones back."""
         files, _ = _filesystem(self.uri)
-        for message in messages:
-            for source, name in message.moves if message else []:
-                files.move(source, name)
+        moved: list[tuple[str, str]] = []
+        try:
+            for message in messages:
+                for source, name in message.moves if message else []:
+                    files.move(source, name)
+                    moved.append((source, name))
+        except Exception:
+            for source, name in reversed(moved):
+                files.move(name, source)
+            raise
         files.delete_dir(self.folder)
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -251,10 +268,14 @@ def write_token_shards(encoded: DataFrame, path: str, max_id: int) -> None:
     register(encoded.sparkSession)
     totals = encoded.groupBy("split", "shard").agg(F.sum("n_tokens").alias("shard_tokens"))
     rows = bos_offsets(encoded).join(totals, ["split", "shard"])
-    tasks = max(1, totals.count())
+    place = F.row_number().over(Window.orderBy("split", "shard")) - 1
+    ordinals = stage(totals.select("split", "shard", place.cast("int").alias("ordinal")), "ordinals")
+    tasks = max(1, ordinals.count())
     (
         rows.select("split", "shard", "start", "shard_tokens", "tokens")
-        .repartition(tasks, "split", "shard")
+        .join(F.broadcast(ordinals) if tasks <= BROADCAST_SHARDS else ordinals, ["split", "shard"])
+        .repartitionById(tasks, "ordinal")
+        .drop("ordinal")
         .sortWithinPartitions("split", "shard", "start")
         .write.format("token_shard")
         .option("itemSize", item_size(max_id))
