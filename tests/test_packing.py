@@ -14,8 +14,8 @@ def _ids(spark, *lists):
 @pytest.mark.parametrize(
     "ids, bos, eos, segments, positions",
     [
-        ([0, 10, 11, 0, 20, 0], 0, 0, [1, 1, 1, 2, 2, 3], [0, 1, 2, 0, 1, 0]),
-        ([1, 10, 2, 1, 20, 2], 1, 2, [1, 1, 1, 2, 2, 2], [0, 1, 2, 0, 1, 2]),
+        ([7, 31, 32, 33, 7, 40, 7], 7, 7, [1, 1, 1, 1, 2, 2, 3], [0, 1, 2, 3, 0, 1, 0]),
+        ([3, 51, 52, 4, 3, 53, 4], 3, 4, [1, 1, 1, 1, 2, 2, 2], [0, 1, 2, 3, 0, 1, 2]),
         ([5], 1, None, [1], [0]),
         ([1, 1], 1, None, [1, 2], [0, 0]),
         ([9, 2, 9, 2, 1], None, [2], [1, 1, 2, 2, 3], [0, 1, 0, 1, 0]),
@@ -36,8 +36,8 @@ def test_markers_are_required(spark):
 @pytest.mark.parametrize(
     "inputs, labels, bos, eos, expected",
     [
-        ([0, 10, 0], [10, 0, 20], 0, 0, [10, 0, 20]),
-        ([1, 10, 2, 1], [10, 2, 1, 20], 1, 2, [10, 2, -100, 20]),
+        ([7, 31, 7], [31, 7, 40], 7, 7, [31, 7, 40]),
+        ([3, 51, 4, 3], [51, 4, 3, 53], 3, 4, [51, 4, -100, 53]),
     ],
 )
 def test_boundary_labels(spark, inputs, labels, bos, eos, expected):
@@ -53,11 +53,11 @@ def _encoded(spark, docs):
 
 
 def test_shard_vector(spark):
-    encoded = _encoded(spark, [(0, [0, 10, 11]), (0, [0, 20, 21]), (0, [0, 30, 31])])
+    encoded = _encoded(spark, [(0, [0, 61]), (0, [0, 62, 63, 64]), (0, [0, 65, 66])])
     rows = packing.pack_documents(encoded, 4, 0, 0).orderBy("pack").collect()
     assert [(r["input_ids"], r["labels"], r["attention_mask"], r["position_ids"]) for r in rows] == [
-        ([0, 10, 11, 0], [10, 11, 0, 20], [1, 1, 1, 2], [0, 1, 2, 0]),
-        ([20, 21, 0, 30], [21, 0, 30, 31], [1, 1, 2, 2], [0, 1, 0, 1]),
+        ([0, 61, 0, 62], [61, 0, 62, 63], [1, 1, 2, 2], [0, 1, 0, 1]),
+        ([63, 64, 0, 65], [64, 0, 65, 66], [1, 1, 2, 2], [0, 1, 0, 1]),
     ]
 
 

@@ -31,7 +31,7 @@ def _record_problem() -> Column:
     step = F.col("step")
     return (
         F.when(F.col("malformed"), "record cannot be read")
-        .when(step.isNull() | (step < 0) | (step != F.floor(step)), "step must be a nonnegative integer")
+        .when(step.isNull() | (step < 0) | (step != F.floor(step)), "step is no whole number from 0")
         .when(F.col("val_loss").isNull(), "val_loss must be a number")
     )
 
@@ -84,7 +84,7 @@ def invalid_runs(runs: DataFrame) -> DataFrame:
     for name in ("global_batch", "seq_len", "max_steps", "decay_end"):
         positive = positive & (F.col(name) > 0)
     checks = {
-        "expected a WSD schedule": F.upper("decay_style") == "WSD",
+        "schedule is not warm-up, plateau, decay": F.upper("decay_style") == "WSD",
         "batch, length, steps and decay end must be positive": positive,
         "decay must lie within the run": F.col("decay_steps").between(0, F.col("decay_end")),
         "warm-up must lie within the run": F.col("warmup_steps").between(0, F.col("decay_end")),
@@ -140,7 +140,7 @@ def fit_eligibility(points: DataFrame) -> DataFrame:
         F.when(F.col("points") < MIN_FIT_POINTS, "need at least four points")
         .when(
             (F.col("invalid") > 0) | (F.col("distinct_tokens") < F.col("points")),
-            "tokens must be distinct and positive, losses finite and positive",
+            "fit needs distinct tokens and positive finite values",
         )
         .when(F.col("trend") >= 0, "no decreasing trend")
     )
@@ -341,6 +341,19 @@ def forecast_guards(trials: DataFrame, requested: DataFrame | None = None) -> Da
     )
 
 
+def unfitted_runs(runs: DataFrame, logs: DataFrame, points: DataFrame) -> DataFrame:
+    """``run, problem`` of every run that cannot be fitted: without a log line,
+    without a point to fit, or with points that determine no curve."""
+    present = logs.groupBy("run").agg(F.lit(True).alias("logged"))
+    checked = runs.select("run").join(present, "run", "left").join(fit_eligibility(points), "run", "left")
+    problem = (
+        F.when(F.col("logged").isNull(), "no validation log")
+        .when(F.col("points").isNull(), "no point to fit")
+        .otherwise(F.col("problem"))
+    )
+    return checked.select("run", problem.alias("problem")).where(F.col("problem").isNotNull())
+
+
 def skipped_trials(trials: DataFrame, reasons: Sequence[DataFrame]) -> DataFrame:
     """The first reason each trial was not fitted.
 

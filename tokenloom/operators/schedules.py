@@ -69,11 +69,15 @@ def ablation_schedule(runs: DataFrame, states: DataFrame, strict: bool = False)
     step, epoch. The decay keeps its length unless the budget is shorter.
     """
     joined = runs.join(states, "run")
-    additional = ceil_div(F.col("ablation_tokens"), F.col("global_batch").cast("long") * F.col("seq_len"))
+    positive = (F.col("ablation_tokens") > 0) & (F.col("global_batch") > 0) & (F.col("seq_len") > 0)
+    usable = F.coalesce(positive, F.lit(False))
+    additional = F.when(usable, ceil_div(F.col("ablation_tokens"), F.col("global_batch").cast("long") * F.col("seq_len")))
     decay = F.when(F.col("configured_decay") > 0, F.col("configured_decay")).otherwise(
         F.coalesce("derived_decay", F.lit(0))
     ).cast("long")
-    problem = F.when(F.col("step") < 0, "saved step must not be negative").when(
+    problem = F.when(~usable, "tokens, batch and length must be positive").when(
+        F.coalesce(F.col("step") < 0, F.lit(True)), "saved step must not be negative"
+    ).when(
         F.col("original_decay") <= 0, "a positive decay duration is required"
     )
     planned = (

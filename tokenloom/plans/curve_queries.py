@@ -69,8 +69,8 @@ def run_summary(spark, sf):
 
 def select_attempt(spark, sf):
     e, u = F.col("event_id"), F.col("user_id")
-    configs = A.table(spark, sf, "events").where(u % 19 != 0).select(
-        (u % 10).alias("study"), u.alias("trial"),
+    configs = A.table(spark, sf, "events").select(
+        (u % 10).alias("study"), F.when(u % 19 == 0, u + 1_000_000).otherwise(u).alias("trial"),
         F.format_string("/s/trial_%04d/attempt_%02d_local_batch_%d/config.yaml", u, e % 4, e % 3).alias("path"),
     )
     return V.select_attempt(configs, _trials(spark, sf))
@@ -121,7 +121,8 @@ def select_best(spark, sf):
 
 
 def forecast_guards(spark, sf):
-    trials = _trials(spark, sf).where(F.col("trial") % 6 != 1)
+    renamed = F.when(F.col("trial") % 6 == 1, -F.col("trial")).otherwise(F.col("trial"))
+    trials = _trials(spark, sf).withColumn("trial", renamed)
     requested = A.table(spark, sf, "orders").select(
         (F.col("o_custkey") % 10).alias("study"), F.col("o_custkey").alias("trial")
     ).distinct()
@@ -129,14 +130,14 @@ def forecast_guards(spark, sf):
 
 
 def skipped_trials(spark, sf):
-    logs, runs = A.logs(spark, sf), A.runs(spark, sf)
+    """Some runs' logs lie elsewhere, so that they have none."""
+    runs = A.runs(spark, sf)
+    elsewhere = F.when(F.col("run") % 23 == 0, F.col("run") + 1_000_000).otherwise(F.col("run"))
+    logs = A.logs(spark, sf).withColumn("run", elsewhere)
     no_config = runs.where(F.col("run") % 19 == 0).select("run", F.lit("no saved configuration").alias("problem"))
     bad_schedule = V.invalid_runs(runs).select("run", F.get("reasons", F.lit(0)).alias("problem"))
-    bad_lines = V.invalid_records(logs.where(F.col("run") % 3 == 0))
-    first_bad = bad_lines.groupBy("run").agg(
-        F.min_by("problem", "line_no").alias("problem")
-    )
-    unfit = V.fit_eligibility(_fit_points(spark, sf)).where(~F.col("eligible"))
+    first_bad = V.invalid_records(logs).groupBy("run").agg(F.min_by("problem", "line_no").alias("problem"))
+    unfit = V.unfitted_runs(runs, logs, _fit_points(spark, sf))
     return V.skipped_trials(runs, [no_config, bad_schedule, first_bad, unfit])
 
 
@@ -147,7 +148,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 RECORD_PROBLEM = """CASE WHEN malformed THEN 'record cannot be read'
-    WHEN step IS NULL OR step < 0 OR step <> floor(step) THEN 'step must be a nonnegative integer'
+    WHEN step IS NULL OR step < 0 OR step <> floor(step) THEN 'step is no whole number from 0'
     WHEN val_loss IS NULL THEN 'val_loss must be a number' END"""
 
 POINTS = A.LOGS_SQL + "," + A.RUNS_SQL + f""",
@@ -162,7 +163,7 @@ classed AS (
 eligibility AS (
   SELECT run, count(*) AS points,
          CASE WHEN count(*) < 4 THEN 'need at least four points'
-              WHEN count(DISTINCT tokens) < count(*) OR bool_or(loss <= 0) THEN 'tokens must be distinct and positive, losses finite and positive'
+              WHEN count(DISTINCT tokens) < count(*) OR bool_or(loss <= 0) THEN 'fit needs distinct tokens and positive finite values'
               WHEN covar_pop(ln(tokens), loss) >= 0 THEN 'no decreasing trend' END AS problem
   FROM classed WHERE reason = 'fit' GROUP BY run)"""
 
@@ -193,7 +194,7 @@ ORACLES = {
     "invalid_runs": _with(A.RUNS_SQL, """
         SELECT run, reasons FROM (
           SELECT run, concat_ws('; ',
-                   CASE WHEN upper(decay_style) <> 'WSD' THEN 'expected a WSD schedule' END,
+                   CASE WHEN upper(decay_style) <> 'WSD' THEN 'schedule is not warm-up, plateau, decay' END,
                    CASE WHEN run % 17 = 0 THEN 'batch, length, steps and decay end must be positive' END,
                    CASE WHEN run % 7 = 0 AND run % 50 + 18 > decay_end THEN 'decay must lie within the run' END,
                    CASE WHEN run % 11 = 0 THEN 'warm-up must lie within the run' END,
@@ -204,8 +205,9 @@ ORACLES = {
                (decay_end - decay_steps) * global_batch * seq_len AS decay_start_tokens FROM runs"""),
     "select_attempt": """
         WITH configs AS (
-          SELECT user_id AS trial, 'attempt_0' || event_id % 4 || '_local_batch_' || event_id % 3 AS attempt, event_id % 4 AS n
-          FROM events WHERE user_id % 19 <> 0)
+          SELECT CASE WHEN user_id % 19 = 0 THEN user_id + 1000000 ELSE user_id END AS trial,
+                 'attempt_0' || event_id % 4 || '_local_batch_' || event_id % 3 AS attempt, event_id % 4 AS n
+          FROM events)
         SELECT t.trial % 10 AS study, t.trial,
                '/s/trial_' || lpad(CAST(t.trial AS VARCHAR), 4, '0') || '/' || max(c.attempt) || '/config.yaml' AS path,
                CASE WHEN max(c.attempt) IS NULL THEN 'no saved configuration for the completed attempt' END AS problem
@@ -248,21 +250,22 @@ ORACLES = {
                arg_min(r_squared, (predicted_loss, trial)) FILTER (r_squared >= 0.95::DOUBLE) AS r_squared
         FROM best GROUP BY study"""),
     "forecast_guards": """
-        WITH t AS (SELECT user_id % 10 AS study, user_id AS trial, CASE WHEN user_id % 10 = 3 THEN user_id % 4 END AS size,
+        WITH t AS (SELECT user_id % 10 AS study, CASE WHEN user_id % 6 = 1 THEN -user_id ELSE user_id END AS trial, CASE WHEN user_id % 10 = 3 THEN user_id % 4 END AS size,
                           CASE WHEN user_id % 10 <> 4 THEN 1 + user_id % 2 END AS budget
-                   FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 6 <> 1)
+                   FROM (SELECT DISTINCT user_id FROM events))
         SELECT study, CAST(NULL AS BIGINT) AS trial, 'more than one model size or budget' AS problem FROM t GROUP BY study
         HAVING count(DISTINCT coalesce(size, -1)) <> 1 OR count(DISTINCT coalesce(budget, -1)) <> 1
         UNION ALL
         SELECT study, trial, 'trial is not completed' FROM (SELECT DISTINCT o_custkey % 10 AS study, o_custkey AS trial FROM orders) r
         WHERE trial NOT IN (SELECT trial FROM t)""",
     "skipped_trials": _with(POINTS, f"""
-        SELECT run, coalesce(config, style, record, problem) AS reason FROM (
-          SELECT r.run, CASE WHEN r.run % 19 = 0 THEN 'no saved configuration' END AS config,
-                 CASE WHEN upper(decay_style) <> 'WSD' THEN 'expected a WSD schedule' END AS style, b.record, e.problem
+        SELECT run, coalesce(config, style, no_log, record, no_points, problem) AS reason FROM (
+          SELECT r.run, CASE WHEN r.run % 23 = 0 THEN 'no validation log' END AS no_log,
+                 CASE WHEN e.run IS NULL THEN 'no point to fit' END AS no_points, CASE WHEN r.run % 19 = 0 THEN 'no saved configuration' END AS config,
+                 CASE WHEN upper(decay_style) <> 'WSD' THEN 'schedule is not warm-up, plateau, decay' END AS style, b.record, e.problem
           FROM runs r LEFT JOIN (
             SELECT run, arg_min(record, line_no) AS record FROM (SELECT run, line_no, {RECORD_PROBLEM} AS record FROM logs)
-            WHERE record IS NOT NULL AND run % 3 = 0 GROUP BY run) b USING (run)
+            WHERE record IS NOT NULL GROUP BY run) b USING (run)
           LEFT JOIN eligibility e USING (run))
         WHERE reason IS NOT NULL"""),
 }

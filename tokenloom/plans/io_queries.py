@@ -20,10 +20,6 @@ from tokenloom.sources import token_shard as TS
 from tokenloom.streaming import ingest, losses
 
 
-# Runs share this many log files and evaluation folders.
-LOG_FILES = 20
-
-
 def _folder(spark, label):
     return f"{stage_root(spark)}/tokenloom/{label}-{uuid.uuid4().hex}"
 
@@ -74,7 +70,7 @@ def write_manifest(spark, sf):
 def read_run_logs(spark, sf):
     path = _folder(spark, "logs")
     record = F.when(F.col("malformed"), "{broken").otherwise(F.to_json(F.struct("step", "val_loss", "lr")))
-    rows = A.logs(spark, sf).select((F.col("run") % LOG_FILES).alias("run"), "line_no", record.alias("value"))
+    rows = A.logs(spark, sf).select("run", "line_no", record.alias("value"))
     rows.repartition("run").sortWithinPartitions("run", "line_no").select("run", "value").write.partitionBy("run").text(path)
     logs = R.read_run_logs(spark, f"{path}/*/*.txt")
     finite = ~F.isnan("val_loss")
@@ -95,14 +91,11 @@ def read_trials(spark, sf):
 
 
 def read_eval_results(spark, sf):
-    """The newest evaluation of each group of users, as files, back to metrics."""
+    """One evaluation of each user, over all of its events, as files, back to metrics."""
     path = _folder(spark, "evaluations")
-    manifests, results = A.evaluations(spark, sf)
-    group = (F.col("user_id") % LOG_FILES).alias("folder")
-    last = A.table(spark, sf, "events").groupBy(group).agg(F.max("event_id").alias("evaluation"))
-    manifests.join(last, "evaluation").drop("evaluation").write.partitionBy("folder").json(path)
-    texts = results.join(last, "evaluation").select("folder", F.col("content").alias("value"))
-    texts.write.mode("append").partitionBy("folder").text(path)
+    manifests, results = A.user_evaluations(spark, sf)
+    manifests.repartition("folder").write.partitionBy("folder").json(path)
+    results.repartition("folder").write.mode("append").partitionBy("folder").text(path)
     entries = E.result_entries(*R.read_eval_results(spark, path, "part-*.json", "part-*.txt"))
     return E.metrics_table(E.pair_stderr(entries)).drop("result_file")
 
@@ -174,16 +167,18 @@ ORACLES = {
                CAST(sum(token_count) FILTER (split = 'validation') AS BIGINT) AS validation_tokens
         FROM placed"""),
     "read_run_logs": f"""WITH {A.LOGS_SQL}
-        SELECT run % {LOG_FILES} AS run, row_number() OVER (PARTITION BY run % {LOG_FILES} ORDER BY line_no) AS line_no,
+        SELECT run, row_number() OVER (PARTITION BY run ORDER BY line_no) AS line_no,
                CASE WHEN NOT malformed THEN step END AS step,
                CASE WHEN NOT malformed AND NOT isnan(val_loss) THEN val_loss END AS val_loss,
                CASE WHEN NOT malformed THEN lr END AS lr, malformed
         FROM logs""",
     "read_trials": f"""WITH {A.TRIALS_SQL}
         SELECT study, trial, state, value, learning_rate, CAST(trial % 3 + 1 AS VARCHAR) AS attempts FROM trials""",
-    "read_eval_results": f"""WITH {A.METRICS_SQL}
-        SELECT run, suite, task, metric, step, value, stderr, checkpoint FROM metrics
-        WHERE evaluation IN (SELECT max(event_id) FROM events GROUP BY user_id % {LOG_FILES})""",
+    "read_eval_results": """
+        SELECT 'u' || user_id AS run, 'pretrain' AS suite, event_type AS task, 'acc,none' AS metric,
+               sum(count(*)) OVER (PARTITION BY user_id)::BIGINT AS step, max(value) AS value,
+               CASE WHEN user_id % 3 <> 0 THEN min(value) END AS stderr, '/runs/u' || user_id AS checkpoint
+        FROM events WHERE user_id % 7 <> 0 AND user_id % 5 <> 0 GROUP BY user_id, event_type""",
     "write_table": eval_queries.ORACLES["metrics_table"],
     "stream_ingest": Q._with(Q.PLACED, """
         SELECT split, shard, count(*) AS documents, CAST(sum(token_count) AS BIGINT) AS tokens FROM placed GROUP BY split, shard"""),

@@ -30,7 +30,8 @@ def schedule_errors(spark, sf):
 def ablation_schedule(spark, sf):
     k = F.col("run")
     planned = S.token_schedule(_valid(spark, sf)).select(
-        "run", "global_batch", "seq_len", (k * 131 + 5).alias("ablation_tokens"),
+        "run", F.when(k % 37 == 0, -F.col("global_batch")).otherwise(F.col("global_batch")).alias("global_batch"), "seq_len",
+        F.when(k % 41 == 0, 0).otherwise(k * 131 + 5).alias("ablation_tokens"),
         F.when(k % 4 == 0, k % 9).alias("configured_decay"), F.col("decay_steps").alias("derived_decay"),
         F.when(k % 3 != 0, k % 20).alias("num_epochs"),
     )
@@ -75,9 +76,11 @@ ORACLES = {
     "ablation_schedule": f"""WITH {CHECKED}
         SELECT run, extra AS additional_steps, step + extra AS max_steps, least(decay, extra) AS decay_steps, 0 AS warmup_steps,
                greatest(epochs, epoch + extra + 1) AS num_epochs,
-               CASE WHEN step < 0 THEN 'saved step must not be negative'
+               CASE WHEN extra IS NULL THEN 'tokens, batch and length must be positive'
+                    WHEN step < 0 THEN 'saved step must not be negative'
                     WHEN decay <= 0 THEN 'a positive decay duration is required' END AS problem
-        FROM (SELECT p.run, (p.run * 131 + 5 + global_batch * seq_len - 1) // (global_batch * seq_len) AS extra,
+        FROM (SELECT p.run, CASE WHEN p.run % 37 <> 0 AND p.run % 41 <> 0
+                          THEN (p.run * 131 + 5 + global_batch * seq_len - 1) // (global_batch * seq_len) END AS extra,
                      CASE WHEN p.run % 4 = 0 AND p.run % 9 > 0 THEN p.run % 9 ELSE decay_steps END AS decay,
                      CASE WHEN p.run % 3 <> 0 THEN p.run % 20 ELSE 1 END AS epochs,
                      o_custkey - CASE WHEN o_custkey % 50 = 0 THEN 5000 ELSE 0 END AS step, o_custkey % 3 AS epoch

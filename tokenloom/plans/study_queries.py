@@ -18,6 +18,16 @@ def _grid(spark, sf):
     return H.search_grid(_points(spark, sf), A.LEARNING_RATES, A.BATCH_SIZES)
 
 
+def _customer_trials(spark, sf):
+    """All trials, with a study for each customer."""
+    owner = A.table(spark, sf, "orders").select(F.col("o_orderkey").alias("trial"), F.format_string("c%d", "o_custkey").alias("study"))
+    return A.trials(spark, sf).drop("study").join(owner, "trial")
+
+
+def _customer_grid(trials):
+    return H.search_grid(trials.select("study").distinct(), A.LEARNING_RATES, A.BATCH_SIZES)
+
+
 def _settings(spark, sf):
     return H.best_settings(_points(spark, sf), A.trials(spark, sf), MARGIN)
 
@@ -46,13 +56,14 @@ def search_grid(spark, sf):
 
 
 def remaining_trials(spark, sf):
-    few = A.trials(spark, sf).where(F.col("value") < 1.05)
-    return H.remaining_trials(_grid(spark, sf), few, 40)
+    """What each customer, read as a study, may still add to its grid."""
+    trials = _customer_trials(spark, sf)
+    return H.remaining_trials(_customer_grid(trials), trials, 40)
 
 
 def unvisited_cells(spark, sf):
-    few = A.trials(spark, sf).where(F.col("value") < 1.05)
-    return H.unvisited_cells(_grid(spark, sf), few).select("study", "learning_rate", "global_batch_size")
+    trials = _customer_trials(spark, sf)
+    return H.unvisited_cells(_customer_grid(trials), trials).select("study", "learning_rate", "global_batch_size")
 
 
 def local_batch_candidates(spark, sf):
@@ -102,8 +113,8 @@ def best_settings(spark, sf):
 
 
 def missing_studies(spark, sf):
-    some = A.trials(spark, sf).where(F.col("study_no") % 3 != 0)
-    return H.missing_studies(_points(spark, sf), some).select("name", "study")
+    archived = F.when(F.col("study_no") % 3 == 0, F.concat(F.lit("archive-"), "study")).otherwise(F.col("study"))
+    return H.missing_studies(_points(spark, sf), A.trials(spark, sf).withColumn("study", archived)).select("name", "study")
 
 
 def fit_power_law(spark, sf):
@@ -212,14 +223,15 @@ ORACLES = {
         FROM orders""",
     "scaling_points": _with(A.POINTS_SQL, "SELECT name, study, model_size, num_parameters, compute_flops, num_tokens FROM points"),
     "search_grid": _with(A.POINTS_SQL, "SELECT study, learning_rate, global_batch_size FROM grid"),
-    "remaining_trials": _with(A.POINTS_SQL, """
-        SELECT study, grid_size, coalesce(trials, 0) AS trials, greatest(0, least(40, grid_size) - coalesce(trials, 0)) AS remaining
-        FROM (SELECT study, count(*) AS grid_size FROM grid GROUP BY study)
-        LEFT JOIN (SELECT study, count(*) AS trials FROM trials WHERE value < 1.05 GROUP BY study) USING (study)"""),
-    "unvisited_cells": _with(A.POINTS_SQL, """
-        SELECT study, learning_rate, global_batch_size FROM grid g
-        WHERE NOT EXISTS (SELECT 1 FROM trials t WHERE t.value < 1.05 AND t.study = g.study
-                          AND t.learning_rate = g.learning_rate AND t.global_batch_size = g.global_batch_size)"""),
+    "remaining_trials": """
+        SELECT 'c' || o_custkey AS study, CAST(30 AS BIGINT) AS grid_size, count(*) AS trials, greatest(0, 30 - count(*)) AS remaining
+        FROM orders GROUP BY o_custkey""",
+    "unvisited_cells": _with(A.TRIALS_SQL, """
+        SELECT 'c' || o_custkey AS study, CAST(lr AS DOUBLE) AS learning_rate, batch AS global_batch_size
+        FROM (SELECT DISTINCT o_custkey FROM orders) c,
+             (SELECT unnest([0.1, 0.01, 0.001, 0.0001, 0.00001]) AS lr), (SELECT unnest([4, 8, 16, 32, 64, 128]) AS batch)
+        WHERE NOT EXISTS (SELECT 1 FROM trials t JOIN orders o ON o.o_orderkey = t.trial
+                          WHERE o.o_custkey = c.o_custkey AND t.learning_rate = CAST(lr AS DOUBLE) AND t.global_batch_size = batch)"""),
     "local_batch_candidates": """
         WITH RECURSIVE r AS (SELECT o_orderkey AS run, o_orderkey % 37 AS configured, 8 * (1 + o_orderkey % 16) AS g, 1 + o_orderkey % 4 AS w FROM orders),
         halves AS (
@@ -248,7 +260,7 @@ ORACLES = {
         SELECT * REPLACE (round(near_optimal_learning_rate, 9) AS near_optimal_learning_rate,
                           round(near_optimal_global_batch_size, 9) AS near_optimal_global_batch_size) FROM settings"""),
     "missing_studies": _with(A.POINTS_SQL, """
-        SELECT name, study FROM points WHERE study NOT IN (SELECT study FROM trials WHERE study_no % 3 <> 0)"""),
+        SELECT name, study FROM points WHERE study NOT IN (SELECT CASE WHEN study_no % 3 = 0 THEN 'archive-' || study ELSE study END FROM trials)"""),
     "fit_power_law": """
         WITH r AS (SELECT o_custkey, CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS x,
                           o_totalprice - 2000 AS y FROM orders),
