@@ -35,9 +35,9 @@ COMMON_WORDS = {
 }
 COMMON_SLOTS = max(map(len, COMMON_WORDS.values()))
 MIN_WORDS, REPEATED_PERCENT = 50, 50
-MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.5
+MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE = 0.25, 0.27
 # Guards: characters and words a judged document has, and common words in a reference.
-MIN_CHARACTERS, MIN_JUDGED_WORDS, MIN_REFERENCE_WORDS = 200, 50, 2_000
+MIN_CHARACTERS, MIN_JUDGED_WORDS, MIN_REFERENCE_WORDS = 200, 100, 2_000
 
 # Up to this many languages are broadcast (one short row each); more are joined by a shuffle.
 BROADCAST_LANGUAGES = 10_000
