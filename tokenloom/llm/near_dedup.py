@@ -23,10 +23,11 @@ from tokenloom.llm.hashing import GOLDEN, WordHashes, free_name, mix, text_key,
 from tokenloom.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
-# 32 bands of 4 components: a pair at the threshold is missed with probability 5e-8.
-BANDS, ROWS = 32, 4
+# 40 bands of 7 components: a pair at the threshold is missed with probability 8e-5, and texts that
+# share one passage only (similarity 0.2) meet with probability 5e-4.
+BANDS, ROWS = 40, 7
 # Turns in which a bucket with separate components offers one more text for comparison, before
-# the rest of its separate components are compared in one join.
+# the texts that are still apart meet in a prefix-filtered join.
 HUB_TURNS = 3
 # Words that one block of documents holds in a task.
 BLOCK_WORDS = 300_000
@@ -69,7 +70,7 @@ def bag_min_hash(keys: np.ndarray, weights: np.ndarray, doc: np.ndarray, docs: i
     low = 1
     while len(heavy := np.flatnonzero(weights > low)):
         start = np.full(len(heavy), low, np.int64)
-        roots.append((keys[heavy] + np.uint64(low) * GOLDEN, weights[heavy], doc[heavy], start, start.copy()))
+        roots.append((keys[heavy] + start.astype(np.uint64) * GOLDEN, weights[heavy], doc[heavy], start, start.copy()))
         low *= 2
     key, weight, doc, start, size = (np.concatenate(c) for c in zip(*roots))
     stream, x, index = fresh(mix(key), np.zeros(len(key)), size)
@@ -152,25 +153,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return stage(joined.mapInArrow(_verify, "u binary, v binary, sim double").where(F.col("sim") >= threshold), "links")
 
 
+def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+    return rows.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+
+
+def _elements(batches):
+    for batch in batches:
+        found = []
+        for text in batch.column(1):
+            keys, counts = bag(text.as_py())
+            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            found.append(mix(np.repeat(keys, counts) + nth.astype(np.uint64) * GOLDEN).view(np.int64))
+        offsets = pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found)))], ["text_key", "elements"])
+
+
+def _prefix_pairs(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of ``nodes (text_key, root)`` in different components that may be near.
+
+    The n-th copy of a shingle is an element of its own, so bags are sets. With elements in
+    order of rising frequency, near sets share one among their first
+    n - ceil(threshold n) + 1, with enough elements left behind it on both sides. A passage that many texts share is frequent, so texts
+    with enough of their own do not meet by it.
+    """
+    bags = stage(texts.join(nodes, "text_key").select("text_key", "text").mapInArrow(_elements, "text_key binary, elements array<long>"), "bags")
+    spread = bags.select("text_key", F.size("elements").alias("n"), F.explode("elements").alias("e"))
+    often = spread.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    ranked = spread.join(often, "e", "left").groupBy("text_key", "n").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "e"))).alias("ranked")
+    )
+    length = (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int")
+    first = ranked.select("text_key", "n", F.posexplode(F.slice("ranked", F.lit(1), length)).alias("at", "p")).where("p.f > 1")
+    left = (F.col("n") - F.col("at")).alias("left")  # elements from this one on
+    first = stage(first.join(nodes, "text_key").select("text_key", "n", left, "root", F.col("p.e").alias("e")), "prefixes")
+    other = first.select("e", F.col("text_key").alias("v"), F.col("n").alias("m"), F.col("left").alias("v_left"), F.col("root").alias("v_root"))
+    # No more than what follows their first shared element can be shared.
+    enough = F.least("left", "v_left") >= (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9
+    fits = (F.col("root") != F.col("v_root")) & (F.col("v") < F.col("text_key")) & enough
+    return _pairs(first.join(other, "e").where(fits), "text_key", "v")
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, text_key, root, class_id, class_size, n_links)`` of every document.
 
     ``class_id`` is the least ``doc_id`` of the class. Candidates of a bucket are
-    not paired with each other: all are compared with the bucket's least text,
-    what is linked is contracted, and only members of still separate components
+    not paired with each other: all are compared with the bucket's hub, the text
+    that meets the most others over all its buckets (near copies meet their
+    original most often); what is linked is contracted, and only members of still separate components
     are compared further: one text of the bucket at a time for ``HUB_TURNS``
-    turns, then all that are still apart. So every two members of a bucket are in
+    turns, then all texts that are still apart, by a prefix filter. So every two members of a bucket are in
     one component or were compared, and components are those of all candidate pairs. ``n_links`` counts the
     verified links of the document's text.
     """
     signed = stage(signatures(docs), "signed")
     distinct = signed.groupBy("text_key").agg(F.first("bands").alias("bands"))
     banded = distinct.select("text_key", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").count().where("count > 1").select("band")
-    members = stage(banded.join(shared, "band"), "members")
-    hubs = members.groupBy("band").agg(F.min("text_key").alias("hub"))
-    star = members.join(hubs, "band").where("text_key != hub")
-    pairs = stage(star.select(F.col("text_key").alias("u"), F.col("hub").alias("v")).distinct(), "pairs")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    in_buckets = stage(banded.join(shared, "band"), "buckets")
+    central = in_buckets.groupBy("text_key").agg((-F.sum("n")).alias("place"))
+    members = stage(in_buckets.select("band", "text_key").join(central, "text_key").select("band", "text_key", "place"), "members")
+    first = F.min(F.struct("place", "text_key"))["text_key"].alias("hub")
+    star = members.join(members.groupBy("band").agg(first), "band").where("text_key != hub")
+    pairs = stage(_pairs(star, "text_key", "hub"), "pairs")
     wanted = members.select("text_key").distinct()
     texts = stage(
         docs.select(text_key().alias("text_key"), text_or_empty().alias("text"))
@@ -183,21 +227,22 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     open_rows = star
     for turn in range(HUB_TURNS + 1):
         placed = open_rows.join(roots.select(F.col("node").alias("text_key"), "root"), "text_key", "left").select(
-            "band", "text_key", F.coalesce("root", "text_key").alias("root")
+            "band", "text_key", "place", F.coalesce("root", "text_key").alias("root")
         )
-        split = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("text_key").alias("hub")).where("a != b")
+        split = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), first).where("a != b")
         rows = stage(placed.join(split.select("band", "hub"), "band"), "open")
         if rows.isEmpty():
             break
-        one = rows.select("band", F.col("text_key").alias("v"), F.col("root").alias("v_root"))
         if turn < HUB_TURNS:
-            one = one.join(rows.select("band", "hub").distinct(), "band").where("v = hub").drop("hub")
-        pairs = rows.join(one, "band").where("root != v_root AND v < text_key").select(F.col("text_key").alias("u"), "v").distinct()
+            own = rows.where("text_key = hub").select("band", F.col("root").alias("hub_root"))
+            pairs = _pairs(rows.join(own, "band").where("root != hub_root"), "text_key", "hub")
+        else:
+            pairs = _prefix_pairs(rows.select("text_key", "root").distinct(), texts, threshold)
         more = _verified(pairs, texts, threshold)
         if not more.isEmpty():
             links = links.union(more)
             roots = connected(links.select("u", "v"))
-        open_rows = rows.where("text_key != hub").select("band", "text_key")
+        open_rows = rows.where("text_key != hub").select("band", "text_key", "place")
     both = links.select(F.col("u").alias("text_key")).union(links.select(F.col("v").alias("text_key")))
     counted = both.groupBy("text_key").agg(F.count("*").alias("n_links"))
     root_of = roots.select(F.col("node").alias("text_key"), "root")
