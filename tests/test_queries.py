@@ -9,7 +9,9 @@ from tokenloom.plans.catalog import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
 # The whole list runs with ``python tests/oracle.py <table folder>``.
-SAMPLE = ["corpus_manifest", "assign_shards", "mask_boundary_labels", "best_settings", "curve_points", "metric_series", "token_schedule"]
+SAMPLE = ["corpus_manifest", "assign_shards", "mask_boundary_labels", "best_settings", "curve_points", "metric_series", "token_schedule",
+          "bad_documents", "sound_build", "encode_documents_joined", "cap_packs", "skipped_trials", "ablation_schedule",
+          "read_eval_results", "remaining_trials"]
 
 
 def test_every_query_has_its_sql():
