@@ -9,7 +9,8 @@ or subtracting their vectors:
 - ``CHECKS`` lanes sum hashes of every paragraph, for equality;
 - ``LEVELS`` x ``WIDTH`` lanes sum each paragraph's hash in one lane of one level, level i with
   probability 2^-(i+1) (the last level holds the rest), for likeness: lanes
-  that differ tell how many paragraphs two texts do not share.
+  that differ tell how many paragraphs two texts do not share. The last level
+  holds 2^-23 of the paragraphs, so no text is long enough to fill it.
 
 Cases: a null or empty text has no paragraphs and the fingerprint of zeros; two such
 texts have likeness 1; null or repeated ids and repeated rows are put in one total
@@ -26,7 +27,9 @@ from tokenloom.llm.hashing import text_or_empty
 from tokenloom.session import stage
 
 MAX_PARAGRAPH = 64
-CHECKS, LEVELS, WIDTH = 6, 5, 16
+CHECKS, LEVELS, WIDTH = 6, 24, 16
+# Levels from this one on are looked for among the hashes that belong to them only.
+DEEP = 6
 LANES = 1 + CHECKS + LEVELS * WIDTH
 _MODULUS = 1 << 32
 # Rows in one part of the order by id.
@@ -53,11 +56,13 @@ def fingerprint_lanes(text: Column) -> Column:
     def vector(hashes: Column) -> Column:
         count = F.size(hashes).cast("long") % F.lit(_MODULUS)
         checks = [_sum32(F.transform(hashes, _seeded(i))) for i in range(CHECKS)]
-        levels = [_level(hashes, level) for level in range(LEVELS)]
-        return F.concat(F.array(count, *checks), *levels)
+        levels = [_level(hashes, level) for level in range(DEEP)]
+        rest = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - DEEP) == 0)
+        deep = _let(rest, lambda own: F.concat(*(_level(own, level) for level in range(DEEP, LEVELS))))
+        return F.concat(F.array(count, *checks), *levels, deep)
 
     def _level(hashes: Column, level: int) -> Column:
-        # The top bits choose the level, the next four the lane, the low half is summed.
+        # The top 23 bits choose the level, bits 36 to 39 the lane, the low half is summed.
         mask = (1 << (LEVELS - 1)) - 1
         bits = lambda h: F.shiftrightunsigned(h, 64 - LEVELS + 1).bitwiseAND(F.lit(mask))
         if level == LEVELS - 1:
@@ -65,7 +70,7 @@ def fingerprint_lanes(text: Column) -> Column:
         else:
             least = 1 << (LEVELS - 2 - level)
             chosen = F.filter(hashes, lambda h: bits(h).between(least, 2 * least - 1))
-        lane = lambda h: F.shiftrightunsigned(h, 52).bitwiseAND(F.lit(WIDTH - 1))
+        lane = lambda h: F.shiftrightunsigned(h, 36).bitwiseAND(F.lit(WIDTH - 1))
         return _let(chosen, lambda own: F.transform(
             F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda j: F.aggregate(
                 own, F.lit(0).cast("long"), lambda a, h: F.when(lane(h) == j, (a + low(h)) % F.lit(_MODULUS)).otherwise(a)
@@ -89,7 +94,8 @@ def likeness(a: Column, b: Column) -> Column:
 
     Each level with a lane left over gives the number of paragraphs that differ,
     -W ln(1 - d / W) for d of W lanes; the first levels hold most paragraphs, so the
-    first unsaturated one and those after it are scaled up by their share.
+    first unsaturated one and those after it are scaled up by their share. At least
+    as many differ as the numbers of paragraphs do.
     """
     levels = []
     for level in range(LEVELS):
@@ -106,7 +112,8 @@ def likeness(a: Column, b: Column) -> Column:
         return found
 
     paragraphs = F.get(a, F.lit(0)) + F.get(b, F.lit(0))
-    close = _let(F.array(*levels), lambda d: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - estimate(d) / paragraphs)))
+    apart = F.abs(F.get(a, F.lit(0)) - F.get(b, F.lit(0)))
+    close = _let(F.array(*levels), lambda d: F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.greatest(estimate(d), apart) / paragraphs)))
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(close, F.lit(0.9999)))
 
 
