@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.llm import fingerprints
+from tokenloom.llm import fingerprints, pii
 
 
 @pytest.mark.parametrize("n", [2_000, 20_000, 100_000])
@@ -14,3 +14,15 @@ def test_likeness_of_long_texts(spark, n):
     lanes = docs.select(*(fingerprints.fingerprint_lanes(F.col(c)).alias(c) for c in docs.columns))
     near = lanes.select(*(fingerprints.likeness(F.col("a"), F.col(c)).alias(f"near_{c}") for c in docs.columns)).first()
     assert near["near_a"] == 1 and near["near_other"] < 0.4 and 0.5 < near["near_edited"] < 0.85 and near["near_short"] < 0.01
+
+
+def test_terms_of_copied_and_frequent_entities(spark):
+    copies = [(i, "reach Zanzibarius at ann@mail.example.com soon") for i in range(200)]
+    copies += [(300 + i, f"n{i} Zanzibarius uses ann@mail.example.com often {i}") for i in range(3)]
+    copies += [(400 + i, f"other text number {i}") for i in range(50)]
+    frequent = [(i, f"n{i} reach Quorum at ann@mail.example.com soon {i}") for i in range(10)]
+    frequent += [(50 + i, f"m{i} at p{i}@mail.example.com soon") for i in range(20)]
+    for rows, name in ((copies, "Zanzibarius"), (frequent, "Quorum")):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        terms = {r["term"] for r in pii.revealing_terms(docs, pii.found_spans(docs)).collect()}
+        assert name in terms and "soon" not in terms

@@ -5,9 +5,10 @@ kind; a match that fails its check is dropped. An entity is a kind with its exac
 The words around a base span are its context. Over the whole corpus, a term reveals
 an entity when it occurs in enough of the entity's distinct contexts and its
 pointwise information about the entity and the posterior probability of the entity
-given the term are high: I(t, e) = log2(p(e | t) / p(e)), p(e | t) = (occurrences of t in contexts of e) /
-(all occurrences of t in the corpus). Such terms become spans of the kind ``term`` next to the
-entities they reveal, and are removed there or generalised to what they stand by.
+given the term are high: I(t, e) = log2(p(e | t) / p(e)), p(e | t) = (texts with t in a context of e) /
+(texts with t), p(e) = (texts with e) / (texts), each over distinct texts. The information
+is measured against the most there is to tell about the entity, -log2 p(e). Such terms become spans
+of the kind ``term`` next to the entities they reveal.
 
 Cases: a null or empty text has no span; null ids and repeated rows are treated like
 others (equal contexts count once); other columns are kept by ``sanitised`` and not
@@ -32,9 +33,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NEEDS = {"email": "@", "phone": "+"}
-# Words of context on each side; distinct contexts, posterior and bits that make a term revealing.
+# Words of context on each side; distinct contexts, posterior and share of the entity's own
+# information that make a term revealing.
 CONTEXT_WORDS, CONTEXT_CHARS = 6, 160
-MIN_CONTEXTS, MIN_POSTERIOR, MIN_BITS = 3, 0.5, 6.0
+MIN_CONTEXTS, MIN_POSTERIOR, MIN_INFORMATION = 3, 0.5, 0.5
 # Candidate terms, or rows and spans, that may be broadcast; 20 bytes each on average at most.
 BROADCAST_TERMS = 200_000
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
@@ -126,30 +128,45 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return spanned.select("doc_id", "text_key", "base", F.when(F.size("base") > 0, near).alias("near"))
 
 
+def _words() -> Column:
+    return F.explode(F.array_distinct(F.split(text_or_empty(), r"[\x20\x09-\x0D]+"))).alias("term")
+
+
+def _small(terms: DataFrame) -> DataFrame:
+    """``terms``, to be broadcast if it is small enough for that."""
+    size = terms.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
+    return F.broadcast(terms) if size[0] <= BROADCAST_TERMS and (size[1] or 0) <= 20 * BROADCAST_TERMS else terms
+
+
 def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``(kind, value, term, n, posterior, bits)`` of the terms over the thresholds.
+    """``(kind, value, term, n, posterior, bits)`` of the terms over the thresholds; ``n`` counts distinct texts.
 
-    Contexts are narrow rows and equal ones count once. Corpus frequencies are counted
-    for candidate terms only.
+    Contexts are narrow rows and equal ones of a text count once. Corpus frequencies
+    are counted only for terms that the contexts alone do not rule out.
     """
-    zipped = found.where(F.size("base") > 0).select(F.explode(F.arrays_zip("base", "near")).alias("s"))
+    zipped = found.where(F.size("base") > 0).select("text_key", F.explode(F.arrays_zip("base", "near")).alias("s"))
     terms = F.array_sort(F.array_distinct(F.transform("s.near", lambda w: w["value"])))
-    context = stage(zipped.select("s.base.kind", "s.base.value", terms.alias("terms")).distinct(), "contexts")
-    mentions = context.groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
-    total = max(1, context.count())
-    pairs = context.select("kind", "value", F.explode("terms").alias("term")).groupBy("kind", "value", "term").agg(F.count("*").alias("n"))
-    pairs = stage(pairs.where(F.col("n") >= MIN_CONTEXTS), "pairs")
-    candidates = stage(pairs.select("term").distinct(), "candidates")
-    size = candidates.agg(F.count("*"), F.sum(F.octet_length("term"))).first()
-    if size[0] <= BROADCAST_TERMS and (size[1] or 0) <= 20 * BROADCAST_TERMS:
-        candidates = F.broadcast(candidates)
-    words = docs.select(F.explode(F.split(text_or_empty(), r"[\x20\x09-\x0D]+")).alias("term"))
-    frequency = words.join(candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    context = stage(zipped.select("text_key", "s.base.kind", "s.base.value", terms.alias("terms")).distinct(), "contexts")
+    mentions = context.select("kind", "value", "text_key").distinct().groupBy("kind", "value").agg(F.count("*").alias("n_entity"))
+    total = max(1, found.select("text_key").distinct().count())
+    several = context.select("kind", "value", "terms").distinct().select("kind", "value", F.explode("terms").alias("term"))
+    several = several.groupBy("kind", "value", "term").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_CONTEXTS).drop("n")
+    held = context.select("kind", "value", F.explode("terms").alias("term"), "text_key").distinct()
+    held = held.groupBy("kind", "value", "term").agg(F.count("*").alias("n"))
+    pairs = stage(held.join(several, ["kind", "value", "term"]), "pairs")
+    # A term is in as many texts as it is in contexts of any entity, or more; beyond n / MIN_POSTERIOR none of its entities stays.
+    near = context.select(F.explode("terms").alias("term"), "text_key").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    most = pairs.groupBy("term").agg(F.max("n").alias("n_most"))
+    candidates = stage(most.join(near, "term").where(F.col("n_most") >= MIN_POSTERIOR * F.col("n_near")).select("term"), "candidates")
+    words = docs.select(text_key().alias("text_key"), _words()).join(_small(candidates), "term", "left_semi").distinct()
+    frequency = words.groupBy("term").agg(F.count("*").alias("n_term"))
     posterior = F.col("n") / F.greatest("n", "n_term")
-    scored = pairs.join(frequency, "term", "left").join(mentions, ["kind", "value"]).select(
-        "kind", "value", "term", "n", posterior.alias("posterior"), F.log2(posterior * float(total) / F.col("n_entity")).alias("bits")
+    own = F.log2(float(total) / F.col("n_entity"))
+    scored = pairs.join(frequency, "term").join(mentions, ["kind", "value"]).select(
+        "kind", "value", "term", "n", posterior.alias("posterior"), (F.log2(posterior) + own).alias("bits"), own.alias("own")
     )
-    return scored.where((F.col("posterior") >= MIN_POSTERIOR) & (F.col("bits") >= MIN_BITS))
+    informed = (F.col("bits") > 0) & (F.col("bits") >= MIN_INFORMATION * F.col("own"))
+    return scored.where((F.col("posterior") >= MIN_POSTERIOR) & informed).drop("own")
 
 
 def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
