@@ -16,6 +16,19 @@ def test_likeness_of_long_texts(spark, n):
     assert near["near_a"] == 1 and near["near_other"] < 0.4 and 0.5 < near["near_edited"] < 0.85 and near["near_short"] < 0.01
 
 
+def test_every_occurrence_of_a_revealing_term(spark):
+    rows = [(i, f"note {i} reach Zan\\Eib at ann@mail.example.com soon {i}; a b c d e f g h\tZan\\Eib\n\U0001f600 Zan\\Eib") for i in range(6)]
+    rows += [(30, "met Zan\\Eib today, not Zan\\Eibs"), (31, "nobody here")]
+    rows += [(40 + i, f"note {i} reach nobody at home soon {i}; a b c d e f g h") for i in range(40)]
+    rows += [(100 + i, f"mail p{i}@mail.example.com now") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
+    assert clean[0] == "note 0 reach [TERM] at [EMAIL] soon 0; a b c d e f g h\t[TERM]\n\U0001f600 [TERM]"
+    assert clean[30] == "met [TERM] today, not Zan\\Eibs" and clean[31] == "nobody here"
+    spans = {r["doc_id"]: (r["spans"], r["n_term"]) for r in pii.personal_data(docs).collect()}
+    assert spans[30] == ("term:4:11", 1) and spans[0][1] == 3
+
+
 def test_terms_of_copied_and_frequent_entities(spark):
     copies = [(i, "reach Zanzibarius at ann@mail.example.com soon") for i in range(200)]
     copies += [(300 + i, f"n{i} Zanzibarius uses ann@mail.example.com often {i}") for i in range(3)]

@@ -7,8 +7,9 @@ an entity when it occurs in enough of the entity's distinct contexts and its
 pointwise information about the entity and the posterior probability of the entity
 given the term are high: I(t, e) = log2(p(e | t) / p(e)), p(e | t) = (texts with t in a context of e) /
 (texts with t), p(e) = (texts with e) / (texts), each over distinct texts. The information
-is measured against the most there is to tell about the entity, -log2 p(e). Such terms become spans
-of the kind ``term`` next to the entities they reveal.
+is measured against the most there is to tell about the entity, -log2 p(e). Every
+occurrence of such a term, in whatever text, becomes a span of the kind ``term`` unless
+it overlaps a base span.
 
 Cases: a null or empty text has no span; null ids and repeated rows are treated like
 others (equal contexts count once); other columns are kept by ``sanitised`` and not
@@ -70,10 +71,11 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str, offset: Column) -> Column:
+def _matches(text: Column, pattern: str | Column, offset: Column) -> Column:
     """Matches as structs (start, end, value); the pieces between them and the matches
     alternate, so running sums of their lengths are places."""
-    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     begin = F.struct(offset.alias("at"), F.lit(0).alias("i"), pieces.alias("pieces"), F.array().cast(_MATCHES).alias("found"))
 
     def step(state: Column, m: Column) -> Column:
@@ -169,19 +171,38 @@ def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     return scored.where((F.col("posterior") >= MIN_POSTERIOR) & informed).drop("own")
 
 
-def term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """``(text_key, terms)``: the spans of revealing terms of each distinct text that has any."""
-    near = found.where(F.size("base") > 0).select("text_key", F.explode(F.arrays_zip("base", "near")).alias("s")).select(
-        "text_key", "s.base.kind", "s.base.value", F.explode("s.near").alias("w")
-    ).distinct()
-    hit = near.withColumn("term", F.col("w.value")).join(terms.select("kind", "value", "term"), ["kind", "value", "term"])
-    return hit.groupBy("text_key").agg(F.sort_array(F.collect_set(_span(F.col("w"), len(KINDS), "term").cast(_SPAN))).alias("terms"))
+def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(text_key, terms)``: the spans of every occurrence of a revealing term, of each distinct text that has any.
+
+    The words of all texts are joined with the terms first; places are looked for in
+    the texts that have some.
+    """
+    known = _small(stage(terms.select("term").distinct(), "known"))
+    keyed = docs.select(text_key().alias("text_key"), text_or_empty().alias("text"))
+    hits = keyed.select("text_key", _words()).join(known, "term", "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("own"))
+    hits = stage(hits, "hits")
+    size = hits.agg(F.count("*"), F.sum(F.size("own"))).first()
+    if (size[0] or 0) + (size[1] or 0) <= BROADCAST_TERMS:
+        hits = F.broadcast(hits)
+    else:
+        keyed = keyed.dropDuplicates(["text_key"])
+    literal = F.transform("own", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    edge = r"[^\x20\x09-\x0D]"
+    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(literal, "|"), F.lit(f")(?!{edge})"))
+    texts = keyed.join(hits, "text_key").withColumn("pattern", pattern).withColumn("base", base_spans(F.col("text")))
+    free = F.filter(
+        _matches(F.col("text"), F.col("pattern"), F.lit(0)),
+        lambda w: ~F.exists("base", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])),
+    )
+    spans = F.transform(free, lambda w: _span(w, len(KINDS), "term")).cast(_SPANS)
+    placed = texts.select("text_key", spans.alias("terms")).where(F.size("terms") > 0)
+    return placed.groupBy("text_key").agg(F.first("terms").alias("terms"))
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of every document."""
     found = stage(found_spans(docs), "spans")
-    terms = stage(term_spans(found, stage(revealing_terms(docs, found), "terms")), "term_spans")
+    terms = stage(term_spans(docs, stage(revealing_terms(docs, found), "terms")), "term_spans")
     joined = found.join(terms, "text_key", "left").withColumn("all", F.sort_array(F.concat("base", F.coalesce("terms", F.array().cast(_SPANS)))))
     listed = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.size(F.array_remove(F.col("base.kind"), kind)) for kind in KINDS]
@@ -211,7 +232,7 @@ def redact(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with labels in place of base spans and of terms that reveal them. ``n_chars`` follows the text."""
     found = stage(found_spans(docs), "spans")
-    terms = term_spans(found, stage(revealing_terms(docs, found), "terms"))
+    terms = term_spans(docs, stage(revealing_terms(docs, found), "terms"))
     key, spans = free_name(docs, "text_key"), free_name(docs, "spans")
     terms = stage(terms.select(F.col("text_key").alias(key), F.col("terms").alias(spans)), "term_spans")
     size = terms.agg(F.count("*"), F.sum(F.size(spans))).first()
