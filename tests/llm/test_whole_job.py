@@ -1,9 +1,11 @@
 """Long texts, whole corpora of occurrences, and matches that other texts get in the way of."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from tokenloom.llm import fingerprints, pii
+from tokenloom.llm import fingerprints, passages, pii
 
 
 @pytest.mark.parametrize("n", [2_000, 20_000, 100_000])
@@ -39,3 +41,14 @@ def test_terms_of_copied_and_frequent_entities(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
         terms = {r["term"] for r in pii.revealing_terms(docs, pii.found_spans(docs)).collect()}
         assert name in terms and "soon" not in terms
+
+
+def test_passage_twice_in_one_of_two_texts(spark):
+    rng = random.Random(5)
+    fill = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    for _ in range(4):  # either text may be the hub
+        passage = fill(80)
+        rows = [(1, " ".join(passage + fill(200) + passage + fill(9))), (2, " ".join(fill(30) + passage))]
+        found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        sides = {s for r in found for s in ((r["doc_id"], r["start"], r["end"]), (r["other_id"], r["other_start"], r["other_end"]))}
+        assert sides == {(1, 0, 80), (1, 280, 360), (2, 30, 110)}
