@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tokenloom.llm import (
-    fingerprints, mixing, near_dedup, passages, pii, piece_encoding, quality, token_counts, toxicity, url_filters,
+    fingerprints, hard_negatives, mixing, near_dedup, passages, pii, piece_encoding, quality, token_counts, toxicity, url_filters,
 )
 from tokenloom.llm.hashing import read_table
 
@@ -52,6 +52,10 @@ def quality_verdicts(spark, sf_dir):
     return quality.judge(_documents(spark, sf_dir))
 
 
+def mined_negatives(spark, sf_dir):
+    return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_near_duplicates": near_duplicates,
     "op2_personal_data": personal_data,
@@ -63,5 +67,6 @@ QUERIES = {
     "op8_toxicity_scores": toxicity_scores,
     "op9_url_verdicts": url_verdicts,
     "op10_quality_verdicts": quality_verdicts,
+    "op13_hard_negatives": mined_negatives,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_hard_negatives": hard_negatives.SQL}
