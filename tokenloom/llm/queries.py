@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tokenloom.llm import (
-    fingerprints, hard_negatives, mixing, near_dedup, passages, pii, piece_encoding, quality, token_counts, toxicity, url_filters,
+    cutting_stock, fingerprints, hard_negatives, mixing, near_dedup, passages, pii, piece_encoding, quality, token_counts, toxicity, url_filters,
 )
 from tokenloom.llm.hashing import read_table
 
@@ -52,6 +52,10 @@ def quality_verdicts(spark, sf_dir):
     return quality.judge(_documents(spark, sf_dir))
 
 
+def packed_documents(spark, sf_dir):
+    return cutting_stock.packed_pieces(_documents(spark, sf_dir)).drop("text_key")
+
+
 def mined_negatives(spark, sf_dir):
     return hard_negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op8_toxicity_scores": toxicity_scores,
     "op9_url_verdicts": url_verdicts,
     "op10_quality_verdicts": quality_verdicts,
+    "op12_packed_documents": packed_documents,
     "op13_hard_negatives": mined_negatives,
 }
 ORACLES: dict[str, str] = {"op13_hard_negatives": hard_negatives.SQL}
