@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tokenloom.llm import (
-    cutting_stock, fingerprints, hard_negatives, mixing, near_dedup, passages, pii, piece_encoding, quality, token_counts, toxicity, url_filters,
+    cutting_stock, fingerprints, hard_negatives, mixing, near_dedup, passages, pii, piece_encoding, quality, token_counts, toxicity, treap_search,
+    url_filters,
 )
 from tokenloom.llm.hashing import read_table
 
@@ -52,6 +53,10 @@ def quality_verdicts(spark, sf_dir):
     return quality.judge(_documents(spark, sf_dir))
 
 
+def ranked_documents(spark, sf_dir):
+    return treap_search.ranked_search(_documents(spark, sf_dir), read_table(spark, sf_dir, "benchmark"))
+
+
 def packed_documents(spark, sf_dir):
     return cutting_stock.packed_pieces(_documents(spark, sf_dir)).drop("text_key")
 
@@ -71,7 +76,8 @@ QUERIES = {
     "op8_toxicity_scores": toxicity_scores,
     "op9_url_verdicts": url_verdicts,
     "op10_quality_verdicts": quality_verdicts,
+    "op11_ranked_documents": ranked_documents,
     "op12_packed_documents": packed_documents,
     "op13_hard_negatives": mined_negatives,
 }
-ORACLES: dict[str, str] = {"op13_hard_negatives": hard_negatives.SQL}
+ORACLES: dict[str, str] = {"op11_ranked_documents": treap_search.SQL, "op13_hard_negatives": hard_negatives.SQL}
