@@ -45,18 +45,19 @@ GAP, PIVOTS = 1e-4, 400
 # Columns that one run of the knapsack program may offer.
 COLUMNS = 24
 # Chunks in one generation of a worker's memo (200 bytes each, about), the longest such chunk, and documents encoded together.
-MEMO, MEMO_BYTES, BLOCK = 200_000, 48, 128
+MEMO, MEMO_CHARS, BLOCK = 200_000, 32, 1024
 # Rests of one length that one window numbers.
 BUCKET_ROWS = 1 << 16
 
 
-_LOWER = bytes(32 if b == 10 else b + 32 if 65 <= b <= 90 else b for b in range(256))
-# Texts with marks that may join a letter (their first byte in UTF-8), or with special tokens, are not cut into chunks.
-_WHOLE = re.compile(rb"[\xcc\xcd]|<\|")
+# Texts with marks that may join a letter, or with special tokens, are not cut into chunks.
+_WHOLE = r"[\x{300}-\x{37F}]|<\|"
+# A chunk of one word, as the tokenizer cuts and normalises it, with at most one mark behind it.
+_SIMPLE = re.compile("([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)")
 
 
 class Encoder:
-    """Token ids of whole texts, given in UTF-8, as little-endian 32-bit bytes."""
+    """Token ids of whole texts as little-endian 32-bit bytes."""
 
     def __init__(self, tokenizer: str = TOKENIZER):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,37 +65,77 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer if os.path.isabs(tokenizer) else public_tokenizers.path(tokenizer))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         # Two generations: what is used again moves from the older one to the younger.
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _learn(self, chunks: set[bytes]) -> None:
-        new = []
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self._each(list(".,;:!?")))) | {"": b""}
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words: they are encoded as one text, in which tokens that end a word tell them apart."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            return self._each(words)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Put the chunks into the memo."""
+        memo, simple, odd, words = self.memo, [], [], []
         for chunk in chunks:
+            if chunk in memo:
+                continue
             known = self.older.get(chunk)
+            if known is not None:
+                memo[chunk] = known
+            elif found := _SIMPLE.fullmatch(chunk):
+                simple.append((chunk, *found.groups()))
+            else:
+                odd.append(chunk)
+        memo.update(zip(odd, self._each(odd)))
+        for word in {word for _, word, _ in simple}:
+            known = memo.get(word) or self.older.get(word)
             if known is None:
-                new.append(chunk)
+                words.append(word)
             else:
-                self.memo[chunk] = known
-        found = self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)
-        self.memo.update((c, np.array(x.ids, "<u4").tobytes()) for c, x in zip(new, found))
+                memo[word] = known
+        memo.update(zip(words, self._words(words)))
+        for chunk, word, mark in simple:
+            if mark:
+                memo[chunk] = memo[word] + self.marks[mark]
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: pa.Array) -> list[bytes]:
         if len(self.memo) > MEMO:
             self.memo, self.older = {}, self.memo
-        recall = self.memo.get
-        split = [[t] if _WHOLE.search(t) else t.translate(_LOWER).split(b" ") for t in texts]
-        whole = [list(map(recall, chunks)) for chunks in split]
-        new = {c for chunks, ids in zip(split, whole) if None in ids for c, found in zip(chunks, ids) if found is None}
-        self._learn(new)
-        whole = [
-            b"".join(ids if None not in ids else [recall(c) if found is None else found for c, found in zip(chunks, ids)])
-            for chunks, ids in zip(split, whole)
-        ]
-        for chunk in new:
-            if len(chunk) > MEMO_BYTES:
-                del self.memo[chunk]
-        return whole
+        whole = pc.match_substring_regex(texts, _WHOLE)
+        plain = pc.replace_substring(pc.ascii_lower(pc.if_else(whole, "", texts)), "\n", " ")
+        split = pc.split_pattern(plain, " ")
+        coded = split.flatten().dictionary_encode()
+        chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        self._learn(chunks)
+        found = [self.memo[c] for c in chunks]
+        for chunk in chunks:
+            if len(chunk) > MEMO_CHARS:
+                self.memo.pop(chunk, None)
+        # Ids of all chunks in turn, from a pool of the different ones.
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, each = np.cumsum(sizes) - sizes, sizes[at]
+        bounds = np.concatenate([[0], np.cumsum(each)])
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(starts[at] - bounds[:-1], each) + np.arange(bounds[-1])]
+        cuts = bounds[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(whole.to_numpy(zero_copy_only=False)):
+            out[i] = self._each([texts[i].as_py()])[0]
+        return out
 
 
 @lru_cache(1)
@@ -109,7 +150,7 @@ def _blocks(texts: pa.Array):
     begin, size = 0, 0
     for i, n in enumerate(sizes):
         size += n
-        if i + 1 == len(sizes) or i + 1 - begin == BLOCK or size > 1 << 19:
+        if i + 1 == len(sizes) or i + 1 - begin == BLOCK or size > 1 << 22:
             yield begin, i + 1
             begin, size = i + 1, 0
 
@@ -120,10 +161,10 @@ def _encoded(handle, names, tokenizer, end_id):
     def run(batches):
         encoder, last = _encoder(tokenizer), int(end_id).to_bytes(4, "little")
         for batch in batches:
-            ids, keys, texts = batch.column(0), batch.column(1), batch.column(2).cast(pa.binary())
+            ids, keys, texts = batch.column(0), batch.column(1), batch.column(2)
             for begin, end in _blocks(texts):
                 rows = []
-                for i, data in zip(range(begin, end), encoder.encode(texts.slice(begin, end - begin).to_pylist())):
+                for i, data in zip(range(begin, end), encoder.encode(texts.slice(begin, end - begin))):
                     rows.extend(handle(ids[i].as_py(), keys[i].as_py(), data + last))
                 columns = list(zip(*rows)) if rows else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, names)], [n for n, _ in names])
@@ -447,7 +488,7 @@ def _part_ids(docs: DataFrame, parts: DataFrame, tokenizer: str, end_id: int, fe
         for batch in batches:
             rows = []
             for doc_id, key, spans, text in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(encoder.encode([text.encode()])[0] + last, "<u4").astype(np.int32)
+                data = np.frombuffer(encoder.encode(pa.array([text]))[0] + last, "<u4").astype(np.int32)
                 rows.extend((doc_id, key, s["start"], s["length"], data[s["start"] : s["start"] + s["length"]]) for s in spans)
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
