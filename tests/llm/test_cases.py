@@ -12,14 +12,15 @@ from tokenloom.llm import (
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, text_key string, toxicity double, "
-    "row int, taken int, size int, copies int, spans string, kind string, node long, score double"
+    "row int, taken int, size int, copies int, spans string, kind string, node long, score double, "
+    "n int, _id int, _key int, _d int, _s int, _h int, _r int, kept_id int, planned_doc_id int, term string"
 )
 LONG = " ".join(random.Random(3).choice("alpha beta gamma delta omega sigma".split()) for _ in range(30_000))
 MAIL = "write to ann@mail.example.com or +1 (555) 555-0100 from 10.0.0.1 please "
 
 
 def _row(doc_id, text, lang="en", source="a"):
-    return (doc_id, text, lang, source, None if text is None else len(text), "x", 1.0, 2, 3, 4, 5, "s", "k", 6, 0.5)
+    return (doc_id, text, lang, source, None if text is None else len(text), "x", 1.0, 2, 3, 4, 5, "s", "k", 6, 0.5, *range(9), "t")
 
 
 @pytest.fixture(scope="module")
@@ -201,7 +202,7 @@ def test_common_passage_gives_links_in_proportion(spark):
 def test_deobfuscation(spark):
     text = "the idiot and the stupid moron said that this is not the idiot moron stupid " * 30
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    decoder = toxicity.Decoder.of([tuple(r) for r in toxicity.trigram_counts(docs).collect()])
+    decoder = toxicity.Decoder.of([tuple(r) for r in toxicity.gram_counts(docs).collect()])
     for written, plain in {"1d10t": "idiot", "s7upid": "stupid", "m0r0n": "moron", "idiooooot": "idiot", "!d!ot": "idiot", "i.d.i.o.t": "idiot",
                            "the i d i o t said": "the idiot said", "42.1.1.1": "42.1.1.1", "plain words": "plain words"}.items():
         assert decoder.restore(written) == plain

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,21 +27,29 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> _S11).astype(np.float64) + 1.0) * 2.0**-53
 
 
-class WordHashes(dict):
-    """Memo of 64-bit word hashes. It is emptied when full, so a worker's memory is bounded."""
-
-    def __init__(self, size: int = 400_000):
-        super().__init__()
-        self.size = size
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.size:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+# A random number for each byte at each of the first places of a word.
+_PLACES = 64
+_BYTE_AT = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * GOLDEN)
+# Words hashed together, which bounds the memory that a long text takes.
+_HASHED = 1 << 15
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes of words, none of them empty: the mixed sum of their bytes' numbers."""
+    if len(words) > _HASHED:
+        return np.concatenate([word_hashes(words[i : i + _HASHED]) for i in range(0, len(words), _HASHED)])
+    if not words:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(" ".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+    gaps = np.flatnonzero(data == 32)
+    starts = np.concatenate([[0], gaps + 1])
+    sizes = np.diff(np.append(starts, len(data) + 1))
+    place = np.arange(len(data)) - np.repeat(starts, sizes)[: len(data)]
+    numbers = _BYTE_AT[(place % _PLACES) * 256 + data]
+    far = np.flatnonzero(place >= _PLACES)
+    numbers[far] = mix(numbers[far] + (place[far] // _PLACES).astype(np.uint64) * GOLDEN)
+    numbers[gaps] = 0
+    return mix(np.add.reduceat(numbers, starts) ^ sizes.astype(np.uint64))
 
 
 def windows_hash(h: np.ndarray, k: int) -> np.ndarray:

@@ -147,7 +147,7 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     same = Window.partitionBy("doc_id", "source", names["text_hash"]).orderBy(F.lit(0))
     repeated = not plan.where("row > 1").isEmpty()
     numbered = keyed.withColumn(names["row"], F.row_number().over(same) if repeated else F.lit(1))
-    keys = {"doc_id": "_d", "source": "_s", "text_hash": "_h", "row": "_r"}
+    keys = {k: free_name(docs, f"planned_{k}") for k in ("doc_id", "source", "text_hash", "row")}
     renamed = plan.select(*(F.col(k).alias(v) for k, v in keys.items()), *(F.col(c).alias(names[c]) for c in ("taken", "size", "first")))
     on = reduce(lambda a, b: a & b, (numbered[names.get(k, k)].eqNullSafe(renamed[v]) for k, v in keys.items()))
     taken, size = F.col(names["taken"]), F.col(names["size"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.components import connected
-from tokenloom.llm.hashing import GOLDEN, WordHashes, free_name, mix, text_key, text_or_empty, unit, windows_hash
+from tokenloom.llm.hashing import GOLDEN, free_name, mix, text_key, text_or_empty, unit, windows_hash, word_hashes
 from tokenloom.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -30,14 +30,12 @@ BANDS, ROWS = 40, 7
 # the texts that are still apart meet in a prefix-filtered join.
 HUB_TURNS = 3
 # Words that one block of documents holds in a task.
-BLOCK_WORDS = 300_000
-
-_hashes = WordHashes()
+BLOCK_WORDS = 50_000
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingle hashes of a text and their counts."""
-    return np.unique(windows_hash(_hashes.of((text or "").lower().split()), SHINGLE), return_counts=True)
+    return np.unique(windows_hash(word_hashes((text or "").lower().split()), SHINGLE), return_counts=True)
 
 
 def similarity(a: str | None, b: str | None) -> float:
@@ -261,11 +259,10 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     classes = stage(near_classes(docs, threshold), "classes")
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_key")
     kept = classes.groupBy("root").agg(F.min(rank).alias("k"), F.max("class_size").alias("n"))
-    kept = kept.select(F.col("k.doc_id").alias("_id"), F.col("k.text_key").alias("_key"), "n")
-    key, copies = free_name(docs, "text_key"), free_name(docs, "copies")
+    key, copies, kept_id, kept_key = (free_name(docs, n) for n in ("text_key", "copies", "kept_id", "kept_key"))
+    kept = kept.select(F.col("k.doc_id").alias(kept_id), F.col("k.text_key").alias(kept_key), F.col("n").alias(copies))
     keyed = docs.withColumn(key, text_key())
-    on = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed[key] == kept["_key"])
-    joined = keyed.join(kept, on).select(*(keyed[c] for c in keyed.columns), F.col("n").alias(copies))
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_key))).drop(kept_id, kept_key)
     single = joined.where(F.col(copies) == 1)
     rest = joined.where(F.col(copies) > 1).dropDuplicates(["doc_id", key])
     return single.union(rest).drop(key, copies)

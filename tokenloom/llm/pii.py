@@ -2,7 +2,8 @@
 
 Base spans (code points, end exclusive) are leftmost non-overlapping matches per
 kind; a match that fails its check is dropped. An entity is a kind with its exact match.
-The words around a base span are its context. Over the whole corpus, a term reveals
+The words around a base span are its context; a word is a run between white space without the
+marks at its edges, in lower case. Over the whole corpus, a term reveals
 an entity when it occurs in enough of the entity's distinct contexts and its
 pointwise information about the entity and the posterior probability of the entity
 given the term are high: I(t, e) = log2(p(e | t) / p(e)), p(e | t) = (texts with t in a context of e) /
@@ -34,8 +35,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _NEEDS = {"email": "@", "phone": "+"}
-# Words of context on each side; distinct contexts, posterior and share of the entity's own
-# information that make a term revealing.
+# Words of context on each side, and the characters in which they are looked for first; distinct
+# contexts, posterior and share of the entity's own information that make a term revealing.
 CONTEXT_WORDS, CONTEXT_CHARS = 6, 160
 MIN_CONTEXTS, MIN_POSTERIOR, MIN_INFORMATION = 3, 0.5, 0.5
 # Candidate terms, or rows and spans, that may be broadcast; 20 bytes each on average at most.
@@ -44,7 +45,10 @@ LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"
 _MATCHES = "array<struct<start:int,end:int,value:string>>"
 _SPAN = "struct<start:int,rank:int,kind:string,end:int,value:string>"
 _SPANS = f"array<{_SPAN}>"
-_TERM = r"[^\x20\x09-\x0D]+"
+# A run between white space, from its first letter or digit to its last.
+_TERM = r"[\p{L}\p{N}](?:[^\x20\x09-\x0D]*[\p{L}\p{N}])?"
+_FREE = r"[^\x20\x09-\x0D]*+"
+_NEXT_RUNS = r"(?:[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)"
 
 
 def _digits(match: Column) -> Column:
@@ -106,16 +110,28 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*(_kind_spans(kind, text) for kind in KINDS)))
 
 
+def _terms(words: Column) -> Column:
+    """Matches with their words in lower case."""
+    return F.transform(words, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.lower(w["value"]).alias("value")))
+
+
 def _context_words(text: Column, span: Column) -> Column:
-    """The words around a span, nearest first on each side, with their places.
+    """The terms in the nearest runs on both sides of a span, with their places.
 
-    They are looked for within CONTEXT_CHARS characters; a word cut by that limit counts as cut.
+    What is joined to the span without white space is no word. The runs before it are
+    looked for in a few characters first, and in all text before when these do not hold enough whole ones.
     """
-    begin = F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS)
-    left = text.substr(begin + 1, span["start"] - begin)
-    right = text.substr(span["end"] + 1, F.lit(CONTEXT_CHARS))
-    near = lambda c, at: F.slice(c, at, CONTEXT_WORDS)
-    return F.concat(near(F.reverse(_matches(left, _TERM, begin)), 1), near(_matches(right, _TERM, span["end"]), 1))
+    few = f"{{0,{CONTEXT_WORDS}}}"
+    near = F.reverse(text.substr(F.greatest(F.lit(0), span["start"] - CONTEXT_CHARS) + 1, F.least(span["start"], F.lit(CONTEXT_CHARS))))
+    whole = F.regexp_extract(near, f"^{_FREE}({_NEXT_RUNS}{{{CONTEXT_WORDS}}})[\\x20\\x09-\\x0D]", 1)
+    far = F.reverse(text.substr(F.lit(1), span["start"]))
+    attached = F.length(F.regexp_extract(far, f"^{_FREE}", 0))
+    before = F.when(whole != "", whole).otherwise(F.regexp_extract(far, f"^{_FREE}({_NEXT_RUNS}{few})", 1))
+    begin = span["start"] - attached - F.length(before)
+    after = text.substr(span["end"] + 1, F.length(text))
+    gap = F.length(F.regexp_extract(after, f"^{_FREE}", 0))
+    following = F.regexp_extract(after, f"^{_FREE}({_NEXT_RUNS}{few})", 1)
+    return _terms(F.concat(_matches(F.reverse(before), _TERM, begin), _matches(following, _TERM, span["end"] + gap)))
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
@@ -131,7 +147,8 @@ def found_spans(docs: DataFrame) -> DataFrame:
 
 
 def _words() -> Column:
-    return F.explode(F.array_distinct(F.split(text_or_empty(), r"[\x20\x09-\x0D]+"))).alias("term")
+    found = F.regexp_extract_all(text_or_empty(), F.lit(_TERM), F.lit(0))
+    return F.explode(F.array_distinct(F.transform(found, F.lower))).alias("term")
 
 
 def _small(terms: DataFrame) -> DataFrame:
@@ -140,6 +157,13 @@ def _small(terms: DataFrame) -> DataFrame:
     return F.broadcast(terms) if size[0] <= BROADCAST_TERMS and (size[1] or 0) <= 20 * BROADCAST_TERMS else terms
 
 
+def _bounded(rows: DataFrame, texts: str) -> bool:
+    """Whether rows with lists of short texts are few and short enough to be broadcast."""
+    octets = F.aggregate(texts, F.lit(0).cast("long"), lambda total, t: total + F.octet_length(t))
+    n, items, size = rows.agg(F.count("*"), F.sum(F.size(texts)), F.sum(octets)).first()
+    return n + (items or 0) <= BROADCAST_TERMS and (size or 0) <= 20 * BROADCAST_TERMS
+
+
 def revealing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``(kind, value, term, n, posterior, bits)`` of the terms over the thresholds; ``n`` counts distinct texts.
 
@@ -181,17 +205,23 @@ def term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     keyed = docs.select(text_key().alias("text_key"), text_or_empty().alias("text"))
     hits = keyed.select("text_key", _words()).join(known, "term", "left_semi").groupBy("text_key").agg(F.collect_set("term").alias("own"))
     hits = stage(hits, "hits")
-    size = hits.agg(F.count("*"), F.sum(F.size("own"))).first()
-    if (size[0] or 0) + (size[1] or 0) <= BROADCAST_TERMS:
+    if _bounded(hits, "own"):
         hits = F.broadcast(hits)
     else:
         keyed = keyed.dropDuplicates(["text_key"])
     literal = F.transform("own", lambda t: F.concat(F.lit(r"\Q"), F.replace(t, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
-    edge = r"[^\x20\x09-\x0D]"
-    pattern = F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(literal, "|"), F.lit(f")(?!{edge})"))
-    texts = keyed.join(hits, "text_key").withColumn("pattern", pattern).withColumn("base", base_spans(F.col("text")))
+    # White space and marks before a term are matched with it; no letter or digit may follow in its run.
+    before, after = r"(?iu)(?:^|[\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]*+(?:", r")(?![^\x20\x09-\x0D]*[\p{L}\p{N}])"
+    texts = keyed.join(hits, "text_key").withColumn("pattern", F.concat(F.lit(before), F.array_join(literal, "|"), F.lit(after)))
+    texts = texts.withColumn("base", base_spans(F.col("text")))
+
+    def itself(match: Column) -> Column:
+        """The term of a match, without what stands before it."""
+        term = F.regexp_extract(match["value"], r"(?s)[\p{L}\p{N}].*", 0)
+        return F.struct((match["end"] - F.length(term)).alias("start"), match["end"].alias("end"), term.alias("value"))
+
     free = F.filter(
-        _matches(F.col("text"), F.col("pattern"), F.lit(0)),
+        F.transform(_matches(F.col("text"), F.col("pattern"), F.lit(0)), itself),
         lambda w: ~F.exists("base", lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])),
     )
     spans = F.transform(free, lambda w: _span(w, len(KINDS), "term")).cast(_SPANS)
@@ -235,8 +265,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     terms = term_spans(docs, stage(revealing_terms(docs, found), "terms"))
     key, spans = free_name(docs, "text_key"), free_name(docs, "spans")
     terms = stage(terms.select(F.col("text_key").alias(key), F.col("terms").alias(spans)), "term_spans")
-    size = terms.agg(F.count("*"), F.sum(F.size(spans))).first()
-    if (size[0] or 0) + (size[1] or 0) <= BROADCAST_TERMS:
+    if _bounded(terms, f"{spans}.value"):
         terms = F.broadcast(terms)
     base = base_spans(text_or_empty())
     marked = docs.withColumn(key, text_key()).join(terms, key, "left")
