@@ -89,11 +89,9 @@ class Encoder:
         return [data[a:b] for a, b in zip([0, *ends], ends)]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Put the chunks into the memo."""
+        """Put new chunks into the memo."""
         memo, simple, odd, words = self.memo, [], [], []
         for chunk in chunks:
-            if chunk in memo:
-                continue
             known = self.older.get(chunk)
             if known is not None:
                 memo[chunk] = known
@@ -121,11 +119,14 @@ class Encoder:
         split = pc.split_pattern(plain, " ")
         coded = split.flatten().dictionary_encode()
         chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        self._learn(chunks)
-        found = [self.memo[c] for c in chunks]
-        for chunk in chunks:
-            if len(chunk) > MEMO_CHARS:
-                self.memo.pop(chunk, None)
+        found = list(map(self.memo.get, chunks))
+        new = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([chunks[i] for i in new])
+        for i in new:
+            found[i] = self.memo[chunks[i]]
+        for i in new:
+            if len(chunks[i]) > MEMO_CHARS:
+                self.memo.pop(chunks[i], None)
         # Ids of all chunks in turn, from a pool of the different ones.
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         starts, each = np.cumsum(sizes) - sizes, sizes[at]
