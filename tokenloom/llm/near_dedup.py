@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.components import connected
-from tokenloom.llm.hashing import GOLDEN, free_name, mix, text_key, text_or_empty, unit, windows_hash, word_hashes
+from tokenloom.llm.hashing import GOLDEN, free_name, let_go, mix, text_key, text_or_empty, unit, windows_hash, word_hashes
 from tokenloom.session import stage
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -126,6 +126,7 @@ def _sign(batches):
             span = (begin, i + 1 - begin)
             yield pa.RecordBatch.from_arrays([ids.slice(*span), keys.slice(*span), bands], ["doc_id", "text_key", "bands"])
             begin, words = i + 1, 0
+    let_go()
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -140,6 +141,7 @@ def _verify(batches):
         a, b = batch.column(2), batch.column(3)
         sims = [similarity(a[i].as_py(), b[i].as_py()) for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["u", "v", "sim"])
+    let_go()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:

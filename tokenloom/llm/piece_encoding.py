@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.llm.hashing import text_or_empty
+from tokenloom.llm.hashing import let_go, text_or_empty
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -56,7 +56,7 @@ class Memo(dict):
 class PieceEncoder:
     """Encoder of one model; ``encode`` equals the library's for every text."""
 
-    def __init__(self, model_file: str, memo: int = 300_000):
+    def __init__(self, model_file: str, memo: int = 60_000):
         import sentencepiece
 
         library = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -105,7 +105,7 @@ class PieceEncoder:
 
     def _fits(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' text alone gives the two pieces."""
-        if len(self.pairs) > 500_000:
+        if len(self.pairs) > 200_000:
             self.pairs.clear()
         found = self.pairs[left << 20 | right] = self._merge(self.pieces[left] + self.pieces[right]) == [left, right]
         return found
@@ -250,6 +250,7 @@ def encode_documents(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 part = batch.slice(begin, 256)
                 ids = pa.array([own.encode(t) for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+        let_go()
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 

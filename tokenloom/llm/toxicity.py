@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tokenloom.llm.hashing import free_name, text_or_empty
+from tokenloom.llm.hashing import free_name, let_go, text_or_empty
 
 # Look-alike signs and the letters they may stand for.
 LOOK_ALIKE = {
@@ -88,6 +88,7 @@ def _count_grams(batches):
                 held, size = [], 0
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["gram", "n"])
+    let_go()
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
@@ -262,6 +263,8 @@ def _evidence_counts(decoder: Decoder):
                 pieces.extend(found)
                 toxic.extend([label] * len(found))
             yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array(toxic, pa.int32())], ["piece", "toxic"])
+        decoder.memo.clear()
+        let_go()
 
     return count
 
@@ -339,6 +342,7 @@ def with_scores(docs: DataFrame, model: ToxicityModel, column: str = "toxicity")
         # Workers are used again: what a task remembers ends with it.
         shared.value.decoder.memo.clear()
         shared.value.weights.clear()
+        let_go()
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
