@@ -1,4 +1,5 @@
 import json
+import math
 import random
 
 import pytest
@@ -165,3 +166,42 @@ def test_progress(spark):
     plan = C.plan_shards(docs, {"train": 70, "validation": 30}, 1000)
     rows = sorted((r["progress_tokens"], r["split"]) for r in C.corpus_progress(plan, 20).collect())
     assert rows == [(20, "train"), (40, "train"), (60, "train"), (80, "validation"), (100, "validation")]
+
+
+@pytest.mark.parametrize("shards", [60, 1000])
+def test_jobs_grow_with_the_logarithm_of_shards(spark, shards):
+    """One document of a million tokens makes windows useless; the table of successors needs few jobs."""
+    rng = random.Random(shards)
+    counts = [rng.randint(1, 40) for _ in range(shards * 10)]
+    counts[len(counts) // 3] = 1_000_000
+    docs = _docs(spark, counts)
+    order = C.store_order(docs)
+    rows = order.orderBy("cum_tokens").collect()
+    in_order = [r["token_count"] for r in rows]
+    budgets = {"train": 1_000_000 + sum(counts[: shards * 7]) - counts[0], "validation": 15 * shards}
+    spark.sparkContext.setJobGroup(f"shards-{shards}", "")
+    plan = C.find_ranges(order, budgets, 150)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"shards-{shards}"))
+    spark.sparkContext.setJobGroup("other", "")
+    expected = list(_greedy(enumerate(in_order), budgets, 150).values())
+    assert [(r.split, r.shard) for r in plan.ranges] == sorted(set(expected), key=expected.index)
+    totals = {}
+    for n, place in zip(in_order, expected):
+        totals[place] = totals.get(place, 0) + n
+    assert {(r.split, r.shard): r.last_total - r.after_total for r in plan.ranges} == totals
+    assert jobs <= 30 + 12 * math.log2(len(plan.ranges)), jobs
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_successors_against_greedy(spark, monkeypatch, seed):
+    monkeypatch.setattr(C, "WINDOW_JOBS", 0)
+    rng = random.Random(seed)
+    counts = [rng.choice([1, 2, 3, 50, 400]) for _ in range(300)]
+    order = C.store_order(_docs(spark, counts))
+    in_order = [r["token_count"] for r in order.orderBy("cum_tokens").collect()]
+    for budgets, carry in (({"train": 5000, "validation": 900}, C.Carry()), ({"train": 10**9}, C.Carry()), ({"a": 60, "b": 70, "c": 10**6}, C.Carry())):
+        plan = C.find_ranges(order, budgets, 77, carry)
+        expected = list(_greedy(enumerate(in_order), budgets, 77).values())
+        assert [(r.split, r.shard) for r in plan.ranges] == sorted(set(expected), key=expected.index)
+    plan = C.find_ranges(order, {"train": 3000, "validation": 500}, 77, C.Carry(0, 40, 3, 40))
+    assert plan.ranges[0].shard == 3 and plan.ranges[0].last_total >= 37

@@ -1,8 +1,10 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tokenloom.operators import packing, tokens as T
+from tokenloom.session import stage
 from tokenloom.sources import run_files as R
 from tokenloom.sources import token_shard as TS
 
@@ -43,17 +45,66 @@ def test_temporary_files_are_no_shards(spark, tmp_path):
     assert [r["tokens"] for r in TS.read_token_shards(spark, str(tmp_path)).collect()] == [[4, 5, 6]]
 
 
-def test_commit_moves_all_or_none(tmp_path):
+def _batch(split, shard, docs):
+    tokens = pa.array(docs, pa.list_(pa.int32()))
+    total = sum(map(len, docs))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([split] * len(docs)), pa.array([shard] * len(docs), pa.int32()), pa.array([total] * len(docs), pa.int64()), tokens],
+        ["split", "shard", "shard_tokens", "tokens"])
+
+
+def test_a_reader_never_sees_half_a_set(spark, tmp_path):
+    """Shards appear by their commit record, all at once; before it, and after a failure, there are none."""
+    tokens = lambda: sorted(r["tokens"] for r in TS.read_token_shards(spark, str(tmp_path)).collect())
     writer = TS.TokenShardWriter({"path": str(tmp_path), "itemSize": "2"})
-    names = []
-    for name in ("a", "b"):
-        _write(tmp_path / writer.folder.rsplit("/", 1)[1] / name, [1])
-        names.append((f"{writer.folder}/{name}", f"{tmp_path}/{name}.bin"))
-    with pytest.raises(OSError):
-        writer.commit([TS.Written([names[0]]), TS.Written([(f"{writer.folder}/missing", f"{tmp_path}/c.bin"), names[1]])])
-    assert not list(tmp_path.glob("*.bin"))
-    writer.abort([])
-    assert not list(tmp_path.iterdir())
+    first = writer.write(iter([_batch("train", 0, [[0, 5], [0, 6, 7]])]))
+    writer.write(iter([_batch("train", 1, [[0, 3]])]))  # a first run of a task whose second one counts
+    second = writer.write(iter([_batch("train", 1, [[0, 8]]), _batch("validation", 0, [[0, 9]])]))
+    with pytest.raises(Exception, match="no token shards"):
+        tokens()
+    writer.commit([first, None, second])
+    assert tokens() == [[0, 5, 0, 6, 7], [0, 8], [0, 9]]
+    with pytest.raises(FileExistsError):
+        TS.TokenShardWriter({"path": str(tmp_path), "itemSize": "2"})
+    again = TS.TokenShardWriter({"path": str(tmp_path), "itemSize": "2", "resume": "true"})
+    again.write(iter([_batch("train", 2, [[0, 1]])]))
+    assert len(tokens()) == 3
+    again.abort([])
+    assert len(tokens()) == 3 and len([f for f in tmp_path.iterdir() if f.name.startswith("_attempt")]) == 1
+    TS.forget_shards(str(tmp_path), [("train", 1)])
+    assert tokens() == [[0, 5, 0, 6, 7], [0, 9]]
+    assert sorted((r["split"], r["shard"], r["stored_tokens"]) for r in TS.stored_shards(spark, str(tmp_path)).collect()) == [("train", 0, 5), ("validation", 0, 2)]
+
+
+def test_resume_writes_what_is_missing(spark, tmp_path):
+    encoded = _encoded(spark, range(30)).repartition(3)
+    out = str(tmp_path / "out")
+    TS.write_token_shards(encoded, out, 49)
+    rows = lambda: sorted((r["file"].rsplit("/", 1)[1], r["start"], r["tokens"]) for r in TS.read_token_shards(spark, out).collect())
+    before, attempts = rows(), {(r["split"], r["shard"]): r["attempt"] for r in TS.stored_shards(spark, out).collect()}
+    assert TS.resume_token_shards(encoded, out, 49).where("status <> 'complete'").count() == 0
+    TS.forget_shards(out, [("train", 1), ("validation", 0)])
+    audit = {(r["split"], r["shard"]): r["status"] for r in TS.resume_token_shards(encoded, out, 49).collect()}
+    assert audit == {("train", 0): "complete", ("train", 1): "missing", ("validation", 0): "missing", ("validation", 1): "complete"}
+    after = {(r["split"], r["shard"]): r["attempt"] for r in TS.stored_shards(spark, out).collect()}
+    assert rows() == before and after.keys() == attempts.keys() and after["train", 1] == after["validation", 0] != after["train", 0] == after["validation", 1]
+
+
+def test_tokens_move_once(spark):
+    """One exchange carries token arrays to ordered ranges, and one to the tasks of shards; edges of ranges meet in a small one."""
+    encoded = stage(_encoded(spark, range(40)), "encoded")
+    plan = T.bos_offsets(encoded)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [sum(n_tokens") == 1
+    physical = T.bos_offsets(encoded)._jdf.queryExecution().executedPlan().toString()
+    wide = [line for line in physical.splitlines() if "Exchange hashpartitioning(split" in line and "_cell" in line]
+    assert len(wide) <= 3  # the tokens, the totals of ranges and their offsets
+    windows = {}
+    for cell_tokens in (1 << 22, 64, 1):
+        cut = packing.cut_packs(T.bos_offsets(encoded, cell_tokens), 4)
+        windows[cell_tokens] = sorted((r["split"], r["shard"], r["pack"], r["window"]) for r in cut.collect())
+    assert windows[1 << 22] == windows[64] == windows[1] and len(windows[1]) > 100
+    shuffled = packing.cut_packs(T.bos_offsets(encoded).repartition(7), 4)
+    assert sorted((r["split"], r["shard"], r["pack"], r["window"]) for r in shuffled.collect()) == windows[1]
 
 
 def test_broken_shards(spark, tmp_path):
@@ -83,17 +134,17 @@ def test_written_shards(spark, tmp_path):
     encoded = _encoded(spark, range(40)).repartition(6)
     target = tmp_path / "out"
     TS.write_token_shards(encoded, str(target), 49)
-    assert sorted(f.name for f in target.iterdir()) == sorted(
-        f"{s}-0000{n}.{e}" for s in ("train", "validation") for n in (0, 1) for e in ("bin", "bos.idx"))
+    names = {f.name: f for f in target.rglob("*") if f.name.endswith((".bin", ".bos.idx"))}
+    assert sorted(names) == sorted(f"{s}-0000{n}.{e}" for s in ("train", "validation") for n in (0, 1) for e in ("bin", "bos.idx"))
     docs = sorted((r["split"], r["shard"], r["order_key"], r["tokens"]) for r in encoded.collect())
     for split in ("train", "validation"):
         for shard in (0, 1):
             mine = [d[3] for d in docs if d[:2] == (split, shard)]
-            raw = (target / f"{split}-0000{shard}.bin").read_bytes()
+            raw = names[f"{split}-0000{shard}.bin"].read_bytes()
             header = np.frombuffer(raw[:1024], "<i4")
             assert list(header[:4]) == [278895051, 1, sum(map(len, mine)), 2]
             assert list(np.frombuffer(raw[1024:], "<u2")) == [t for d in mine for t in d]
-            starts = np.frombuffer((target / f"{split}-0000{shard}.bos.idx").read_bytes(), "<i4")
+            starts = np.frombuffer(names[f"{split}-0000{shard}.bos.idx"].read_bytes(), "<i4")
             assert list(starts) == list(np.cumsum([0] + [len(d) for d in mine])[:-1])
     with pytest.raises(Exception, match="already exist"):
         TS.write_token_shards(encoded, str(target), 49)
@@ -113,13 +164,8 @@ def test_logs(spark, tmp_path):
         lines = ['{"step": 1, "val_loss": 2.5, "lr": 0.1}', "", '{"step": 1, "val_loss": NaN}', "{broken", '{"step": "x", "val_loss": 1}',
                  '{"step": 2, "val_loss": Infinity, "other": [1]}'] + [f'{{"step": {i}, "val_loss": {i}.5}}' for i in range(3, 400)]
         (tmp_path / run / "validation.jsonl").write_text("\n".join(lines) + "\n")
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    for size in ("1000", before):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-        try:
-            rows = R.read_run_logs(spark, f"{tmp_path}/*/validation.jsonl").collect()
-        finally:
-            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for size in (1, 37, 1000, 1 << 20):
+        rows = R.read_run_logs(spark, f"{tmp_path}/*/validation.jsonl", size).collect()
         mine = {r["line_no"]: r for r in rows if r["run"] == f"{tmp_path}/a"}
         assert len(rows) == 2 * len(mine) and sorted(mine) == [1] + list(range(3, 404))
         assert [n for n, r in mine.items() if r["malformed"]] and sorted(n for n, r in mine.items() if r["malformed"]) == [4, 5]
@@ -138,3 +184,32 @@ def test_byte_shards_end_to_end(spark, tmp_path):
     from_files = {(r["file"][-5], r["pack"]): r["window"] for r in packing.cut_blocks(blocks, 8).collect()}
     from_table = {(str(r["shard"]), r["pack"]): r["window"] for r in packing.cut_packs(T.bos_offsets(encoded), 8).collect()}
     assert from_files == from_table and from_files
+
+
+def test_superseded_results_are_not_opened(spark, tmp_path):
+    import os
+
+    for run in "ab":
+        (tmp_path / run / "old").mkdir(parents=True)
+        (tmp_path / run / "evaluation.json").write_text('{"run_name": "%s", "status": "complete"}' % run)
+        for name, time in (("results_1.json", 1000), ("old/results_0.json", 500)):
+            (tmp_path / run / name).write_text('{"results": {}}')
+            os.utime(tmp_path / run / name, (time, time))
+        (tmp_path / run / "old/results_0.json").write_bytes(b"\xff\xfe broken")
+        os.utime(tmp_path / run / "old/results_0.json", (500, 500))
+    manifests, results = R.read_eval_results(spark, str(tmp_path))
+    assert sorted(r["run_name"] for r in manifests.collect()) == ["a", "b"]
+    assert sorted((r["path"], r["content"]) for r in results.collect()) == [(f"{tmp_path}/{r}/results_1.json", '{"results": {}}') for r in "ab"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 100])
+def test_lines_of_ranges(tmp_path, size):
+    from tokenloom.sources.opened_files import lines_of
+
+    for data in (b"a\nbb\n\nccc\r\nd", b"\n\n", b"x", b"no end of line\nlast\n", "é\nü\n".encode()):
+        (tmp_path / "f").write_bytes(data)
+        with open(tmp_path / "f", "rb") as stream:
+            found = [line for first in range(0, len(data), size) for line in lines_of(stream, first, min(first + size, len(data)), len(data))]
+        want = data.split(b"\n")
+        want = want[:-1] if not want[-1] else want
+        assert found == [w.removesuffix(b"\r") for w in want]

@@ -85,12 +85,12 @@ def test_followed_logs(spark, tmp_path):
     for part, rows in (("a", first), ("b", second)):
         _logs(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-        losses.write_updates(losses.stream_latest_losses(stream), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        losses.write_updates(losses.stream_latest_losses(stream), f"{tmp_path}/out", f"{tmp_path}/cp", ["run", "step"]).awaitTermination()
     got = {r["step"]: r["val_loss"] for r in losses.read_updates(spark, f"{tmp_path}/out", ["run", "step"]).collect()}
     expected = {r["step"]: r["val_loss"] for r in latest_by_step(_logs(spark, first + second)).collect()}
     assert got == expected and got[5] == 1.0 and len(got) == 15
     stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
-    losses.write_updates(losses.stream_curve_points(stream, runs), f"{tmp_path}/points", f"{tmp_path}/cp2").awaitTermination()
+    losses.write_updates(losses.stream_curve_points(stream, runs), f"{tmp_path}/points", f"{tmp_path}/cp2", ["run", "step"]).awaitTermination()
     points = losses.read_updates(spark, f"{tmp_path}/points", ["run", "step"])
     assert points.where(F.col("reason") == "fit").count() == 15
 
@@ -99,3 +99,50 @@ def test_remaining_work(spark):
     work = spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string")
     done = spark.createDataFrame([(1,), (1,)], "id int")
     assert [r["id"] for r in ingest.remaining_work(work, done, ["id"]).collect()] == [2]
+
+
+def test_a_build_stops_at_its_budgets(spark, tmp_path):
+    """One file a batch; once both budgets are met the stream ends, without state of later batches."""
+    for k in range(8):
+        _docs(spark, 20 * k, 20 * k + 20).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    paths = [f"{tmp_path}/{p}" for p in ("out", "state", "cp")]
+    build = lambda: ingest.ingest_until_met(_stream(spark, f"{tmp_path}/in/*"), *paths, {"train": 200, "validation": 60}, 25)
+    assert build()
+    states = sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch="))
+    tokens = [sum(i % 7 + 1 for i in range(20 * k, 20 * k + 20)) for k in range(8)]
+    assert states == [f"batch={k}" for k in range(4)] and sum(tokens[:3]) < 260 <= sum(tokens[:4])
+    placed = _result(spark, tmp_path)
+    assert build() and _result(spark, tmp_path) == placed
+    assert sorted(p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("batch=")) == states
+    assert not ingest.ingest_until_met(
+        _stream(spark, f"{tmp_path}/in/*"), *[f"{tmp_path}/{p}2" for p in ("out", "state", "cp")], {"train": 10_000}, 25)
+
+
+def test_update_folders_are_merged(spark, tmp_path):
+    """Fifty batches leave a bounded number of folders, and a repeated batch changes nothing."""
+    path = f"{tmp_path}/out"
+    frame = lambda b: spark.createDataFrame([("r", float(b % 7), b), ("r", 100.0 + b, b)], "run string, step double, value int")
+
+    class Batches:
+        """Stands in for a stream's writer: keeps what write_updates does with a batch."""
+
+        def __getattr__(self, name):
+            return lambda *args, **kwargs: self
+
+        def foreachBatch(self, keep):
+            self.keep = keep
+            return self
+
+    stream = type("Stream", (), {"writeStream": Batches()})()
+    losses.write_updates(stream, path, "", ["run", "step"])
+    keep = stream.writeStream.keep
+    for b in range(50):
+        keep(frame(b), b)
+        assert len(losses._folders(path)) <= 2 * (losses.FAN_IN - 1)
+    rows = lambda: sorted(map(tuple, losses.read_updates(spark, path, ["run", "step"]).collect()))
+    expected = sorted([("r", 100.0 + b, b) for b in range(50)] + [("r", float(k), max(b for b in range(50) if b % 7 == k)) for k in range(7)])
+    assert rows() == expected
+    before = losses._folders(path)
+    keep(frame(49), 49)
+    keep(frame(47), 47)
+    assert rows() == expected and losses._folders(path) == before

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions.ordering import BUCKET_DIGITS, DEFAULT_SEED, with_seeded_key
@@ -24,6 +24,10 @@ PROGRESS_STEP_TOKENS = 10_000
 # The driver looks at no more than this many (total, key) pairs at a time.
 CANDIDATE_ROWS = 500_000
 MAX_WINDOWS = 200
+# Jobs that look at windows; what is left after them is found by a table of successors.
+WINDOW_JOBS = 4
+# Ranges of running totals in which successors are found.
+SUCCESSOR_CELLS = 4096
 # Key ranges are one row per shard and bucket; beyond this they are not broadcast.
 BROADCAST_RANGE_ROWS = 1_000_000
 
@@ -133,6 +137,10 @@ class ShardPlan:
     def complete(self) -> bool:
         return self.carry.split >= len(self.budgets)
 
+    @property
+    def shards(self) -> list[tuple[str, int]]:
+        return [(r.split, r.shard) for r in self.ranges]
+
     def placements(self) -> DataFrame:
         """Narrow rows: document, tokens, split, shard, running total."""
         return place_documents(self.order, self.ranges)
@@ -188,6 +196,55 @@ class _Totals:
         return [tuple(row["hit"])] if row["hit"] else []
 
 
+    def successors(self, size: int) -> DataFrame:
+        """``(at, next)``: for a shard that closes at total ``at``, the total at which the one after it closes.
+
+        Totals and the totals at which the next shard is full meet in ranges of totals, in
+        falling order: the last document seen is the first one at or past a total.
+        """
+        width = max(1, -(-self.total // SUCCESSOR_CELLS))
+        cell = F.floor(F.col("value") / width).cast("long")
+        sums = self.order.select(F.col("cum_tokens").alias("value"))
+        rows = sums.select("value", F.col("value").alias("document"), F.lit(None).cast("long").alias("at")).union(
+            sums.select(F.col("value") + size, F.lit(None).cast("long"), F.col("value"))
+        )
+        cells = sums.groupBy(cell.alias("cell")).agg(F.min("value").alias("first"))
+        firsts = {r["cell"]: r["first"] for r in cells.collect()}
+        # For every range, at most 2 * SUCCESSOR_CELLS of them, the first document of the later ones.
+        after, behind = [], None
+        for number in range(int((self.total + min(size, self.total)) // width), -1, -1):
+            after.append(behind)
+            behind = firsts.get(number, behind)
+        table = pa.table({"cell": pa.array(range(len(after)), pa.int64()), "after": pa.array(after[::-1], pa.int64())})
+        falling = Window.partitionBy("cell").orderBy(F.desc("value"), F.col("document").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+        found = rows.withColumn("cell", cell).withColumn("here", F.min("document").over(falling)).where(F.col("at").isNotNull())
+        bounds = self.order.sparkSession.createDataFrame(table)
+        joined = found.join(F.broadcast(bounds), "cell", "left")
+        return joined.select("at", F.coalesce("here", "after").alias("next")).where(F.col("next").isNotNull())
+
+    def closings(self, size: int, starts: Sequence[int], last: int) -> list[tuple[int, str]]:
+        """(total, key) of every shard end that follows from the first ones ``starts``, up to ``last``.
+
+        Round k knows the first 2^k shards of each chain and a table that leads 2^k shards on; so the rounds grow
+        with the logarithm of the number of shards, whatever the documents.
+        """
+        spark = self.order.sparkSession
+        leap = stage(self.successors(size).where(F.col("next") <= last), "successors")
+        reached = set(starts)
+        while True:
+            known = spark.createDataFrame(pa.table({"at": pa.array(sorted(reached), pa.int64())}))
+            few = F.broadcast(known) if len(reached) <= BROADCAST_RANGE_ROWS else known
+            new = {r["next"] for r in leap.join(few, "at").select("next").collect()} - reached
+            if not new:
+                break
+            reached |= new
+            onward = leap.select(F.col("at").alias("next"), F.col("next").alias("then"))
+            leap = stage(leap.join(onward, "next").select("at", F.col("then").alias("next")), "successors")
+        ends = spark.createDataFrame(pa.table({"cum_tokens": pa.array(sorted(reached), pa.int64())}))
+        few = F.broadcast(ends) if len(reached) <= BROADCAST_RANGE_ROWS else ends
+        return sorted((r["cum_tokens"], r["order_key"]) for r in self.order.join(few, "cum_tokens").select("cum_tokens", "order_key").collect())
+
+
 def _merged(windows: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
     merged: list[tuple[int, int]] = []
     for low, high in sorted(windows):
@@ -206,7 +263,8 @@ def find_ranges(
     A shard closes with the first document that brings it to
     ``tokens_per_shard`` or its split to its budget; the next one starts from
     zero. The driver holds one range per shard and looks up many closing
-    documents per job, over windows that are certain to contain them.
+    documents per job, over windows that are certain to contain them. Where a few such jobs do
+    not suffice, as with documents larger than shards, a table of successors gives the rest.
     """
     totals = _Totals(order)
     names = list(budgets)
@@ -214,20 +272,24 @@ def find_ranges(
     split, shard = carry.split, carry.shard
     after_key, after_total = "", 0
     split_base, shard_base = -carry.split_tokens, -carry.shard_tokens
+    looked, known = 0, None
     while split < len(names):
         end = split_base + budgets[names[split]]
         target = end if tokens_per_shard is None else min(shard_base + tokens_per_shard, end)
         if target > totals.total:
             break
-        windows = totals.windows(shard_base, tokens_per_shard, end)
-        pairs = totals.fetch(windows)
-        while pairs is None and len(windows) > 1:
+        if known is None and looked >= WINDOW_JOBS and tokens_per_shard is not None:
+            known = _chained(totals, [budgets[n] for n in names[split:]], tokens_per_shard, shard_base, split_base)
+        windows = totals.windows(shard_base, tokens_per_shard, end) if known is None else []
+        pairs = totals.fetch(windows) if known is None else known
+        while pairs is None and len(windows) > 1 and (looked := looked + 1) < WINDOW_JOBS:
             windows = windows[: len(windows) // 2]
             pairs = totals.fetch(windows)
         if pairs is None:
-            pairs = totals.first(target)
+            pairs, windows = totals.first(target), windows[:1]
+        looked += 1
         sums = [p[0] for p in pairs]
-        for _ in windows:
+        for _ in windows or range(len(pairs)):
             target = end if tokens_per_shard is None else min(shard_base + tokens_per_shard, end)
             at = bisect_left(sums, target)
             if at == len(pairs):
@@ -244,6 +306,21 @@ def find_ranges(
     return ShardPlan(order, ranges, left, budgets)
 
 
+def _chained(totals: _Totals, wanted: Sequence[int], size: int, shard_base: int, split_base: int) -> list[tuple[int, str]]:
+    """All shard ends from ``shard_base`` on. The ends of splits follow from the budgets alone, and each split begins a chain."""
+    ends, starts, base = [], [], split_base
+    for budget in wanted:
+        first = totals.first(min((shard_base if not ends else base) + size, base + budget))
+        starts += [total for total, _ in first]
+        end = totals.first(base + budget)
+        if not end:
+            break
+        ends += end
+        base = end[0][0]
+    last = ends[-1][0] if len(ends) == len(wanted) else totals.total
+    return sorted({*totals.closings(size, starts, last), *ends})
+
+
 def store_order(df: DataFrame, seed: int = DEFAULT_SEED, digits: int = BUCKET_DIGITS, strict: bool = True) -> DataFrame:
     """running_tokens as a stored table, sorted so that a range of totals is
     found by the statistics of its row groups.

@@ -7,8 +7,11 @@ with its schedule. A run is one trial of a study.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,14 +23,16 @@ MIN_FIT_POINTS = 4
 LOWEST_EXPONENT, HIGHEST_EXPONENT = 0.01, 3.0
 GRID_POINTS = 161
 GRID_ROUNDS = 5
-PIECE_POINTS = 20_000  # a longer curve is summed in several tasks
-RUN_STATS = ("run", "n", "reference_tokens", "mean_loss", "var_loss", "low", "high")
+PIECE_POINTS = 100_000  # a longer curve is summed in several tasks
+CHUNK_POINTS = 4096  # points of a curve that are raised to a grid of exponents at once
+RUN_STATS = ("run", "n", "reference_tokens", "mean_loss", "var_loss")
 MIN_R_SQUARED = 0.95
 FORECAST_POINTS = 200
 FITTED_POINTS = 100
 
 
-def _record_problem() -> Column:
+def record_problem() -> Column:
+    """Why a record cannot be used, or null."""
     step = F.col("step")
     return (
         F.when(F.col("malformed"), "record cannot be read")
@@ -37,14 +42,14 @@ def _record_problem() -> Column:
 
 
 def invalid_records(logs: DataFrame) -> DataFrame:
-    problem = _record_problem()
+    problem = record_problem()
     return logs.select("run", "line_no", problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 def latest_by_step(logs: DataFrame) -> DataFrame:
     """One record per run and step: the last line supersedes earlier ones."""
     last = F.max_by(F.struct("val_loss", "lr"), "line_no").alias("last")
-    good = logs.where(_record_problem().isNull())
+    good = logs.where(record_problem().isNull())
     return good.groupBy("run", F.col("step").cast("long").alias("step")).agg(last).select("run", "step", "last.*")
 
 
@@ -152,81 +157,190 @@ def eligible_points(points: DataFrame) -> DataFrame:
     return fit.join(fit_eligibility(fit).where("eligible").select("run"), "run", "left_semi")
 
 
-def _fit_basis(points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points scaled by the first tokens of their run, and a row per run."""
+def _pieces(points: DataFrame) -> DataFrame:
+    """One row for each run, or for each piece of a long one: its points, and what is known of the whole run.
+
+    ``points`` is a list of (log of tokens over the run's first, loss).
+    """
     stats = points.groupBy("run").agg(
         F.count("*").alias("n"),
         F.min("tokens").cast("double").alias("reference_tokens"),
         F.avg("loss").alias("mean_loss"),
         F.var_pop("loss").alias("var_loss"),
-        F.lit(LOWEST_EXPONENT).alias("low"),
-        F.lit(HIGHEST_EXPONENT).alias("high"),
     )
     log_ratio = F.ln(F.col("tokens") / F.col("reference_tokens")).alias("log_ratio")
-    pieces = F.ceil(F.col("n") / PIECE_POINTS)
-    piece = F.pmod(F.hash("tokens"), pieces).alias("piece")
-    return points.join(stats, "run").select("run", piece, log_ratio, "loss"), stats
+    piece = F.pmod(F.hash("tokens"), F.ceil(F.col("n") / PIECE_POINTS))
+    joined = points.join(stats, "run").withColumn("piece", piece)
+    grouped = joined.groupBy(*RUN_STATS, "piece").agg(F.collect_list(F.struct(log_ratio, F.col("loss").cast("double").alias("loss"))).alias("points"))
+    return grouped.select(*RUN_STATS, "points")
+
 
+def _exponents(low: float, high: float) -> np.ndarray:
+    grid = low + np.arange(GRID_POINTS) * ((high - low) / (GRID_POINTS - 1))
+    grid[-1] = high
+    return grid
 
-def _grid_round(basis: DataFrame, stats: DataFrame) -> DataFrame:
-    """Best floor and amplitude for every exponent of a grid, per run.
 
-    For a fixed exponent p and x = (tokens / reference) ** -p the model is
-    linear, and its error depends on a few moments of x and loss only. They
-    are sums over points, so a long curve is summed in pieces everywhere.
-    ``stats`` has the moments of loss and the range of exponents of each run.
+@dataclass
+class _Moments:
+    """Sums over points, one for every exponent p of a grid, with x = (tokens / reference) ** -p.
+
+    Co-moments are about the means, so that pieces can be put together.
     """
-    last = GRID_POINTS - 1
-    low, high = F.col("low"), F.col("high")
 
-    def exponent(k: Column) -> Column:
-        return F.when(k >= last, high).otherwise(low + F.greatest(k, F.lit(0)) * ((high - low) / last))
+    n: int
+    mean_y: float
+    mean_x: np.ndarray
+    xx: np.ndarray
+    xy: np.ndarray
+    sum_xx: np.ndarray
+    sum_xy: np.ndarray
+
+    @classmethod
+    def of(cls, log_ratio: np.ndarray, loss: np.ndarray, exponents: np.ndarray) -> _Moments:
+        whole = None
+        for first in range(0, len(loss), CHUNK_POINTS):
+            y = loss[first : first + CHUNK_POINTS]
+            x = np.exp(-np.multiply.outer(exponents, log_ratio[first : first + CHUNK_POINTS]))
+            mean_x, mean_y = x.mean(axis=1), float(y.mean())
+            apart = x - mean_x[:, None]
+            own = cls(len(y), mean_y, mean_x, (apart * apart).sum(axis=1), (apart * (y - mean_y)).sum(axis=1), (x * x).sum(axis=1), (x * y).sum(axis=1))
+            whole = own if whole is None else whole.with_(own)
+        return whole
+
+    def with_(self, other: _Moments) -> _Moments:
+        n = self.n + other.n
+        weight, shift = self.n * other.n / n, other.mean_x - self.mean_x
+        return _Moments(
+            n,
+            self.mean_y + (other.mean_y - self.mean_y) * other.n / n,
+            self.mean_x + shift * (other.n / n),
+            self.xx + other.xx + shift * shift * weight,
+            self.xy + other.xy + shift * (other.mean_y - self.mean_y) * weight,
+            self.sum_xx + other.sum_xx,
+            self.sum_xy + other.sum_xy,
+        )
 
-    cells = basis.join(stats.select("run", "low", "high"), "run").select(
-        "run", "log_ratio", "loss", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("k")
-    )
-    x = F.exp(-exponent(F.col("k")) * F.col("log_ratio"))
-    sums = (
-        cells.select("run", "k", "loss", x.alias("x"))
-        .groupBy("run", "k")
-        .agg(
-            F.avg("x").alias("mean_x"),
-            F.var_pop("x").alias("var_x"),
-            F.covar_pop("x", "loss").alias("cov"),
-            F.sum(F.col("x") * F.col("loss")).alias("sum_xy"),
-            F.sum(F.col("x") * F.col("x")).alias("sum_xx"),
+    def best(self, mean_loss: float, var_loss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Least error, floor and amplitude at every exponent.
+
+        For a fixed exponent the model is linear: the best of a floor alone, an amplitude alone, and
+        both where neither is negative. The error follows from the moments.
+        """
+        var_x, cov = self.xx / self.n, self.xy / self.n
+        with np.errstate(divide="ignore", invalid="ignore"):
+            slope = np.where(var_x > 0, cov / var_x, np.nan)
+        intercept = mean_loss - slope * self.mean_x
+        none = np.zeros_like(var_x)
+        floors = np.stack([none + mean_loss, none, intercept])
+        amplitudes = np.stack([none, self.sum_xy / self.sum_xx, slope])
+        miss = mean_loss - floors - amplitudes * self.mean_x
+        errors = np.maximum(self.n * (miss * miss + var_loss - 2 * amplitudes * cov + amplitudes * amplitudes * var_x), 0.0)
+        errors[2] = np.where((intercept >= 0) & (slope >= 0), errors[2], np.inf)
+        first = np.lexsort((amplitudes, floors, errors), axis=0)[0]
+        at = np.arange(len(var_x))
+        return errors[first, at], floors[first, at], amplitudes[first, at]
+
+
+def _points_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    points = batch.column("points")[i].values
+    return points.field(0).to_numpy(), points.field(1).to_numpy()
+
+
+_FIT = [(n, pa.float64()) for n in ("floor", "amplitude", "exponent", "sse")]
+
+
+def _fit_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rounds of the fit of every run that is one row."""
+    for batch in batches:
+        rows = []
+        for i, (mean, var) in enumerate(zip(batch.column("mean_loss").to_pylist(), batch.column("var_loss").to_pylist())):
+            log_ratio, loss = _points_of(batch, i)
+            low, high = LOWEST_EXPONENT, HIGHEST_EXPONENT
+            for _ in range(GRID_ROUNDS):
+                grid = _exponents(low, high)
+                errors, floors, amplitudes = _Moments.of(log_ratio, loss, grid).best(mean, var)
+                k = int(errors.argmin())
+                low, high = float(grid[max(k - 1, 0)]), float(grid[min(k + 1, GRID_POINTS - 1)])
+            rows.append((floors[k], amplitudes[k], grid[k], errors[k]))
+        columns = list(zip(*rows)) if rows else [[]] * len(_FIT)
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in RUN_STATS), *(pa.array(c, k) for c, (_, k) in zip(columns, _FIT))], [*RUN_STATS, *(n for n, _ in _FIT)]
         )
-    )
-    moments = sums.join(stats, "run").withColumn("exponent", exponent(F.col("k")))
-    slope = F.try_divide("cov", "var_x")
-    intercept = F.col("mean_loss") - slope * F.col("mean_x")
-    through_zero = F.col("sum_xy") / F.col("sum_xx")
-
-    def error(floor: Column, amplitude: Column) -> Column:
-        miss = F.col("mean_loss") - floor - amplitude * F.col("mean_x")
-        spread = F.col("var_loss") - 2 * amplitude * F.col("cov") + amplitude * amplitude * F.col("var_x")
-        return F.greatest(F.col("n") * (miss * miss + spread), F.lit(0.0))
-
-    def candidate(floor: Column, amplitude: Column) -> Column:
-        return F.struct(error(floor, amplitude).alias("sse"), floor.alias("floor"), amplitude.alias("amplitude"))
-
-    zero = F.lit(0.0)
-    free = F.when((intercept >= 0) & (slope >= 0), candidate(intercept, slope))
-    best = F.least(candidate(F.col("mean_loss"), zero), candidate(zero, through_zero), free)
-    return moments.withColumn("best", best).select(
-        "run", "k", "exponent", "n", "reference_tokens", "mean_loss", "var_loss", "best.*",
-        exponent(F.col("k") - 1).alias("low"), exponent(F.col("k") + 1).alias("high"),
-    )
 
 
-def _winners(cells: DataFrame) -> DataFrame:
-    fields = [c for c in cells.columns if c != "run"]
-    return cells.groupBy("run").agg(F.min_by(F.struct(*fields), F.struct("sse", "k")).alias("w")).select("run", "w.*")
+_VECTORS = ("mean_x", "xx", "xy", "sum_xx", "sum_xy")
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The moments of every piece over the grid of its run."""
+    for batch in batches:
+        found = []
+        for i, (low, high) in enumerate(zip(batch.column("low").to_pylist(), batch.column("high").to_pylist())):
+            found.append(_Moments.of(*_points_of(batch, i), _exponents(low, high)))
+        columns = [batch.column(c) for c in (*RUN_STATS, "low", "high")]
+        columns += [pa.array([m.n for m in found], pa.int64()), pa.array([m.mean_y for m in found], pa.float64())]
+        columns += [pa.array([getattr(m, v) for m in found], pa.list_(pa.float64())) for v in _VECTORS]
+        yield pa.RecordBatch.from_arrays(columns, [*RUN_STATS, "low", "high", "count", "mean_y", *_VECTORS])
+
+
+def _merged(table: pa.Table) -> tuple[_Moments, dict]:
+    """The moments of one run from those of its pieces, and the run's own columns."""
+    whole = None
+    for r in table.select(["count", "mean_y", *_VECTORS]).to_pylist():
+        own = _Moments(r["count"], r["mean_y"], *(np.array(r[v]) for v in _VECTORS))
+        whole = own if whole is None else whole.with_(own)
+    return whole, table.select([*RUN_STATS, "low", "high"]).slice(0, 1).to_pylist()[0]
+
+
+def _round(table: pa.Table) -> pa.Table:
+    """A run's best exponent of the grid, and the range of its neighbours."""
+    moments, run = _merged(table)
+    grid = _exponents(run["low"], run["high"])
+    errors, floors, amplitudes = moments.best(run["mean_loss"], run["var_loss"])
+    k = int(errors.argmin())
+    values = [floors[k], amplitudes[k], grid[k], errors[k], grid[max(k - 1, 0)], grid[min(k + 1, GRID_POINTS - 1)]]
+    own = table.select(list(RUN_STATS)).slice(0, 1)
+    names = [*(n for n, _ in _FIT), "low", "high"]
+    return pa.Table.from_arrays([*own.columns, *(pa.array([float(v)]) for v in values)], names=[*RUN_STATS, *names])
+
+
+def _cells(table: pa.Table) -> pa.Table:
+    """A run's error, floor and amplitude at every exponent of the grid."""
+    moments, run = _merged(table)
+    found = moments.best(run["mean_loss"], run["var_loss"])
+    columns = [pa.array(np.arange(GRID_POINTS, dtype=np.int32)), pa.array(_exponents(run["low"], run["high"])), *map(pa.array, found)]
+    own = pa.chunked_array([table.column("run").combine_chunks().take(pa.array([0] * GRID_POINTS))])
+    return pa.Table.from_arrays([own, *columns], names=["run", "k", "exponent", "sse", "floor", "amplitude"])
+
+
+def _stats_schema(pieces: DataFrame) -> str:
+    return ", ".join(f"`{c}` {pieces.schema[c].dataType.simpleString()}" for c in RUN_STATS)
+
+
+def _moment_rows(pieces: DataFrame) -> DataFrame:
+    vectors = ", ".join(f"{v} array<double>" for v in _VECTORS)
+    schema = f"{_stats_schema(pieces)}, low double, high double, count long, mean_y double, {vectors}"
+    return pieces.select(*RUN_STATS, "low", "high", "points").mapInArrow(_vectors, schema)
 
 
 def loss_fit_grid(points: DataFrame) -> DataFrame:
     """First round of the fit as a relation: every run and exponent."""
-    return _grid_round(*_fit_basis(points)).select("run", "k", "exponent", "sse", "floor", "amplitude")
+    pieces = _pieces(points.select("run", "tokens", "loss"))
+    pieces = pieces.withColumns({"low": F.lit(LOWEST_EXPONENT), "high": F.lit(HIGHEST_EXPONENT)})
+    run = pieces.schema["run"].dataType.simpleString()
+    return _moment_rows(pieces).groupBy("run").applyInArrow(_cells, f"run {run}, k int, exponent double, sse double, floor double, amplitude double")
+
+
+def _fit_long(pieces: DataFrame) -> DataFrame:
+    """The fit of runs of several rows: in each round the moments of all pieces, a vector each, are put together by run."""
+    fit = ", ".join(f"{n} double" for n, _ in _FIT)
+    best = pieces.select(*RUN_STATS).distinct().withColumns({"low": F.lit(LOWEST_EXPONENT), "high": F.lit(HIGHEST_EXPONENT)})
+    for _ in range(GRID_ROUNDS):
+        ranges = best.select("run", "low", "high")
+        rows = _moment_rows(pieces.join(ranges, "run"))
+        best = stage(rows.groupBy("run").applyInArrow(_round, f"{_stats_schema(pieces)}, {fit}, low double, high double"), "fit-runs")
+    return best.drop("low", "high")
 
 
 def fit_loss_curve(points: DataFrame) -> DataFrame:
@@ -234,14 +348,16 @@ def fit_loss_curve(points: DataFrame) -> DataFrame:
 
     ``points``: run, tokens, loss of eligible runs. Floor and amplitude are
     not negative, the exponent stays within its bounds. Each round narrows a
-    grid of exponents to the neighbours of its best one, for all runs at once.
+    grid of exponents to the neighbours of its best one. For a fixed exponent the error depends on a few
+    moments only, which are taken for the whole grid at once. A run is one row and one
+    task's work; a long run is several, whose moments are summed.
     """
-    scaled, best = _fit_basis(stage(points.select("run", "tokens", "loss"), "fit-input"))
-    # Runs stay together so that few partial sums move; long ones are split.
-    cores = points.sparkSession.sparkContext.defaultParallelism
-    basis = stage(scaled.repartition(cores, "run", "piece"), "fit-points")
-    for _ in range(GRID_ROUNDS):
-        best = _winners(_grid_round(basis, stage(best.select(*RUN_STATS), "fit-runs")))
+    pieces = stage(_pieces(points.select("run", "tokens", "loss")), "fit-points")
+    fit = ", ".join(f"{n} double" for n, _ in _FIT)
+    best = pieces.where(F.col("n") <= PIECE_POINTS).mapInArrow(_fit_alone, f"{_stats_schema(pieces)}, {fit}")
+    long = pieces.where(F.col("n") > PIECE_POINTS)
+    if not long.isEmpty():
+        best = best.union(_fit_long(long))
     p = F.col("exponent")
     return best.select(
         "run",
@@ -366,3 +482,53 @@ def skipped_trials(trials: DataFrame, reasons: Sequence[DataFrame]) -> DataFrame
         ranked = rows if ranked is None else ranked.unionByName(rows)
     first = ranked.groupBy("run").agg(F.min_by("problem", F.struct("priority", "problem")).alias("reason"))
     return trials.select("run").join(first, "run")
+
+
+@dataclass(frozen=True)
+class Forecast:
+    """What a forecast of whole studies gives."""
+
+    fits: DataFrame  # study, trial, run, the fit and predicted_loss at the study's target
+    skipped: DataFrame  # run, reason
+    points: DataFrame  # of the trials that were fitted
+    targets: DataFrame  # study, target_tokens, observed_end, problem
+    best: DataFrame  # study, trial, predicted_loss, r_squared
+
+    def curves(self) -> DataFrame:
+        return forecast_curve(self.fits, self.points.where("used_for_fit"), self.targets)
+
+
+def forecast_studies(
+    trials: DataFrame,
+    configs: DataFrame,
+    runs: DataFrame,
+    logs: DataFrame,
+    fit_start_fraction: float = 0.0,
+    target: float | None = None,
+) -> Forecast:
+    """From completed trials and their logs to the best trial of each study.
+
+    ``trials``: study, trial, run, attrs; ``configs``: study, trial, path. A trial counts as a
+    whole: without a saved configuration, with a schedule that cannot be used, without a log, with
+    one bad record in it, or with points that determine no curve, it is skipped with that
+    reason, and takes no part in the study's target. A study whose target lies inside its data is not forecast.
+    """
+    missing = select_attempt(configs, trials).where("problem IS NOT NULL").join(trials.select("study", "trial", "run"), ["study", "trial"])
+    mine = trials.select("run").distinct()
+    own_runs, own_logs = runs.join(mine, "run", "left_semi"), logs.join(mine, "run", "left_semi")
+    schedules = invalid_runs(own_runs).select("run", F.get("reasons", F.lit(0)).alias("problem"))
+    records = invalid_records(own_logs).groupBy("run").agg(F.min_by("problem", "line_no").alias("problem"))
+    barred = stage(missing.select("run", "problem").union(schedules).union(records).select("run").distinct(), "barred")
+    points = curve_points(
+        latest_by_step(own_logs.join(barred, "run", "left_anti")), own_runs.join(barred, "run", "left_anti"), fit_start_fraction
+    )
+    points = stage(points, "points")
+    fitted_points = points.where("used_for_fit").select("run", "tokens", "loss")
+    unfit = unfitted_runs(own_runs, own_logs, fitted_points)
+    skipped = stage(skipped_trials(mine, [missing.select("run", "problem"), schedules, records, unfit]), "skipped")
+    fits = fit_loss_curve(fitted_points.join(skipped, "run", "left_anti"))
+    fits = stage(trials.select("study", "trial", "run").join(fits, "run"), "fits")
+    kept = stage(points.join(fits.select("run"), "run", "left_semi"), "fitted")
+    targets = stage(forecast_target(fits, kept, run_summary(own_runs), target), "targets")
+    forecast = stage(with_target_loss(fits, targets.where("problem IS NULL")), "forecast")
+    return Forecast(forecast, skipped, kept, targets, select_best(forecast))

@@ -27,6 +27,8 @@ FIRST_TERM_ID = 3
 # A vocabulary travels to the executors only when it is known to be this small.
 BROADCAST_TERMS = 1_000_000
 BROADCAST_TERM_BYTES = 64 * 1024 * 1024
+# Tokens of one range of keys, which one task orders.
+CELL_TOKENS = 1 << 22
 
 
 def build_vocab(df: DataFrame, size: int) -> DataFrame:
@@ -162,16 +164,43 @@ def item_size(max_id: int) -> int:
     return 2 if max_id <= 2**16 - 1 else 4
 
 
-def bos_offsets(df: DataFrame) -> DataFrame:
+def _cell(df: DataFrame, cell_tokens: int) -> Column:
+    """A range of order keys, with about ``cell_tokens`` tokens over all shards: some leading buckets each."""
+    total = df.agg(F.sum("n_tokens")).first()[0] or 0
+    cells = max(1, -(-total // cell_tokens))
+    number = F.coalesce(F.conv("bucket", 16, 10).cast("long"), F.lit(0))
+    return F.floor(number * F.least(F.lit(cells), F.lit(1 << 20)) / F.pow(F.lit(16.0), F.length("bucket")))
+
+
+def bos_offsets(df: DataFrame, cell_tokens: int = CELL_TOKENS) -> DataFrame:
     """``start``: where each document begins in its shard, BOS counted.
 
-    ``df`` holds stored, encoded documents with their shard.
+    ``df`` holds stored, encoded documents with their shard. Documents of a range of keys come to
+    lie together and in order; this is the only time their tokens move, and cutting packs
+    from the result moves edges of ranges only.
     """
     size = F.col("n_tokens")
+    celled = df.withColumn("_cell", _cell(df, cell_tokens))
     ended = running_total(
-        df, group=["split", "shard"], bucket="bucket", order=["order_key", "doc_id"], value=size, name="_end", stored=True
+        celled, group=["split", "shard"], bucket="_cell", order=["order_key", "doc_id"], value=size, name="_end", stored=True
+    )
+    return ended.withColumn("start", F.col("_end") - size).drop("_end", "_cell")
+
+
+def audit_token_shards(expected: DataFrame, stored: DataFrame) -> DataFrame:
+    """Shards of a build next to those on disk.
+
+    ``expected``: split, shard, token_count; ``stored``: split, shard, stored_tokens. What is missing or
+    differs is the work that remains.
+    """
+    joined = expected.join(stored, ["split", "shard"], "full_outer")
+    status = (
+        F.when(F.col("stored_tokens").isNull(), "missing")
+        .when(F.col("token_count").isNull(), "unexpected")
+        .when(F.col("token_count") != F.col("stored_tokens"), "token count differs")
+        .otherwise("complete")
     )
-    return ended.withColumn("start", F.col("_end") - size).drop("_end")
+    return joined.select("split", "shard", "token_count", "stored_tokens", status.alias("status"))
 
 
 def shard_headers(df: DataFrame, max_id: int) -> DataFrame:

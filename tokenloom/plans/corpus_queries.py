@@ -76,7 +76,7 @@ def read_split(spark, sf):
     path = f"{stage_root(spark)}/tokenloom/corpus-{uuid.uuid4().hex}"
     plan = _plan(spark, sf)
     docs = C.sharded_documents(A.corpus(spark, sf), plan).drop("lang", "source")
-    IO.write_shards(docs, path, len(plan.ranges))
+    IO.write_shards(docs, path, plan.shards)
     return IO.read_split(spark, path, "train", limit=300).select("doc_id", "shard", F.md5("text").alias("text_md5"))
 
 
@@ -240,6 +240,17 @@ def mask_boundary_labels(spark, sf):
     return packs.select("split", "shard", "pack", digest("labels").alias("labels"))
 
 
+def pack_with_ends(spark, sf):
+    """Packs of documents that begin with one marker and end with another: segments, positions and masked labels."""
+    encoded = _encoded(spark, sf)
+    ended = encoded.withColumn("tokens", F.concat("tokens", F.array(F.lit(T.EOS_ID)))).withColumn("n_tokens", F.col("n_tokens") + 1)
+    packs = K.pack_documents(ended, SEQ_LEN, T.BOS_ID, T.EOS_ID)
+    return packs.select(
+        "split", "shard", "pack", digest("attention_mask").alias("segment_ids"), digest("position_ids").alias("position_ids"),
+        digest("labels").alias("labels"),
+    )
+
+
 def cap_packs(spark, sf):
     """The first packs of each split along its shuffled shards."""
     encoded = _encoded(spark, sf)
@@ -273,7 +284,7 @@ QUERIES = {f.__name__: f for f in (
     read_corpus, read_split, bad_documents, usable_documents, seeded_order, running_tokens, split_by_budget, sound_build,
     assign_shards, budget_shortfall, corpus_manifest, audit_shards, split_overlap, corpus_progress,
     build_vocab, encode_documents, encode_documents_joined, encode_bytes, token_width, bos_offsets, shard_headers, tokenization_manifest,
-    document_samples, cut_packs, shift_labels, segment_ids, position_ids, mask_boundary_labels, cap_packs,
+    document_samples, cut_packs, shift_labels, segment_ids, position_ids, mask_boundary_labels, pack_with_ends, cap_packs,
     order_shards, batch_packs, pack_stats,
 )}
 
@@ -486,6 +497,18 @@ ORACLES = {
     "mask_boundary_labels": _with(CELLS, f"""
         SELECT split, shard, pack, {_joined("CASE WHEN id = 0 THEN -100 ELSE id END", "i")} AS labels
         FROM cells WHERE i > 0 {_PER_PACK}"""),
+    "pack_with_ends": _with(
+        CELLS.replace("SELECT doc_id, 0, 0 FROM placed)", "SELECT doc_id, 0, 0 FROM placed UNION ALL SELECT doc_id, 9000000000, 1 FROM placed)", 1) + """,
+        before AS (SELECT *, lag(id) OVER (PARTITION BY split, shard, pack ORDER BY i) AS prev FROM cells),
+        marked AS (
+          SELECT *, 1 + sum(CASE WHEN i > 0 AND (id = 0 OR prev = 1) THEN 1 ELSE 0 END) OVER w AS piece,
+                 i - max(CASE WHEN i = 0 OR id = 0 OR prev = 1 THEN i ELSE 0 END) OVER w AS spot_in_piece
+          FROM before WINDOW w AS (PARTITION BY split, shard, pack ORDER BY i))""", f"""
+        SELECT split, shard, pack,
+               md5(string_agg(CAST(piece AS VARCHAR), ' ' ORDER BY i) FILTER (i < {SEQ_LEN})) AS segment_ids,
+               md5(string_agg(CAST(spot_in_piece AS VARCHAR), ' ' ORDER BY i) FILTER (i < {SEQ_LEN})) AS position_ids,
+               md5(string_agg(CAST(CASE WHEN prev = 1 OR id = 0 THEN -100 ELSE id END AS VARCHAR), ' ' ORDER BY i) FILTER (i > 0)) AS labels
+        FROM marked {_PER_PACK}"""),
     "cap_packs": _with(CELLS, f"""
         SELECT split, shard, pack, pack_number, {_joined("id", "i")} AS input_ids
         FROM inputs JOIN (

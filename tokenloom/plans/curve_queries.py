@@ -141,8 +141,43 @@ def skipped_trials(spark, sf):
     return V.skipped_trials(runs, [no_config, bad_schedule, first_bad, unfit])
 
 
+def _gated_logs(spark, sf):
+    """Logs of which every fourth run only keeps its bad records."""
+    logs = A.logs(spark, sf)
+    return logs.where((F.col("run") % 4 == 0) | V.record_problem().isNull())
+
+
+def _forecast(spark, sf):
+    e, u = F.col("event_id"), F.col("user_id")
+    configs = A.table(spark, sf, "events").where(u % 19 != 0).select(
+        (u % 10).alias("study"), u.alias("trial"), F.format_string("/s/trial_%04d/attempt_%02d_local_batch_%d/config.yaml", u, e % 4, e % 3).alias("path"),
+    ).distinct()
+    return V.forecast_studies(_trials(spark, sf), configs, A.runs(spark, sf), _gated_logs(spark, sf), FRACTION)
+
+
+def forecast_studies(spark, sf):
+    """From logs to the best trial of every study: skipped trials with their reason, fitted ones with what they lead to."""
+    forecast = _forecast(spark, sf)
+    best = forecast.best.select("study", F.col("trial").alias("best"))
+    fitted = forecast.fits.join(best, "study").select(
+        "study", "trial", F.lit(None).cast("string").alias("reason"), "points", F.round("floor", 3).alias("floor"), F.round("exponent", 3).alias("exponent"),
+        F.round("r_squared", 4).alias("r_squared"), "exponent_at_bound", "target_tokens", F.round("predicted_loss", 4).alias("predicted_loss"),
+        F.coalesce(F.col("trial") == F.col("best"), F.lit(False)).alias("best"),
+    )
+    skipped = forecast.skipped.select((F.col("run") % 10).alias("study"), F.col("run").alias("trial"), "reason")
+    return fitted.unionByName(skipped, allowMissingColumns=True)
+
+
+def forecast_study_curves(spark, sf):
+    """Predicted losses of the fitted trials along their data and on to the target, with the ends of each part."""
+    ends = _forecast(spark, sf).curves().groupBy("study", "run", "part").agg(
+        F.count("*").alias("points"), F.round(F.min("predicted_loss"), 4).alias("least"), F.round(F.max("tokens"), 2).alias("last_tokens")
+    )
+    return ends
+
+
 QUERIES = {f.__name__: f for f in (
-    invalid_records, latest_by_step, curve_points, invalid_runs, run_summary, select_attempt, fit_eligibility,
+    forecast_studies, forecast_study_curves, invalid_records, latest_by_step, curve_points, invalid_runs, run_summary, select_attempt, fit_eligibility,
     loss_fit_grid, fit_loss_curve, forecast_target, forecast_target_given, forecast_curve, select_best,
     forecast_guards, skipped_trials,
 )}
@@ -178,6 +213,61 @@ def _with(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
 
 
+def _round(n: int, ranges: str) -> str:
+    """One round of the fit for all runs: moments at 161 exponents between the ends of ``ranges``, the best one and its neighbours."""
+    last = V.GRID_POINTS - 1
+    at = lambda k: f"CASE WHEN {k} >= {last} THEN high ELSE low + greatest({k}, 0) * ((high - low) / {last}) END"
+    return f"""
+m{n} AS MATERIALIZED (
+  SELECT run, k, any_value(n) AS n, any_value(my) AS my, any_value(vy) AS vy, any_value(low) AS low, any_value(high) AS high,
+         avg(x) AS mx, var_pop(x) AS vx, covar_pop(x, loss) AS c, sum(x * loss) / sum(x * x) AS a0
+  FROM (SELECT p.run, k, n, my, vy, low, high, loss, exp(-({at("k")}) * ln(tokens / ref)) AS x
+        FROM usable p JOIN {ranges} USING (run), range({V.GRID_POINTS}) t(k))
+  GROUP BY run, k),
+c{n} AS MATERIALIZED (
+  SELECT *, n * vy AS s1, greatest(n * ((my - a0 * mx) ** 2 + vy - 2 * a0 * c + a0 * a0 * vx), 0) AS s2,
+         CASE WHEN a >= 0 AND my - a * mx >= 0 THEN greatest(n * ((my - (my - a * mx) - a * mx) ** 2 + vy - 2 * a * c + a * a * vx), 0) ELSE 1e300 END AS s3
+  FROM (SELECT *, CASE WHEN vx > 0 THEN c / vx END AS a FROM m{n})),
+r{n} AS MATERIALIZED (
+  SELECT run, n, my, vy, ref, sse, exponent, floor, amplitude, below AS low, above AS high FROM (
+    SELECT c.run, c.n, c.my, c.vy, b.ref, least(s1, s2, s3) AS sse, {at("k").replace("high", "c.high").replace("low", "c.low")} AS exponent,
+           CASE WHEN least(s1, s2, s3) = s2 THEN 0 WHEN least(s1, s2, s3) = s3 THEN c.my - a * mx ELSE c.my END AS floor,
+           CASE WHEN least(s1, s2, s3) = s2 THEN a0 WHEN least(s1, s2, s3) = s3 THEN a ELSE 0 END AS amplitude,
+           {at("(k - 1)").replace("high", "c.high").replace("low", "c.low")} AS below, {at("(k + 1)").replace("high", "c.high").replace("low", "c.low")} AS above, k
+    FROM c{n} c JOIN {ranges} b USING (run))
+  QUALIFY row_number() OVER (PARTITION BY run ORDER BY sse, k) = 1)"""
+
+
+BAD = "(malformed OR step IS NULL OR step < 0 OR step <> floor(step) OR val_loss IS NULL)"
+GATED = POINTS.replace("logs AS (", "all_logs AS (", 1).replace(
+    "good AS (", f"logs AS (SELECT * FROM all_logs WHERE run % 4 = 0 OR NOT {BAD}),\ngood AS (", 1
+) + f""",
+reasons AS (
+  SELECT r.run, coalesce(CASE WHEN r.run % 19 = 0 OR c.run IS NULL THEN 'no saved configuration for the completed attempt' END,
+                         CASE WHEN upper(decay_style) <> 'WSD' THEN 'schedule is not warm-up, plateau, decay' END, b.record,
+                         CASE WHEN l.run IS NULL THEN 'no validation log' END, CASE WHEN e.run IS NULL THEN 'no point to fit' END, e.problem) AS reason
+  FROM runs r
+  LEFT JOIN (SELECT DISTINCT user_id AS run FROM events WHERE user_id % 3 <> 0 OR event_id % 4 = user_id % 4) c USING (run)
+  LEFT JOIN (SELECT DISTINCT run FROM logs) l USING (run)
+  LEFT JOIN (SELECT run, arg_min(record, line_no) AS record FROM (SELECT run, line_no, {RECORD_PROBLEM} AS record FROM logs)
+             WHERE record IS NOT NULL GROUP BY run) b USING (run)
+  LEFT JOIN eligibility e USING (run)),
+usable AS MATERIALIZED (
+  SELECT run, tokens, loss FROM classed JOIN reasons USING (run) WHERE reasons.reason IS NULL AND classed.reason = 'fit'),
+r0 AS MATERIALIZED (
+  SELECT run, count(*) AS n, avg(loss) AS my, var_pop(loss) AS vy, CAST(min(tokens) AS DOUBLE) AS ref, 0.01::DOUBLE AS low, 3.0::DOUBLE AS high
+  FROM usable GROUP BY run),""" + ",".join(_round(n, f"r{n - 1}") for n in range(1, V.GRID_ROUNDS + 1)) + f""",
+target AS MATERIALIZED (
+  SELECT study, target_tokens FROM (
+    SELECT run % 10 AS study, 2.0::DOUBLE * max(max_steps * global_batch * seq_len) AS target_tokens, max(last_tokens) AS observed
+    FROM r{V.GRID_ROUNDS} JOIN runs USING (run) JOIN (SELECT run, max(tokens) AS last_tokens FROM classed GROUP BY run) USING (run) GROUP BY 1)
+  WHERE target_tokens > observed),
+lost AS MATERIALIZED (
+  SELECT study, run, n, floor, amplitude, exponent, ref, target_tokens, 1 - sse / (n * vy) AS r_squared,
+         floor + amplitude * pow(target_tokens / ref, -exponent) AS predicted_loss
+  FROM r{V.GRID_ROUNDS} JOIN target ON run % 10 = study)"""
+
+
 def _target(wanted: str) -> str:
     return _with(POINTS, f"""
         SELECT run % 10 AS study, max(tokens) AS observed_end, {wanted} AS target_tokens,
@@ -186,6 +276,19 @@ def _target(wanted: str) -> str:
 
 
 ORACLES = {
+    "forecast_studies": _with(GATED, """
+        SELECT study, run AS trial, CAST(NULL AS VARCHAR) AS reason, n AS points, round(floor, 3) AS floor, round(exponent, 3) AS exponent,
+               round(r_squared, 4) AS r_squared, exponent <= 0.01001::DOUBLE OR exponent >= 2.99999::DOUBLE AS exponent_at_bound, target_tokens,
+               round(predicted_loss, 4) AS predicted_loss,
+               coalesce(run = arg_min(run, (predicted_loss, run)) FILTER (r_squared >= 0.95::DOUBLE) OVER (PARTITION BY study), false) AS best
+        FROM lost
+        UNION ALL
+        SELECT run % 10, run, reason, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM reasons WHERE reason IS NOT NULL"""),
+    "forecast_study_curves": _with(GATED, """
+        SELECT study, run, part, points, round(floor + amplitude * pow(hi / ref, -exponent), 4) AS least, round(hi, 2) AS last_tokens
+        FROM (SELECT l.*, 'fitted' AS part, CAST(100 AS BIGINT) AS points, CAST(last_tokens AS DOUBLE) AS hi
+              FROM lost l JOIN (SELECT run, max(tokens) AS last_tokens FROM usable GROUP BY run) USING (run)
+              UNION ALL SELECT l.*, 'forecast', 200, target_tokens FROM lost l)"""),
     "invalid_records": _with(A.LOGS_SQL, f"""
         SELECT * FROM (SELECT run, line_no, {RECORD_PROBLEM} AS problem FROM logs) WHERE problem IS NOT NULL"""),
     "latest_by_step": _with(A.LOGS_SQL, """

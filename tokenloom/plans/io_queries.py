@@ -27,7 +27,7 @@ def _folder(spark, label):
 def _written_shards(spark, sf):
     path = _folder(spark, "corpus")
     plan = Q._plan(spark, sf)
-    IO.write_shards(C.sharded_documents(A.corpus(spark, sf), plan).drop("lang", "source"), path, len(plan.ranges))
+    IO.write_shards(C.sharded_documents(A.corpus(spark, sf), plan).drop("lang", "source"), path, plan.shards)
     return path
 
 
@@ -121,6 +121,54 @@ def stream_ingest(spark, sf):
     )
 
 
+STREAM_BATCHES = 8
+
+
+def stream_ingest_until_met(spark, sf):
+    """The corpus built from eight files that arrive one after another; the stream ends once both budgets are met."""
+    docs = A.table(spark, sf, "documents")
+    total = A.corpus(spark, sf).agg(F.sum("metadata.token_count")).first()[0]
+    budgets = {"train": total // 2, "validation": total // 10}
+    path, state, checkpoint, source = (_folder(spark, f"ingest-{part}") for part in ("data", "state", "checkpoint", "source"))
+    for k in range(STREAM_BATCHES):
+        docs.where(F.pmod("doc_id", F.lit(STREAM_BATCHES)) == k).coalesce(1).write.parquet(f"{source}/{k}")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/*")
+    ingest.ingest_until_met(A.as_corpus(stream), path, state, checkpoint, budgets, total // 20)
+    batches = spark.read.parquet(state).select("batch").distinct().count()
+    return ingest.ingested_documents(spark, path).groupBy("split", "shard").agg(
+        F.count("*").alias("documents"), F.sum("metadata.token_count").alias("tokens"), F.lit(batches).cast("long").alias("batches")
+    )
+
+
+def resume_token_shards(spark, sf):
+    """A build that has lost two shards finds out which and writes these alone."""
+    path = _folder(spark, "tokens")
+    encoded = Q._encoded(spark, sf)
+    TS.write_token_shards(encoded, path, Q.VOCAB_SIZE)
+    TS.forget_shards(path, [("train", 0), ("validation", 0)])
+    audit = TS.resume_token_shards(encoded, path, Q.VOCAB_SIZE)
+    return audit.select("split", "shard", "status").join(TS.stored_shards(spark, path), ["split", "shard"]).select(
+        "split", "shard", "status", F.col("stored_tokens").alias("tokens")
+    )
+
+
+def resume_evaluations(spark, sf):
+    """Evaluations still to run, from the manifests and result files that earlier ones left."""
+    path = _folder(spark, "evaluations")
+    manifests, results = A.user_evaluations(spark, sf)
+    manifests.repartition("folder").write.partitionBy("folder").json(path)
+    results.where(F.col("folder") % 4 != 0).repartition("folder").write.mode("append").partitionBy("folder").text(path)
+    stored, found = R.read_eval_results(spark, path, "part-*.json", "part-*.txt")
+    files = found.groupBy("evaluation").agg(F.count("*").alias("result_files"))
+    name = F.substring_index("checkpoint", "/", -1)
+    done = stored.join(files, "evaluation", "left").select(
+        F.col("run_name").alias("run_slug"), name.alias("checkpoint"), "suite", "phase", "status", F.coalesce("result_files", F.lit(0)).alias("result_files")
+    )
+    wanted = manifests.select(F.col("run_name").alias("run_slug"), F.col("checkpoint").alias("path"), "training_step")
+    work = E.evaluation_worklist(wanted, ["pretrain"], done)
+    return work.select("run_slug", "training_step", "suite", F.size("tasks").alias("tasks"))
+
+
 def _event_stream(spark, sf):
     schema = A.table(spark, sf, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf)
@@ -128,7 +176,7 @@ def _event_stream(spark, sf):
 
 def _followed(spark, rows, label, keys):
     path, checkpoint = _folder(spark, label), _folder(spark, f"{label}-checkpoint")
-    losses.write_updates(rows, path, checkpoint).awaitTermination()
+    losses.write_updates(rows, path, checkpoint, keys).awaitTermination()
     return losses.read_updates(spark, path, keys)
 
 
@@ -151,7 +199,7 @@ def remaining_work(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     write_shards, read_file_listing, write_token_shards, write_manifest, read_run_logs, read_trials, read_eval_results,
-    write_table, stream_ingest, stream_latest_losses, stream_curve_points, remaining_work,
+    write_table, stream_ingest, stream_ingest_until_met, resume_token_shards, resume_evaluations, stream_latest_losses, stream_curve_points, remaining_work,
 )}
 
 ORACLES = {
@@ -182,6 +230,17 @@ ORACLES = {
     "write_table": eval_queries.ORACLES["metrics_table"],
     "stream_ingest": Q._with(Q.PLACED, """
         SELECT split, shard, count(*) AS documents, CAST(sum(token_count) AS BIGINT) AS tokens FROM placed GROUP BY split, shard"""),
+    "stream_ingest_until_met": Q._with(
+        Q.PLACED.replace("md5('42:' || doc_id)", f"(doc_id % {STREAM_BATCHES}) || md5('42:' || doc_id)").replace("* 7 // 10 AS train", "// 2 AS train"), f"""
+        SELECT split, shard, count(*) AS documents, CAST(sum(token_count) AS BIGINT) AS tokens,
+               (SELECT count(DISTINCT doc_id % {STREAM_BATCHES}) FROM placed) AS batches
+        FROM placed GROUP BY split, shard"""),
+    "resume_token_shards": Q._with(Q.STREAM, """
+        SELECT split, shard, CASE WHEN shard = 0 THEN 'missing' ELSE 'complete' END AS status, count(*) AS tokens
+        FROM stream GROUP BY split, shard"""),
+    "resume_evaluations": """
+        SELECT 'u' || user_id AS run_slug, count(*) AS training_step, 'pretrain' AS suite, 11 AS tasks FROM events
+        WHERE user_id % 7 = 0 OR user_id % 5 = 0 OR user_id % 4 = 0 GROUP BY user_id""",
     "stream_latest_losses": V.ORACLES["latest_by_step"],
     "stream_curve_points": V.ORACLES["curve_points"],
     "remaining_work": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,9 @@ from pyspark.sql import types as T
 
 from tokenloom.schemas import DOCUMENT, SHARDED_DOCUMENT
 
+# Shards whose task numbers may be broadcast (a short row each).
+BROADCAST_SHARDS = 100_000
+
 
 def read_corpus(
     spark: SparkSession, path: str, schema: T.StructType = DOCUMENT, format: str = "parquet"
@@ -16,14 +21,23 @@ def read_corpus(
     return spark.read.schema(schema).format(format).load(path)
 
 
-def write_shards(df: DataFrame, path: str, shards: int | None = None) -> None:
+def shard_tasks(df: DataFrame, shards: Sequence[tuple[str, int]]) -> DataFrame:
+    """``df`` with one task for each of the shards (split, number), whatever their names hash to."""
+    table = df.sparkSession.createDataFrame(
+        [(split, shard, place) for place, (split, shard) in enumerate(shards)], "split string, shard int, _task int"
+    )
+    placed = df.join(F.broadcast(table) if len(shards) <= BROADCAST_SHARDS else table, ["split", "shard"])
+    return placed.repartitionById(max(1, len(shards)), "_task").drop("_task")
+
+
+def write_shards(df: DataFrame, path: str, shards: Sequence[tuple[str, int]] | None = None) -> None:
     """One file per split and shard, in seeded order.
 
-    The texts move once, to the task of their shard; ``shards`` sets the
-    number of tasks (the session's default otherwise). Files appear under
+    The texts move once, to the task of their shard; ``shards`` names the shards, one task
+    each (otherwise they are hashed into the session's number of tasks). Files appear under
     their final names when the job commits; an existing target is refused.
     """
-    by_shard = df.repartition(shards, "split", "shard") if shards else df.repartition("split", "shard")
+    by_shard = df.repartition("split", "shard") if shards is None else shard_tasks(df, shards)
     (
         by_shard
         .sortWithinPartitions("split", "shard", "order_key")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tokenloom.operators.evals import latest_results
 from tokenloom.schemas import EVALUATION_MANIFEST, TRIAL
+from tokenloom.session import stage
+from tokenloom.sources.opened_files import RANGE_BYTES, open_lines, open_texts
 
 
 def _plain(path: Column) -> Column:
@@ -18,23 +20,22 @@ def _folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
-def numbered_lines(spark: SparkSession, pattern: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, pattern: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Lines of text files with their number in the file.
 
-    Large files are read in pieces. Lines of a piece are consecutive, so a
-    line's number is its place in the piece after the lines of earlier ones.
+    Large files are read in ranges of bytes. A line's number is its place in its range after the
+    lines of earlier ones; files of one range, which logs are as a rule, need no count.
     """
-    lines = spark.read.text(pattern).select(
-        _plain(F.col("_metadata.file_path")).alias("file"),
-        F.col("_metadata.file_block_start").alias("piece"),
-        F.monotonically_increasing_id().alias("place"),
-        "value",
-    )
-    pieces = lines.groupBy("file", "piece").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    earlier = Window.partitionBy("file").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    starts = pieces.select("file", "piece", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    number = F.col("before") + F.col("place") - F.col("first") + 1
-    return lines.join(starts, ["file", "piece"]).select("file", number.alias("line_no"), "value")
+    listing = spark.read.format("binaryFile").load(pattern).select(_plain(F.col("path")).alias("path"), "length")
+    listing = stage(listing, "listing")
+    lines = open_lines(listing, range_bytes)
+    if listing.where(F.col("length") > range_bytes).isEmpty():
+        return lines.select("file", (F.col("place") + 1).alias("line_no"), "value")
+    lines = stage(lines, "lines")
+    ranges = lines.groupBy("file", "first").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    before = ranges.select("file", "first", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    return lines.join(before, ["file", "first"]).select("file", (F.col("before") + F.col("place") + 1).alias("line_no"), "value")
 
 
 def parse_log_lines(lines: DataFrame) -> DataFrame:
@@ -59,9 +60,9 @@ def parse_log_lines(lines: DataFrame) -> DataFrame:
     return parsed.select(*others, *[n.alias(name) for name, n in numbers.items()], broken.alias("malformed"))
 
 
-def read_run_logs(spark: SparkSession, pattern: str) -> DataFrame:
+def read_run_logs(spark: SparkSession, pattern: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Validation logs of many runs; a run is the folder of its log."""
-    lines = numbered_lines(spark, pattern).withColumn("run", _folder(F.col("file")))
+    lines = numbered_lines(spark, pattern, range_bytes).withColumn("run", _folder(F.col("file")))
     return parse_log_lines(lines)
 
 
@@ -69,13 +70,6 @@ def read_trials(spark: SparkSession, path: str, format: str = "parquet") -> Data
     return spark.read.schema(TRIAL).format(format).load(path)
 
 
-def _whole_files(spark: SparkSession, root: str, name: str) -> DataFrame:
-    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    return reader.text(root, wholetext=True).select(
-        _plain(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("content")
-    )
-
-
 def read_file_listing(spark: SparkSession, root: str, name: str = "*") -> DataFrame:
     """Paths and modification times; file contents are not read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name)
@@ -87,15 +81,16 @@ def read_eval_results(
 ) -> tuple[DataFrame, DataFrame]:
     """Manifests, and the newest result file below each of them.
 
-    An evaluation is the folder of its manifest. Files that cannot be read
-    are left out.
+    An evaluation is the folder of its manifest. Files that cannot be read are left out. The
+    newest result is chosen from the listing, so superseded ones are never opened.
     """
     manifests = (
-        _whole_files(spark, root, manifest_name)
+        open_texts(read_file_listing(spark, root, manifest_name).select("path"))
         .select(_folder(F.col("path")).alias("evaluation"), F.from_json("content", EVALUATION_MANIFEST).alias("m"))
         .where(F.col("m").isNotNull())
         .select("evaluation", "m.*")
     )
+    manifests = stage(manifests, "manifests")
     parts = F.split("path", "/")
     ancestors = F.transform(
         F.sequence(F.lit(2), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
@@ -104,5 +99,6 @@ def read_eval_results(
         "path", "mtime", F.explode(ancestors).alias("evaluation")
     )
     newest = latest_results(files.join(manifests.select("evaluation"), "evaluation", "left_semi"))
-    results = _whole_files(spark, root, result_name).join(newest.select("evaluation", "path"), "path")
-    return manifests, results.select("evaluation", "path", "content")
+    newest = stage(newest.select("evaluation", "path"), "newest")
+    opened = open_texts(newest.select("path").distinct())
+    return manifests, opened.join(newest, "path").select("evaluation", "path", "content")

@@ -3,10 +3,15 @@
 A shard is a header of 256 int32 values (magic, version, token count, bytes
 per token), then unsigned 16- or 32-bit ids. Beside it, ``.bos.idx`` holds the
 int32 position of every document start.
+
+A write puts its files into a folder of its own, which readers pass over, and ends with one
+commit record that names them: all shards of a write appear at once, by one rename.
+Plain shard files in a folder are read as well.
 """
 
 from __future__ import annotations
 
+import json
 import sys
 import uuid
 from collections.abc import Iterator
@@ -27,7 +32,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from tokenloom.operators.tokens import MAX_SHARD_TOKENS, SHARD_MAGIC, SHARD_VERSION, bos_offsets, item_size
+from tokenloom.operators.tokens import MAX_SHARD_TOKENS, SHARD_MAGIC, SHARD_VERSION, audit_token_shards, item_size
 from tokenloom.session import stage
 
 # Ordinals of shards are broadcast up to this many (a short row each).
@@ -35,6 +40,8 @@ BROADCAST_SHARDS = 100_000
 HEADER_WORDS = 256
 HEADER_BYTES = 4 * HEADER_WORDS
 ROWS_PER_BATCH = 64
+# Fixed beginning of the names of commit records.
+RECORD = "_committed-"
 
 BLOCK_SCHEMA = "file string, start long, shard_tokens long, tokens array<long>"
 
@@ -44,11 +51,32 @@ def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _is_shard(path: str, root: str) -> bool:
-    """Whether a file is a committed shard: hidden and temporary folders do not count."""
+    """Whether a file is a plain shard: hidden folders, and those of writes, do not count."""
     below = path.removeprefix(root).strip("/").split("/")
     return path.endswith(".bin") and not any(part.startswith(("_", ".")) for part in below)
 
 
+def _records(files: fs.FileSystem, root: str) -> dict[str, list[dict]]:
+    """The shards that each commit record names: path below ``root``, size, split, shard and tokens."""
+    if files.get_file_info(root).type != fs.FileType.Directory:
+        return {}
+    found = {}
+    for info in files.get_file_info(fs.FileSelector(root)):
+        name = info.path.rsplit("/", 1)[-1]
+        if name.startswith(RECORD) and name.endswith(".json"):
+            with files.open_input_stream(info.path) as stream:
+                found[info.path] = json.loads(stream.read())["shards"]
+    return found
+
+
+def _put_record(files: fs.FileSystem, root: str, attempt: str, shards: list[dict]) -> None:
+    """Write a record under a name that readers pass over, then give it its own."""
+    hidden = f"{root}/_unfinished-{attempt}"
+    with files.open_output_stream(hidden) as stream:
+        stream.write(json.dumps({"shards": shards}).encode())
+    files.move(hidden, f"{root}/{RECORD}{attempt}.json")
+
+
 @dataclass
 class FileRange(InputPartition):
     """One of ``parts`` equal ranges of blocks of one file."""
@@ -78,7 +106,9 @@ class TokenShardReader(DataSourceReader):
             found = files.get_file_info(fs.FileSelector(path, recursive=True))
         else:
             found = [info]
-        shards = sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and _is_shard(f.path, path))
+        shards = [(f.path, f.size) for f in found if f.type == fs.FileType.File and _is_shard(f.path, path)]
+        committed = [s for record in _records(files, path).values() for s in record]
+        shards = sorted(shards + [(f"{path}/{s['path']}", s["size"]) for s in committed])
         if not shards:
             raise FileNotFoundError(f"no token shards found in {self.path}")
         ranges = []
@@ -129,70 +159,70 @@ def _block_batch(path: str, total: int, rows: list[tuple[int, np.ndarray]]) -> p
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Temporary files of one task and the names they get."""
+    """The shards that one task has written."""
 
-    moves: list[tuple[str, str]] = field(default_factory=list)
+    shards: list[dict] = field(default_factory=list)
 
 
 class _OpenShard:
     """The files of the shard a task is writing."""
 
-    def __init__(self, files: fs.FileSystem, folder: str, target: str, name: str, total: int, width: int):
+    def __init__(self, files: fs.FileSystem, root: str, folder: str, split: str, shard: int, total: int, width: int):
+        self.name = f"{split}-{shard:05d}"
         if total > MAX_SHARD_TOKENS:
-            raise ValueError(f"{name} holds {total} tokens; use smaller shards")
-        unique = uuid.uuid4().hex
-        self.moves = [
-            (f"{folder}/{name}-{unique}{ending}", f"{target}/{name}{ending}") for ending in (".bin", ".bos.idx")
-        ]
+            raise ValueError(f"{self.name} holds {total} tokens; use smaller shards")
+        self.entry = {"path": f"{folder}/{self.name}.bin", "size": HEADER_BYTES + total * width, "split": split, "shard": shard, "tokens": total}
         self.total, self.width, self.written = total, width, 0
-        self.body = files.open_output_stream(self.moves[0][0])
-        self.index = files.open_output_stream(self.moves[1][0])
+        self.body = files.open_output_stream(f"{root}/{folder}/{self.name}.bin")
+        self.index = files.open_output_stream(f"{root}/{folder}/{self.name}.bos.idx")
         header = np.zeros(HEADER_WORDS, dtype="<i4")
         header[:4] = SHARD_MAGIC, SHARD_VERSION, total, width
         self.body.write(header.tobytes())
 
-    def add(self, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
-        expected = self.written + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        if not np.array_equal(starts, expected):
-            raise ValueError(f"documents of {self.moves[0][1]} are not in order")
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        starts = self.written + np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.body.write(ids.astype(f"<u{self.width}").tobytes())
         self.index.write(starts.astype("<i4").tobytes())
         self.written += len(ids)
 
-    def close(self) -> list[tuple[str, str]]:
+    def close(self) -> dict:
         self.body.close()
         self.index.close()
         if self.written != self.total:
-            raise ValueError(f"{self.moves[0][1]} got {self.written} of {self.total} tokens")
-        return self.moves
+            raise ValueError(f"{self.name} got {self.written} of {self.total} tokens")
+        return self.entry
 
 
 class TokenShardWriter(DataSourceArrowWriter):
-    """Each task writes whole shards to a temporary folder; the commit gives
-    them their names, so a failed job leaves nothing behind."""
+    """Each task writes whole shards to a folder of its own inside that of the
+    write; the commit record then makes all of them shards at once."""
 
     def __init__(self, options: dict):
         self.uri = options["path"].rstrip("/")
         self.width = int(options["itemSize"])
+        self.attempt = uuid.uuid4().hex
         files, self.target = _filesystem(self.uri)
-        self.folder = f"{self.target}/_temporary-{uuid.uuid4().hex}"
-        if files.get_file_info(self.target).type == fs.FileType.Directory:
-            existing = [
-                f.path
-                for f in files.get_file_info(fs.FileSelector(self.target))
-                if f.path.endswith((".bin", ".bos.idx"))
-            ]
-            if existing:
-                raise FileExistsError(f"token shards already exist: {existing[0]}")
-        files.create_dir(self.folder, recursive=True)
+        self.folder = f"_attempt-{self.attempt}"
+        if options.get("resume", "false").lower() != "true":
+            self._refuse_existing(files)
+        files.create_dir(f"{self.target}/{self.folder}", recursive=True)
+
+    def _refuse_existing(self, files: fs.FileSystem) -> None:
+        if files.get_file_info(self.target).type != fs.FileType.Directory:
+            return
+        existing = [f.path for f in files.get_file_info(fs.FileSelector(self.target)) if f.path.endswith((".bin", ".bos.idx"))]
+        existing += [s["path"] for record in _records(files, self.target).values() for s in record]
+        if existing:
+            raise FileExistsError(f"token shards already exist: {existing[0]}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, _ = _filesystem(self.uri)
+        # A task that is run again does not meet the files of its first run.
+        folder = f"{self.folder}/{uuid.uuid4().hex}"
+        files.create_dir(f"{self.target}/{folder}", recursive=True)
         done, current, shard = Written(), None, None
         for batch in iterator:
-            splits, shards = batch.column("split").to_pylist(), batch.column("shard").to_pylist()
-            keys = list(zip(splits, shards))
-            starts = batch.column("start").to_numpy()
+            keys = list(zip(batch.column("split").to_pylist(), batch.column("shard").to_pylist()))
             totals = batch.column("shard_tokens").to_numpy()
             tokens = batch.column("tokens")
             offsets = tokens.offsets.to_numpy()
@@ -203,36 +233,25 @@ class TokenShardWriter(DataSourceArrowWriter):
                     last += 1
                 if keys[first] != current:
                     if shard is not None:
-                        done.moves += shard.close()
+                        done.shards.append(shard.close())
                     current = keys[first]
-                    name = f"{current[0]}-{current[1]:05d}"
-                    shard = _OpenShard(files, self.folder, self.target, name, int(totals[first]), self.width)
+                    shard = _OpenShard(files, self.target, folder, *current, int(totals[first]), self.width)
                 ids = tokens.values.to_numpy()[offsets[first] : offsets[last]]
-                shard.add(starts[first:last], np.diff(offsets[first : last + 1]), ids)
+                shard.add(np.diff(offsets[first : last + 1]), ids)
                 first = last
         if shard is not None:
-            done.moves += shard.close()
+            done.shards.append(shard.close())
         return done
 
     def commit(self, messages: list[Written | None]) -> None:
-        """All shards or none: a failing move puts the earlier ones back."""
         files, _ = _filesystem(self.uri)
-        moved: list[tuple[str, str]] = []
-        try:
-            for message in messages:
-                for source, name in message.moves if message else []:
-                    files.move(source, name)
-                    moved.append((source, name))
-        except Exception:
-            for source, name in reversed(moved):
-                files.move(name, source)
-            raise
-        files.delete_dir(self.folder)
+        _put_record(files, self.target, self.attempt, [s for m in messages if m for s in m.shards])
 
     def abort(self, messages: list[Written | None]) -> None:
         files, _ = _filesystem(self.uri)
-        if files.get_file_info(self.folder).type == fs.FileType.Directory:
-            files.delete_dir(self.folder)
+        folder = f"{self.target}/{self.folder}"
+        if files.get_file_info(folder).type == fs.FileType.Directory:
+            files.delete_dir(folder)
 
 
 class TokenShardSource(DataSource):
@@ -263,22 +282,62 @@ def read_token_shards(spark: SparkSession, path: str, seq_len: int = 1, block_to
     return reader.option("rangeBytes", range_bytes).load(path)
 
 
-def write_token_shards(encoded: DataFrame, path: str, max_id: int) -> None:
-    """Write stored, encoded documents with their shard, one task per shard."""
-    register(encoded.sparkSession)
+def stored_shards(spark: SparkSession, path: str) -> DataFrame:
+    """``(split, shard, stored_tokens, attempt)`` of every committed shard, from the records alone."""
+    files, root = _filesystem(path.rstrip("/"))
+    rows = [
+        (s["split"], s["shard"], s["tokens"], record.rsplit(RECORD, 1)[-1].removesuffix(".json"))
+        for record, shards in _records(files, root).items() for s in shards
+    ]
+    return spark.createDataFrame(rows, "split string, shard int, stored_tokens long, attempt string")
+
+
+def forget_shards(path: str, shards: list[tuple[str, int]]) -> None:
+    """Take shards out of their commit records, as when their files are found to be damaged."""
+    files, root = _filesystem(path.rstrip("/"))
+    gone = set(shards)
+    for record, held in _records(files, root).items():
+        kept = [s for s in held if (s["split"], s["shard"]) not in gone]
+        if len(kept) < len(held):
+            _put_record(files, root, uuid.uuid4().hex, kept)
+            files.delete_file(record)
+
+
+def write_token_shards(encoded: DataFrame, path: str, max_id: int, only: DataFrame | None = None) -> None:
+    """Write stored, encoded documents with their shard, one task per shard.
+
+    The tokens move once, to the task of their shard, which counts the starts as it
+    writes. ``only`` (split, shard) resumes a build: these shards are added to what is there.
+    """
+    spark = encoded.sparkSession
+    register(spark)
     totals = encoded.groupBy("split", "shard").agg(F.sum("n_tokens").alias("shard_tokens"))
-    rows = bos_offsets(encoded).join(totals, ["split", "shard"])
+    if only is not None:
+        totals = totals.join(only.select("split", "shard"), ["split", "shard"], "left_semi")
     place = F.row_number().over(Window.orderBy("split", "shard")) - 1
-    ordinals = stage(totals.select("split", "shard", place.cast("int").alias("ordinal")), "ordinals")
-    tasks = max(1, ordinals.count())
+    ordinals = stage(totals.select("split", "shard", "shard_tokens", place.cast("int").alias("ordinal")), "ordinals")
+    tasks = ordinals.count()
+    if not tasks and only is not None:
+        return
     (
-        rows.select("split", "shard", "start", "shard_tokens", "tokens")
+        encoded.select("split", "shard", "order_key", "doc_id", "tokens")
         .join(F.broadcast(ordinals) if tasks <= BROADCAST_SHARDS else ordinals, ["split", "shard"])
-        .repartitionById(tasks, "ordinal")
-        .drop("ordinal")
-        .sortWithinPartitions("split", "shard", "start")
+        .repartitionById(max(1, tasks), "ordinal")
+        .sortWithinPartitions("ordinal", "order_key", "doc_id")
+        .select("split", "shard", "shard_tokens", "tokens")
         .write.format("token_shard")
         .option("itemSize", item_size(max_id))
+        .option("resume", only is not None)
         .mode("append")
         .save(path)
     )
+
+
+def resume_token_shards(encoded: DataFrame, path: str, max_id: int) -> DataFrame:
+    """Write what a build lacks on disk and nothing else; gives the audit that said so."""
+    expected = encoded.groupBy("split", "shard").agg(F.sum("n_tokens").alias("token_count"))
+    audit = stage(audit_token_shards(expected, stored_shards(encoded.sparkSession, path)), "audit")
+    wrong = audit.where("status IN ('token count differs', 'unexpected')").select("split", "shard").collect()
+    forget_shards(path, [(r["split"], r["shard"]) for r in wrong])
+    write_token_shards(encoded, path, max_id, only=audit.where("status IN ('missing', 'token count differs')"))
+    return audit
