@@ -8,10 +8,6 @@ import __spark_entry__ as entry
 from tokenloom.plans.catalog import ORACLES, QUERIES
 
 DATA = Path("/root/testdata/sf0.001")
-# The whole list runs with ``python tests/oracle.py <table folder>``.
-SAMPLE = ["corpus_manifest", "assign_shards", "mask_boundary_labels", "best_settings", "curve_points", "metric_series", "token_schedule",
-          "bad_documents", "sound_build", "encode_documents_joined", "cap_packs", "skipped_trials", "ablation_schedule",
-          "read_eval_results", "remaining_trials"]
 
 
 def test_every_query_has_its_sql():
@@ -27,10 +23,15 @@ def test_no_operator_gathers_or_pairs_everything():
         assert not names & banned, path
 
 
+@pytest.fixture(scope="module")
+def tables():
+    return connect(str(DATA))
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="needs the given tables")
-@pytest.mark.parametrize("name", SAMPLE)
-def test_sample_agrees_with_sql(spark, name):
-    assert compare(spark, connect(str(DATA)), QUERIES[name], ORACLES[name], str(DATA))[0] == ""
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_agrees_with_its_sql(spark, tables, name):
+    assert compare(spark, tables, QUERIES[name], ORACLES[name], str(DATA))[0] == ""
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the given tables")
