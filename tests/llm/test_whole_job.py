@@ -52,3 +52,32 @@ def test_passage_twice_in_one_of_two_texts(spark):
         found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         sides = {s for r in found for s in ((r["doc_id"], r["start"], r["end"]), (r["other_id"], r["other_start"], r["other_end"]))}
         assert sides == {(1, 0, 80), (1, 280, 360), (2, 30, 110)}
+
+
+def test_page_with_open_tags(spark):
+    """A megabyte of tags that never close is read once; words with accents count without them."""
+    from tokenloom.llm import url_filters
+
+    html = ["<script>" * 130_000, "<style " * 150_000, "<" * 1_000_000, "<p>Éclair été</p><script>var hidden;</script> naïve" + "<script>tail " * 1000]
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    counts = {r["word"]: r["n"] for r in url_filters.unigram_counts(pages).collect()}
+    assert counts["eclair"] == counts["ete"] == counts["naive"] == 1 and not {"hidden", "script", "tail"} & counts.keys()
+    assert url_filters.filter_urls(pages).count() == len(html)
+
+
+def test_long_words_of_hosts(spark):
+    from tokenloom.llm import url_filters
+
+    word = "incomprehensibilities" + "x" * 9
+    pages = spark.createDataFrame([(1, f"http://the{word}.org/", f"<b>{word} the the {word}</b>")], "page_id long, url string, html string")
+    labels = url_filters.segmented_labels(pages.select(url_filters.split_url(F.col("url"))[0].alias("host")), url_filters.unigram_counts(pages))
+    assert {r["label"]: r["words"] for r in labels.collect()}[f"the{word}"] == ["the", word]
+
+
+def test_check_lanes_rest_on_two_hashes(spark):
+    """Lanes of both halves add up by paragraph, and differ where paragraphs do."""
+    row = spark.createDataFrame([("One. Two.", "One. ", "Two.")], "a string, b string, c string").select(
+        *(fingerprints.fingerprint_lanes(F.col(c)).alias(c) for c in "abc")).first()
+    half = 1 + fingerprints.CHECKS // 2
+    for lanes in (slice(1, half), slice(half, 1 + fingerprints.CHECKS)):
+        assert row["b"][lanes] != row["c"][lanes] and len(set(row["b"][lanes])) == fingerprints.CHECKS // 2

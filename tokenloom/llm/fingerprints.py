@@ -6,7 +6,8 @@ modulo 2^32, so order does not matter and paragraphs are put in or taken out by
 or subtracting their vectors:
 
 - lane 0 counts paragraphs;
-- ``CHECKS`` lanes sum hashes of every paragraph, for equality;
+- ``CHECKS`` lanes sum hashes of every paragraph, for equality, half of them from each of two
+  independent 64-bit hashes;
 - ``LEVELS`` x ``WIDTH`` lanes sum each paragraph's hash in one lane of one level, level i with
   probability 2^-(i+1) (the last level holds the rest), for likeness: lanes
   that differ tell how many paragraphs two texts do not share. The last level
@@ -32,6 +33,7 @@ CHECKS, LEVELS, WIDTH = 6, 24, 16
 DEEP = 6
 LANES = 1 + CHECKS + LEVELS * WIDTH
 _MODULUS = 1 << 32
+SECOND = 7
 # Rows in one part of the order by id.
 ORDER_ROWS = 50_000
 
@@ -55,11 +57,14 @@ def fingerprint_lanes(text: Column) -> Column:
 
     def vector(hashes: Column) -> Column:
         count = F.size(hashes).cast("long") % F.lit(_MODULUS)
-        checks = [_sum32(F.transform(hashes, _seeded(i))) for i in range(CHECKS)]
+        # Half of the check lanes come from a hash of its own: a clash of one hash is none of the other.
+        own = [F.transform(hashes, _seeded(i)) for i in range(CHECKS // 2)]
+        other = F.transform(paragraphs, lambda p: F.xxhash64(F.lit(SECOND), p))
+        rest_checks = _let(other, lambda h: F.array(*(_sum32(F.transform(h, _seeded(i))) for i in range(CHECKS // 2, CHECKS))))
         levels = [_level(hashes, level) for level in range(DEEP)]
         rest = F.filter(hashes, lambda h: F.shiftrightunsigned(h, 64 - DEEP) == 0)
         deep = _let(rest, lambda own: F.concat(*(_level(own, level) for level in range(DEEP, LEVELS))))
-        return F.concat(F.array(count, *checks), *levels, deep)
+        return F.concat(F.array(count, *map(_sum32, own)), rest_checks, *levels, deep)
 
     def _level(hashes: Column, level: int) -> Column:
         # The top 23 bits choose the level, bits 36 to 39 the lane, the low half is summed.

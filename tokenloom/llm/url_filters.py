@@ -10,7 +10,8 @@ Cases: a null url, or one without ``://``, has an empty host and path, no rule,
 evidence, so the prior decides; a label without known words stays whole; repeated
 rows are judged alike (and learned from once for each distinct host and path);
 null ids and other columns do not matter; an empty table gives an empty result, and with
-one class unseen in training every other url is allowed.
+one class unseen in training every other url is allowed. A rule whose path is empty
+fits every url of its host, one without a path too.
 """
 
 from __future__ import annotations
@@ -44,7 +45,14 @@ RULES = (
     Rule("block", "net", "es/"),
     Rule("block", "net", "fr/"),
 )
-MAX_WORD = 20
+# The most letters of a host label, and so of a word in it.
+MAX_WORD = 63
+# Accented letters of Latin-1 and the letters they are read as.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿß", "aaaaaaceeeeiiiinoooooouuuuyys"
+# Scripts and styles up to their close tag, or to the end without one, and tags. Nothing is read twice, whatever is left open.
+_HIDDEN = (
+    r"(?is)<script[^<>]*+>(?:(?!</script>).)*+(?:</script>|$)|<style[^<>]*+>(?:(?!</style>).)*+(?:</style>|$)|<[^<>]*+>"
+)
 # Cost of a letter that no known word covers, in nats, and added counts per token.
 UNKNOWN_LETTER, SMOOTHING = 9.0, 1.0
 
@@ -69,9 +77,10 @@ def _longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> Column
 
 
 def unigram_counts(pages: DataFrame) -> DataFrame:
-    """``(word, n)`` of the lower-case ASCII words of all visible text."""
-    visible = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(F.lower(visible), "[^a-z]+")).alias("word"))
+    """``(word, n)`` of the words of all visible text, in lower case and without accents."""
+    visible = F.regexp_replace(F.coalesce("html", F.lit("")), _HIDDEN, " ")
+    folded = F.translate(F.lower(visible), ACCENTED, PLAIN)
+    words = pages.select(F.explode(F.split(folded, "[^a-z]+")).alias("word"))
     return words.where(F.length("word").between(2, MAX_WORD)).groupBy("word").agg(F.count("*").alias("n"))
 
 
