@@ -62,7 +62,7 @@ def test_evidence_and_curve_against_brute_force(spark):
         hits.update(pieces if y else ())
     weights = {p: math.log((hits[p] + 0.5) / (n1 + 1)) - math.log((seen[p] - hits[p] + 0.5) / (n0 + 1)) for p in hits if hits[p] >= toxicity.MIN_DOCUMENTS}
     weights = {p: w for p, w in weights.items() if w >= toxicity.MIN_LOG_ODDS}
-    assert weights and model.weights.weights == pytest.approx(weights)
+    assert weights and model.weights == pytest.approx(weights)
     evidence = lambda t: sum(max((weights.get(p, 0.0) for p in toxicity.pieces_of(w)), default=0.0) for w in set(re.findall("[a-z]+", model.decoder.restore(t))))
     curve = lambda x: 1 / (1 + math.exp(-(model.slope * x + model.offset)))
     points = [(min(round(evidence(t), 1), 100.0), y) for t, y in train]

@@ -49,8 +49,8 @@ REJECT = 0.7
 PREFIXES = (4, 5, 6)
 # Evidence needs this many toxic training documents and this log-odds.
 MIN_DOCUMENTS, MIN_LOG_ODDS = 4, 2.5
-# Entries of a worker's memos of restored tokens and of word weights; bytes counted at a time.
-DECODED, WEIGHED, COUNTED = 20_000, 50_000, 1 << 20
+# Entries of a worker's memo of restored tokens; bytes counted at a time.
+DECODED, COUNTED = 20_000, 1 << 20
 
 # Classes of Latin-1 bytes: letters without their accents, and 0 for all else.
 _CLASS = bytes(ord(c) - 96 if "a" <= (c := chr(b).translate(ACCENTS)[0]) <= "z" else 0 for b in range(256))
@@ -220,34 +220,22 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-class WordWeights(dict):
-    """Memo of each word's strongest piece of evidence, emptied when full."""
-
-    def __init__(self, weights: dict[str, float]):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: str) -> float:
-        if len(self) > WEIGHED:
-            self.clear()
-        found = self[word] = max((self.weights.get(p, 0.0) for p in pieces_of(word)), default=0.0)
-        return found
-
-    def __reduce__(self):
-        return WordWeights, (self.weights,)
-
-
 @dataclass
 class ToxicityModel:
     decoder: Decoder
-    weights: WordWeights
+    weights: dict[str, float]
     slope: float
     offset: float
 
+    def __post_init__(self):
+        # Words that open like no piece need not be looked at.
+        self.openings = frozenset(p.removeprefix("^")[: PREFIXES[0]] for p in self.weights)
+
     def evidence(self, text: str | None) -> float:
         """Log-odds of the distinct words, each with its strongest piece of evidence."""
-        words = set(_PLAIN.findall(self.decoder.restore(text)))
-        return math.fsum(map(self.weights.__getitem__, words))
+        openings, weights, n = self.openings, self.weights, PREFIXES[0]
+        words = {w for w in _PLAIN.findall(self.decoder.restore(text)) if w[:n] in openings}
+        return math.fsum(max((weights.get(p, 0.0) for p in pieces_of(w)), default=0.0) for w in words)
 
     def score(self, text: str | None) -> float:
         z = self.slope * self.evidence(text) + self.offset
@@ -314,14 +302,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_documents: int = TRAIN_DOCUMEN
         by_label = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         n1, n0 = by_label.get(1, 0), by_label.get(0, 0)
         if not n1 or not n0:
-            return ToxicityModel(decoder, WordWeights({}), 0.0, -60.0)
+            return ToxicityModel(decoder, {}, 0.0, -60.0)
         pieces = train.mapInArrow(_evidence_counts(decoder), "piece string, toxic int")
         counted = pieces.groupBy("piece").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
         odds = F.log((F.col("t") + 0.5) / (n1 + 1)) - F.log((F.col("n") - F.col("t") + 0.5) / (n0 + 1))
         kept = (
             counted.where(f"t >= {MIN_DOCUMENTS}").withColumn("w", odds).where(f"w >= {MIN_LOG_ODDS}").select("piece", "w")
         )
-        model = ToxicityModel(decoder, WordWeights({r["piece"]: r["w"] for r in kept.collect()}), 1.0, 0.0)
+        model = ToxicityModel(decoder, {r["piece"]: r["w"] for r in kept.collect()}, 1.0, 0.0)
         sums = train.mapInArrow(_evidence_sums(model), "x double, toxic int").groupBy(F.least(F.round("x", 1), F.lit(100.0)).alias("x"), "toxic")
         model.slope, model.offset = _logistic([tuple(r) for r in sums.agg(F.count("*").alias("n")).collect()])
         return model
@@ -341,7 +329,6 @@ def with_scores(docs: DataFrame, model: ToxicityModel, column: str = "toxicity")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
         # Workers are used again: what a task remembers ends with it.
         shared.value.decoder.memo.clear()
-        shared.value.weights.clear()
         let_go()
 
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
