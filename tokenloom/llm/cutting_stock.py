@@ -45,7 +45,7 @@ GAP, PIVOTS = 1e-4, 400
 # Columns that one run of the knapsack program may offer.
 COLUMNS = 24
 # Chunks in one generation of a worker's memo (200 bytes each, about), the longest such chunk, and documents encoded together.
-MEMO, MEMO_CHARS, BLOCK = 200_000, 32, 1024
+MEMO, MEMO_CHARS, BLOCK = 300_000, 32, 1024
 # Rests of one length that one window numbers.
 BUCKET_ROWS = 1 << 16
 
