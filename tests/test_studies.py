@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +150,14 @@ def test_numbers_and_slugs(spark):
     assert [r[0] for r in df.select(general_number(F.col("v"))).collect()] == [f"{v:.6g}" for v in values]
     texts = spark.createDataFrame([(t,) for t in ("a b/c", "--x--", "..", "é!ok", "-.a.-")], "t string").coalesce(1)
     assert [r[0] for r in texts.select(slug(F.col("t"))).collect()] == ["a-b-c", "x", "run", "ok", "a"]
+
+
+def test_steep_laws_keep_their_intercept(spark):
+    """x of 842 and 843 with exponents of +-400: coefficients of e^-2695 and e^+2695 are no doubles, their logarithms are."""
+    points = [(k, x, math.exp(s * 400 * (math.log(x) - math.log(842)))) for k, s in ((12, 1), (40, -1)) for x in (842.0, 843.0)]
+    laws = H.fit_power_law(spark.createDataFrame(points, "num_parameters long, x double, y double"), ["num_parameters"], "x", "y")
+    rows = {r["num_parameters"]: r for r in laws.collect()}
+    assert rows[12]["ln_coefficient"] == pytest.approx(-400 * math.log(842), rel=1e-6) == -rows[40]["ln_coefficient"]
+    settings = _settings(spark, [(k, x, 1.0, 1.0, 1.0) for k in (12, 40) for x in (842.0, 843.0)])
+    curve = H.predict_power_law(laws.withColumn("variable", F.lit("y")), settings).where("point = 0").collect()
+    assert [r["predicted"] for r in curve] == pytest.approx([1.0, 1.0], rel=1e-6)

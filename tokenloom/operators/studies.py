@@ -205,6 +205,7 @@ def best_settings(
 def fit_power_law(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
     """Least squares of ln y on ln x per group: y = coefficient * x ** exponent.
 
+    ``ln_coefficient`` is kept too: a steep law may have a coefficient beyond the range of doubles.
     ``problem`` replaces the fit of groups that cannot be fitted.
     """
     valid = finite_positive(F.col(x)) & finite_positive(F.col(y))
@@ -226,6 +227,7 @@ def fit_power_law(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame
         *by,
         "points",
         F.when(fitted, F.exp("intercept")).alias("coefficient"),
+        F.when(fitted, F.col("intercept")).alias("ln_coefficient"),
         F.when(fitted, F.col("slope")).alias("exponent"),
         F.when(fitted, F.col("r2")).alias("r_squared"),
         problem.alias("problem"),
@@ -263,9 +265,9 @@ def predict_power_law(laws: DataFrame, settings: DataFrame, points: int = CURVE_
     return (
         laws.where(F.col("problem").isNull())
         .join(ranges, "num_parameters")
-        .select("num_parameters", "variable", "coefficient", "exponent", F.posexplode(curve).alias("point", "compute_flops"))
-        .withColumn("predicted", F.col("coefficient") * F.pow("compute_flops", "exponent"))
-        .drop("coefficient", "exponent")
+        .select("num_parameters", "variable", "ln_coefficient", "exponent", F.posexplode(curve).alias("point", "compute_flops"))
+        .withColumn("predicted", F.exp(F.col("ln_coefficient") + F.col("exponent") * F.ln("compute_flops")))
+        .drop("ln_coefficient", "exponent")
     )
 
 

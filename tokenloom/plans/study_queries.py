@@ -124,7 +124,7 @@ def fit_power_law(spark, sf):
     )
     laws = H.fit_power_law(rows, ["o_custkey"], "x", "y")
     return laws.select(
-        "o_custkey", "points", F.round(F.ln("coefficient"), 5).alias("ln_coefficient"),
+        "o_custkey", "points", F.round("ln_coefficient", 5).alias("ln_coefficient"),
         F.round("exponent", 6).alias("exponent"), F.round("r_squared", 6).alias("r_squared"), "problem",
     )
 
@@ -132,7 +132,7 @@ def fit_power_law(spark, sf):
 def power_laws_by_size(spark, sf):
     laws = H.power_laws_by_size(_settings(spark, sf))
     return laws.select(
-        "num_parameters", "variable", F.round(F.ln("coefficient"), 6).alias("ln_coefficient"),
+        "num_parameters", "variable", F.round("ln_coefficient", 6).alias("ln_coefficient"),
         (F.round("exponent", 6) + 0.0).alias("exponent"), F.round("r_squared", 6).alias("r_squared"),
     )
 
