@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream. The table may be one file or a folder of files: a pattern,
+    here one that fits this name alone, stands for both."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` with a word count as the supplied token count."""
     return as_corpus(documents(spark, sf_dir))
