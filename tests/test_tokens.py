@@ -75,3 +75,22 @@ def test_samples(spark, bos, eos, pad, first, last, fill):
     assert (long["input_ids"], long["labels"]) == ([first, 1, 2, 3], [1, 2, 3, 4])
     free = T.document_samples(docs, encoder).orderBy("doc_id").collect()[1]
     assert free["input_ids"] == [first, 1, 2, 3, 4, 5] and free["labels"] == [1, 2, 3, 4, 5, last]
+
+
+def test_texts_are_encoded_in_parts_of_bounded_size(spark):
+    """Parts hold SLICE_BYTES and one text more at most, in order; ids are the same as word by word."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lengths = [0, 3, T.SLICE_BYTES, 5, T.SLICE_BYTES // 2, T.SLICE_BYTES // 2, 7, None]
+    texts = pa.array([None if n is None else "x " * (n // 2) for n in lengths]).slice(1)
+    parts = T._slices(texts)
+    assert pa.concat_arrays(parts).equals(texts) and len(parts) > 1
+    sizes = [[n or 0 for n in pc.binary_length(p).to_pylist()] for p in parts]
+    assert all(sum(n) - max(n) <= T.SLICE_BYTES for n in sizes)
+    assert [len(p) for p in T._slices(pa.array([], pa.string()))] == [0]
+    rows = [(i, " ".join(["a", "b", "zz"][j % 3] for j in range(n))) for i, n in enumerate((0, 400_000, 1, 300_000, 5))] + [(9, None)]
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "term string, id int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r["tokens"] for r in T.encode_documents(docs, T.vocab_encoder(vocab)).collect()}
+    assert got == {i: [0] + [{"a": 3, "b": 4}.get(w, 2) for w in (t or "").split()] for i, t in rows}

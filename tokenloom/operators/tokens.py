@@ -27,6 +27,8 @@ FIRST_TERM_ID = 3
 # A vocabulary travels to the executors only when it is known to be this small.
 BROADCAST_TERMS = 1_000_000
 BROADCAST_TERM_BYTES = 64 * 1024 * 1024
+# Bytes of text that a worker encodes at once: what it needs beside a batch and its ids does not grow with the batch.
+SLICE_BYTES = 1 << 20
 # Tokens of one range of keys, which one task orders.
 CELL_TOKENS = 1 << 22
 
@@ -59,6 +61,14 @@ def column_encoder(name: str, encode: Callable[[Column], Column], max_id: int, *
     return Encoder(name, lambda df: df.withColumn("ids", encode(F.col("text"))), max_id, **ids)
 
 
+def _slices(texts: pa.Array) -> list[pa.Array]:
+    """``texts`` in consecutive parts of about ``SLICE_BYTES``, one text more at most."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_BYTES)) + 1
+    bounds = [0, *cuts.tolist(), len(texts)]
+    return [texts.slice(first, last - first) for first, last in zip(bounds, bounds[1:])]
+
+
 def byte_encoder() -> Encoder:
     """One id per UTF-8 byte, after the two boundary ids."""
 
@@ -68,7 +78,7 @@ def byte_encoder() -> Encoder:
         ends = np.frombuffer(data.buffers()[1], dtype=np.int64)[data.offset : data.offset + len(data) + 1]
         raw = np.frombuffer(data.buffers()[2] or b"", dtype=np.uint8)[ends[0] : ends[-1]]
         offsets = pa.array((ends - ends[0]).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(raw.astype(np.int32) + 2))
+        return pa.ListArray.from_arrays(offsets, pa.array(np.add(raw, 2, dtype=np.int32)))
 
     return column_encoder("bytes", encode, 257)
 
@@ -82,14 +92,16 @@ def _broadcast_vocab_encoder(vocab: DataFrame) -> Callable[[DataFrame], DataFram
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         known, ids = shared.value
-        split = pc.split_pattern_regex(texts, r"[ \n\t\r]+")
-        pieces, owner = pc.list_flatten(split), pc.list_parent_indices(split)
-        filled = pc.not_equal(pieces, "")
-        found = pc.index_in(pieces.filter(filled), value_set=known.cast(pieces.type))
-        values = pc.fill_null(ids.take(found), UNKNOWN_ID).cast(pa.int32())
-        sizes = np.bincount(owner.filter(filled).to_numpy(), minlength=len(texts))
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), values)
+        known, sizes, values = known.cast(texts.type), [], []
+        for part in _slices(texts):
+            split = pc.split_pattern_regex(part, r"[ \n\t\r]+")
+            pieces, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+            filled = pc.not_equal(pieces, "")
+            found = pc.index_in(pieces.filter(filled), value_set=known)
+            values.append(pc.fill_null(ids.take(found), UNKNOWN_ID).cast(pa.int32()).to_numpy())
+            sizes.append(np.bincount(owner.filter(filled).to_numpy(), minlength=len(part)))
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values)))
 
     return lambda df: df.withColumn("ids", encode(F.col("text")))
 
