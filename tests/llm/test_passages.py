@@ -141,3 +141,26 @@ def test_chains_against_all_chains(seed):
     score = 1 + sum(1 - passages.GAP_COST * (b[0] - a[0] + b[1] - a[1]) for a, b in zip(first, first[1:]))
     assert score == pytest.approx(max(best)) and sorted(x for c in found for x in c) == sorted(points)
     assert all(a[0] < b[0] and a[1] < b[1] for c in found for a, b in zip(c, c[1:]))
+
+
+def test_seeds_with_many_holders_of_unlike_surroundings(spark):
+    """Two texts share a seed in like surroundings; three others with lower ids hold it elsewhere."""
+    from tokenloom.llm.passages import Hubs, _is_alike
+
+    rng = random.Random(5)
+    sides = [0b1111 << 4 * k for k in range(4)]
+    sketches = [a | b << 16 for a, b in zip(sides, sides[1:] + sides[:1])]
+    signed = [s - (s >> 31 << 32) for s in sketches]
+    rows = [(n, [7], [n], [signed[n]]) for n in range(4)] + [(9, [7], [90], [signed[3]])]
+    seeded = spark.createDataFrame(rows, "node long, seeds array<long>, places array<int>, sketches array<int>")
+    assert [tuple(r) for r in passages.seed_matches(seeded).collect()] == [(9, 3, 90, 3)]
+    # Brute force: every holder is like the hub it is matched with, or is a hub, or waits with its own text's hub.
+    for _ in range(50):
+        hubs, held = Hubs(), sorted((rng.randrange(30), place, rng.getrandbits(32) & rng.getrandbits(32)) for place in range(60))
+        of = {(n, p): s for n, p, s in held}
+        found = [m for h in held for m in hubs.meet(*h)]
+        assert all(a != b and (_is_alike(of[a, p], of[b, q]) or any(a == n for n in hubs.nodes)) for a, b, p, q in found)
+        linked = {(a, p) for a, _, p, _ in found} | {(b, q) for _, b, _, q in found}
+        for a, p, s in held:
+            others = [(b, q) for b, q, t in held if b != a and _is_alike(s, t)]
+            assert (a, p) in linked or not others or all(o in linked for o in others)

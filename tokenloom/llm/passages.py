@@ -4,7 +4,9 @@ Seeds are hashes of runs of ``SEED`` words, sampled by the hash itself, so equal
 in every text; where ``GUARD`` runs have none, the least of them is one. A seed row also carries a sketch of the words before and behind it. For each
 seed the least text that holds it, the hub, is joined with every other holder, so a
 passage in n documents gives n - 1 links however many share it; holders whose surroundings are
-unlike the hub's are joined with a next hub among themselves, ``HUBS`` in all. Every place of a
+unlike the hub's are joined with a next hub among themselves, ``HUBS`` in all; those that are unlike all
+of these pass once, in order, through as many further hubs as they need, so every holder is
+compared until a hub is like it or it is one itself. Every place of a
 seed is matched, with the first one in the hub; the hub's own further places are matched with
 the first one in the greatest holder. The matches of a text and a hub are chained in
 order with gap costs by a Fenwick tree, and the chains are aligned word by word, with
@@ -24,8 +26,8 @@ Words are lower-case runs between white space. Rows of the result:
   with this text; passages are given for that one only.
 
 An exact passage of ``GUARD + SEED`` words or more has a seed in common. Of passages
-with edits those are missed whose every run between edits misses the sample, or whose shared
-seeds all have ``HUBS`` other holders of unlike surroundings before them.
+with edits those are missed whose every run between edits misses the sample, or whose surroundings
+are unlike by the sketches at all shared seeds.
 
 Cases: null and empty texts and texts under ``MIN_WORDS`` words give no row; a null
 ``doc_id`` stays null in a row; repeated rows are copies; other columns are ignored.
@@ -338,6 +340,64 @@ def _alike(sketch: Column, other: Column) -> Column:
     return side(0) | side(SIDE_BITS)
 
 
+def _is_alike(a: int, b: int) -> bool:
+    """:func:`_alike` of two sketches in a task."""
+    for shift in (0, SIDE_BITS):
+        x, y = a >> shift & (1 << SIDE_BITS) - 1, b >> shift & (1 << SIDE_BITS) - 1
+        least = min(x.bit_count(), y.bit_count())
+        if least and (x & y).bit_count() * 100 >= least * ALIKE:
+            return True
+    return False
+
+
+class Hubs:
+    """All hubs of one seed. Holders come in order; each is matched with the first hub of another text that is like it.
+
+    One that is like none is a hub itself. A further place of a hub's own text waits for the next text that is matched
+    with this hub. Hubs of different texts are unlike each other and those of one text differ in their sketches, so
+    there are no more than sketches have room for, however many texts hold the seed.
+    """
+
+    def __init__(self):
+        self.nodes, self.places, self.sketches, self.waiting, self.known = [], [], [], [], {}
+
+    def meet(self, node: int, place: int, sketch: int) -> list[tuple[int, int, int, int]]:
+        """(node, hub, place, hub place) of what is matched now."""
+        hub = self.known.get(sketch)
+        if hub is None or self.nodes[hub] == node:
+            like = [i for i, s in enumerate(self.sketches) if _is_alike(s, sketch)]
+            hub = next((i for i in like if self.nodes[i] != node), None)
+            own = [i for i in like if self.nodes[i] == node]
+            if hub is None:
+                same = [i for i in own if self.sketches[i] == sketch]
+                if own:
+                    self.waiting[(same or own)[0]].append(place)
+                if not same:
+                    self.nodes.append(node)
+                    self.places.append(place)
+                    self.sketches.append(sketch)
+                    self.waiting.append([])
+                return []
+            self.known[sketch] = hub
+        found = [(self.nodes[hub], node, at, place) for at in self.waiting[hub]]
+        self.waiting[hub].clear()
+        return [(node, self.nodes[hub], place, self.places[hub]), *found]
+
+
+def _led(batches):
+    """Matches of holders in order of seed, node and place with all hubs of their seeds."""
+    last, hubs = None, Hubs()
+    for batch in batches:
+        found = []
+        for seed, node, place, sketch in zip(*(c.to_pylist() for c in batch.columns)):
+            if seed != last:
+                last, hubs = seed, Hubs()
+            found += hubs.meet(node, place, sketch & (1 << 2 * SIDE_BITS) - 1)
+        columns = list(zip(*found)) if found else [[]] * 4
+        arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+        yield pa.RecordBatch.from_arrays(arrays, ["node", "hub", "place", "hub_place"])
+
+
 def _ends(held: DataFrame) -> DataFrame:
     """The least and the greatest holder of each seed that several hold, each with its first place of it."""
     ends = held.groupBy("seed").agg(
@@ -378,7 +438,10 @@ def seed_matches(seeded: DataFrame) -> DataFrame:
         unlike = found.where("NOT alike").select("seed", "node", "place", "sketch")
         found = stage(_matched(unlike, _ends(unlike)), "matches")
         matches = matches.union(found.where("alike"))
-    return matches.select("node", "hub", "place", "hub_place")
+    # What is unlike all of these hubs, of which there may be any number.
+    rest = found.where("NOT alike").select("seed", "node", "place", "sketch").repartition("seed").sortWithinPartitions("seed", "node", "place")
+    further = rest.mapInArrow(_led, "node long, hub long, place int, hub_place int")
+    return matches.select("node", "hub", "place", "hub_place").union(further)
 
 
 def _fetched(chained: DataFrame, texts: DataFrame, least: DataFrame, margin: int) -> DataFrame:
