@@ -213,3 +213,16 @@ def test_lines_of_ranges(tmp_path, size):
         want = data.split(b"\n")
         want = want[:-1] if not want[-1] else want
         assert found == [w.removesuffix(b"\r") for w in want]
+
+
+def test_lines_written_to_the_files_they_name(spark, tmp_path):
+    """One file for each path, lines in order, nothing else beside them and nothing left to move."""
+    from tokenloom.sources.opened_files import write_lines
+
+    rows = [(f"{tmp_path}/run={r}/part-0.txt", f"é {i}", r, i) for i in range(40) for r in range(25)]
+    lines = spark.createDataFrame(rows, "path string, value string, r int, i int").repartition(5)
+    for _ in range(2):  # written again, they are the same
+        write_lines(lines.repartition(3, "r").sortWithinPartitions("r", "i"))
+        files = sorted(p for p in tmp_path.rglob("*") if p.is_file())
+        assert files == sorted(tmp_path / f"run={r}/part-0.txt" for r in range(25))
+        assert all(f.read_text() == "".join(f"é {i}\n" for i in range(40)) for f in files)

@@ -1,4 +1,4 @@
-"""Files that a table names, opened in the tasks that read them.
+"""Files that a table names, opened in the tasks that read or write them.
 
 A listing is narrow: it can be filtered, joined and reduced before any file is opened. Files
 are dealt evenly over tasks, many small ones to each. Paths are local ones or such that pyarrow opens.
@@ -50,6 +50,31 @@ def open_texts(paths: DataFrame, files_per_task: int = FILES_PER_TASK) -> DataFr
     return _dealt(paths, files_per_task).mapInArrow(run, f"{schema}, content string")
 
 
+def write_lines(lines: DataFrame) -> None:
+    """Write ``lines`` (path, value), whose lines of one path follow each other in one partition, to the files they name.
+
+    Tasks open the files themselves and none is moved afterwards, so many small files cost little more than their
+    bytes. A task that runs again writes the same files again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, stream = None, None
+        for batch in batches:
+            for path, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if path != last:
+                    if stream:
+                        stream.close()
+                    files, name = _opened(path)
+                    files.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                    last, stream = path, files.open_output_stream(name)
+                stream.write(f"{value}\n".encode())
+        if stream:
+            stream.close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.string())], ["path"])
+
+    lines.select("path", "value").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 def lines_of(stream: fs.FileSystem, first: int, last: int, size: int) -> list[bytes]:
     """The lines that begin in bytes [first, last) of an open file; they end with a line feed."""
     begin = max(first - 1, 0)
