@@ -94,3 +94,33 @@ def test_texts_are_encoded_in_parts_of_bounded_size(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r["doc_id"]: r["tokens"] for r in T.encode_documents(docs, T.vocab_encoder(vocab)).collect()}
     assert got == {i: [0] + [{"a": 3, "b": 4}.get(w, 2) for w in (t or "").split()] for i, t in rows}
+
+
+def test_words_are_looked_up_once_for_each_part_of_the_documents(spark):
+    """With a vocabulary of any size too: what is joined does not grow with the uses of a word, nor with the texts that use it."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i % 2900, " ".join(words[(i * j) % 30] for j in range(60))) for i in range(3000)] + [(None, None), (5000, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    vocab = spark.createDataFrame([(w, i + 3) for i, w in enumerate(words[:20])], "term string, id int")
+    encoded = T.encode_documents(docs, T.vocab_encoder(vocab, broadcast_terms=0))
+    got = Counter((r["doc_id"], tuple(r["tokens"])) for r in encoded.collect())
+    ids = {w: i + 3 for i, w in enumerate(words[:20])}
+    assert got == Counter((d, (0, *(ids.get(w, 2) for w in (t or "").split()))) for d, t in rows)
+    stored = [file for file in encoded.inputFiles() if "/parts-" in file]
+    assert 0 < spark.read.parquet(*stored).agg(F.sum(F.size("_terms"))).first()[0] <= 3 * 30
+
+    # A part ends after PART_BYTES, in the middle of a batch or after several.
+    texts = ["x y " * (T.PART_BYTES // 16), "", "é y", None] * 9 + ["z"]
+    batches = [pa.record_batch([pa.array(texts[a:b], pa.string()), pa.array(range(a, b), pa.int64())], ["text", "n"]) for a, b in ((0, 3), (3, 3), (3, 30), (30, 37))]
+    out = pa.Table.from_batches(T._in_parts(0)(iter(batches)))
+    assert out["n"].to_pylist() == list(range(37)) and out.column_names == ["n", "_part", "_places", "_terms"]
+    parts = {}
+    for part, places, terms, text in zip(*(out[c].to_pylist() for c in ("_part", "_places", "_terms")), texts):
+        known = parts.setdefault(part, terms)
+        assert terms in (known, []) and [known[p] for p in places] == (text or "").split()
+    assert len(parts) == 3 and all(len(set(terms)) == len(terms) for terms in parts.values())
+    assert list(T._in_parts(0)(iter([]))) == []

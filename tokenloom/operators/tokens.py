@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,10 +11,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tokenloom.functions.packs import IGNORED_LABEL
 from tokenloom.functions.text import words
 from tokenloom.operators.prefix import running_total
+from tokenloom.session import stage
 
 # Fixed values of the binary shard format.
 SHARD_MAGIC = 278895051
@@ -29,6 +32,8 @@ BROADCAST_TERMS = 1_000_000
 BROADCAST_TERM_BYTES = 64 * 1024 * 1024
 # Bytes of text that a worker encodes at once: what it needs beside a batch and its ids does not grow with the batch.
 SLICE_BYTES = 1 << 20
+# Bytes of text whose distinct words are looked up together.
+PART_BYTES = 1 << 22
 # Tokens of one range of keys, which one task orders.
 CELL_TOKENS = 1 << 22
 
@@ -45,7 +50,7 @@ def build_vocab(df: DataFrame, size: int) -> DataFrame:
 class Encoder:
     """Text to ids, added as a column, plus the ids that mark boundaries.
 
-    ``add_ids(df)`` returns ``df`` with ``ids array<int>`` made from ``text``.
+    ``add_ids(df)`` returns ``df`` with ``ids array<int>`` made from ``text``, which may be gone.
     """
 
     name: str
@@ -106,24 +111,84 @@ def _broadcast_vocab_encoder(vocab: DataFrame) -> Callable[[DataFrame], DataFram
     return lambda df: df.withColumn("ids", encode(F.col("text")))
 
 
+def _in_parts(texts: int):
+    """Documents in consecutive parts of about ``PART_BYTES`` of text, one more at most. ``texts`` is the place of ``text``,
+    which is replaced by the place of each word among the part's distinct words; a part's first row holds these."""
+
+    def part(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, pieces = [], []
+        for batch in batches:
+            for some in _slices(batch.column(texts)):
+                split = pc.split_pattern_regex(some, r"[ \n\t\r]+")
+                found, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+                filled = pc.not_equal(found, "")
+                pieces.append(found.filter(filled).dictionary_encode())
+                sizes.append(np.bincount(owner.filter(filled).to_numpy(), minlength=len(some)))
+        words = pa.chunked_array(pieces).unify_dictionaries()
+        terms = words.chunk(0).dictionary.cast(pa.string())
+        at = np.concatenate([c.indices.to_numpy() for c in words.chunks]).astype(np.int32)
+        ends = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+        name, first = uuid.uuid4().hex, 0
+        for batch in batches:
+            bounds = ends[first : first + batch.num_rows + 1]
+            places = pa.ListArray.from_arrays(pa.array(bounds - bounds[0]), pa.array(at[bounds[0] : bounds[-1]]))
+            held = pa.ListArray.from_arrays(
+                pa.array([0, *[len(terms)] * batch.num_rows] if first == 0 else [0] * (batch.num_rows + 1), pa.int32()),
+                terms if first == 0 else terms.slice(0, 0),
+            )
+            first += batch.num_rows
+            rest = [c for i, c in enumerate(batch.columns) if i != texts]
+            names = [n for i, n in enumerate(batch.schema.names) if i != texts]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array([name] * batch.num_rows, pa.string()), places, held], [*names, "_part", "_places", "_terms"]
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            begin = 0
+            for some in _slices(batch.column(texts)):
+                if len(some):
+                    waiting.append(batch.slice(begin, len(some)))
+                begin += len(some)
+                size += pc.sum(pc.binary_length(some)).as_py() or 0
+                if size >= PART_BYTES:
+                    yield from part(waiting)
+                    waiting, size = [], 0
+        if waiting:
+            yield from part(waiting)
+
+    return run
+
+
+def _placed_ids(documents: pa.Table, known: pa.Table) -> pa.Table:
+    """The documents of a part with their ids, from the ids of those of its words that are in the vocabulary."""
+    places = documents["_places"].combine_chunks()
+    words = places.flatten().to_numpy()
+    ids = np.full(int(words.max(initial=-1)) + 1, UNKNOWN_ID, np.int32)
+    ids[known["place"].to_numpy()] = known["id"].to_numpy()
+    ends = np.concatenate(([0], np.cumsum(pc.list_value_length(places).to_numpy()))).astype(np.int32)
+    found = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[words]))
+    return documents.drop_columns(["_part", "_places"]).append_column("ids", found)
+
+
 def _joined_vocab_encoder(vocab: DataFrame) -> Callable[[DataFrame], DataFrame]:
-    """For vocabularies of any size: look every distinct word of a text up by a
-    join. Ids depend on the text alone, so texts are told apart by their digest:
-    repeated or missing document ids change nothing, and a text that occurs
-    often is looked up once. Words are paired with their places first, so that
-    a frequent word counts once per text, not once per use."""
+    """For vocabularies of any size: look every distinct word of a part of the documents up by a join.
+
+    A part is a few MB of text, so a word counts once per part, not once per text or use, and what comes
+    back for a part fits a task. Parts depend on the order of rows, so they are stored before both uses."""
 
     def add_ids(df: DataFrame) -> DataFrame:
-        places = (
-            df.select(F.md5("text").alias("_text"), F.posexplode(words(F.col("text"))).alias("place", "term"))
-            .groupBy("_text", "term")
-            .agg(F.collect_set("place").alias("places"))
-        )
-        known = places.join(vocab.select("term", "id"), "term", "left")
-        placed = F.transform("places", lambda p: F.struct(p.alias("place"), F.coalesce("id", F.lit(UNKNOWN_ID)).alias("id")))
-        ids = known.groupBy("_text").agg(F.array_sort(F.flatten(F.collect_list(placed))).alias("placed"))
-        joined = df.withColumn("_text", F.md5("text")).join(ids.select("_text", F.col("placed.id").alias("ids")), "_text", "left")
-        return joined.withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop("_text")
+        rest = [f for f in df.schema.fields if f.name != "text"]
+        schema = StructType([
+            *rest, StructField("_part", StringType()), StructField("_places", ArrayType(IntegerType())), StructField("_terms", ArrayType(StringType())),
+        ])
+        parts = stage(df.mapInArrow(_in_parts(df.columns.index("text")), schema), "parts")
+        terms = parts.select("_part", F.posexplode("_terms").alias("place", "term"))
+        known = terms.join(vocab.select("term", "id").where("id IS NOT NULL"), "term").select(F.col("_part").alias("_of"), "place", F.col("id").cast("int").alias("id"))
+        result = StructType([*rest, StructField("ids", ArrayType(IntegerType()))])
+        documents = parts.drop("_terms").groupBy("_part")
+        return documents.cogroup(known.groupBy("_of")).applyInArrow(_placed_ids, result)
 
     return add_ids
 
