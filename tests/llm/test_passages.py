@@ -164,3 +164,41 @@ def test_seeds_with_many_holders_of_unlike_surroundings(spark):
         for a, p, s in held:
             others = [(b, q) for b, q, t in held if b != a and _is_alike(s, t)]
             assert (a, p) in linked or not others or all(o in linked for o in others)
+
+
+def test_seeds_are_matched_in_one_pass_and_texts_cut_in_one():
+    """Matches in order are those of a plain search, wherever batches end; a text is cut for its links and as a hub in one row."""
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    rows = sorted({(rng.randrange(-9, 9), rng.randrange(6), rng.randrange(40)): rng.getrandbits(32) - 2**31 for _ in range(300)}.items())
+    rows = [(*key, sketch) for key, sketch in rows] + [(99, 1, 2, 3)]
+    expected = []
+    for seed in {r[0] for r in rows}:
+        held = [r for r in rows if r[0] == seed]
+        low, high = held[0], min(r for r in held if r[1] == held[-1][1])
+        for r in held if low[1] != high[1] else []:
+            if r[1] != low[1] or r[2] > low[2]:
+                other = high if r[1] == low[1] else low
+                expected.append((*r, other[1], other[2], passages._is_alike(r[3] & 2**32 - 1, other[3] & 2**32 - 1)))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    for cut in (1, 7, 1000):
+        batches = [
+            pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows[i : i + cut]), kinds)], ["seed", "node", "place", "sketch"])
+            for i in range(0, len(rows), cut)
+        ]
+        got = [tuple(r.values()) for b in passages._paired(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == sorted(expected)
+    span = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
+    link = pa.list_(pa.struct([("hub", pa.int64()), ("points", passages._POINTS), *((n, pa.int32()) for n in ("p_lo", "p_hi", "h_lo", "h_hi"))]))
+    points = [{"place": 1, "hub_place": 2}]
+    links = [[{"hub": 9, "points": points, "p_lo": 1, "p_hi": 3, "h_lo": 0, "h_hi": 2}], None, []]
+    spans = [None, [{"lo": 0, "hi": 2}, {"lo": 2, "hi": 9}], [{"lo": 0, "hi": 1}]]
+    batch = pa.record_batch([pa.array([7, 8, 9]), pa.array(spans, span), pa.array(links, link), pa.array(["A b\tc", "d e f g", "h"])], ["node", "spans", "links", "text"])
+    out = [tuple(r.values()) for b in passages._cut(iter([batch])) for r in b.to_pylist()]
+    nothing = (None,) * 4
+    assert sorted(out, key=lambda r: r[:2]) == [
+        (7, 1, 3, "b c", 9, points, 0, 2), (8, 0, 2, "d e", *nothing), (8, 2, 9, "f g", *nothing), (9, 0, 1, "h", *nothing)
+    ]

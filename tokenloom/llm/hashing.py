@@ -31,7 +31,7 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> _S11).astype(np.float64) + 1.0) * 2.0**-53
 
 
-# A random number for each byte at each of the first places of a word.
+# A random number for each byte at each of the first places of a word, which are a power of two.
 _PLACES = 64
 _BYTE_AT = mix(np.arange(1, _PLACES * 256 + 1, dtype=np.uint64) * GOLDEN)
 # Words hashed together, which bounds the memory that a long text takes.
@@ -49,9 +49,10 @@ def word_hashes(words: list[str]) -> np.ndarray:
     starts = np.concatenate([[0], gaps + 1])
     sizes = np.diff(np.append(starts, len(data) + 1))
     place = np.arange(len(data)) - np.repeat(starts, sizes)[: len(data)]
-    numbers = _BYTE_AT[(place % _PLACES) * 256 + data]
-    far = np.flatnonzero(place >= _PLACES)
-    numbers[far] = mix(numbers[far] + (place[far] // _PLACES).astype(np.uint64) * GOLDEN)
+    numbers = _BYTE_AT.take((place & _PLACES - 1) << 8 | data)
+    if sizes.max() > _PLACES:
+        far = np.flatnonzero(place >= _PLACES)
+        numbers[far] = mix(numbers[far] + (place[far] // _PLACES).astype(np.uint64) * GOLDEN)
     numbers[gaps] = 0
     return mix(np.add.reduceat(numbers, starts) ^ sizes.astype(np.uint64))
 

@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,8 @@ GAP_COST = 1 / 96
 DROP, EDIT_COST, SHIFT = 15, 3, 8
 # Words fetched around a chain at first, and how much more each time an alignment meets their end.
 MARGIN, WIDER, TILE = 32, 8, 32
+# Characters of cut words that go on as one batch, one text's more at most.
+CUT_CHARACTERS = 1 << 22
 # Most words that chains fetched together may span.
 TOGETHER = 4096
 # Words of a stretch that lies in a passage as a whole or not.
@@ -65,7 +68,7 @@ CELL = 16
 BEYOND = (1, 2, 4, 8, 16)
 # Seeds with more than one in so many of all rows are matched on the map side: there are few of them.
 HOT_SHARE = 4096
-# Texts whose names (two longs) may be broadcast to find them without moving the others.
+# Texts whose names (a long) may be broadcast to find them without moving the others.
 BROADCAST_TEXTS = 200_000
 
 
@@ -214,15 +217,32 @@ def _chain(batches):
 
 
 def _cut(batches):
+    """The words of a text that its links to hubs name, each with its link, and those that links to it as a hub name."""
     for batch in batches:
+        nodes, texts = batch.column(0).to_numpy(), batch.column(3)
+        counts = [pc.fill_null(pc.list_value_length(batch.column(i)), 0).to_numpy() for i in (1, 2)]
+        spans, links = (pc.list_flatten(batch.column(i)) for i in (1, 2))
+        sides = [[pc.struct_field(flat, name).to_pylist() for name in names] for flat, names in ((spans, ("lo", "hi")), (links, ("p_lo", "p_hi")))]
+        ends = [np.concatenate(([0], np.cumsum(n))).tolist() for n in counts]
+        parts, size, begin = ([], []), 0, 0
         for i in range(batch.num_rows):
-            words = batch.column(2)[i].as_py().lower().split()
-            spans = batch.column(1)[i].as_py()
-            node = [batch.column(0)[i].as_py()] * len(spans)
-            low, high = [s["lo"] for s in spans], [s["hi"] for s in spans]
-            text = [" ".join(words[a:b]) for a, b in zip(low, high)]
-            arrays = [pa.array(c, k) for c, k in zip((node, low, high, text), (pa.int64(), pa.int32(), pa.int32(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "lo", "hi", "part"])
+            words = texts[i].as_py().lower().split()
+            for (low, high), end, part in zip(sides, ends, parts):
+                more = [" ".join(words[x:y]) for x, y in zip(low[end[i] : end[i + 1]], high[end[i] : end[i + 1]])]
+                part += more
+                size += sum(map(len, more))
+            if size < CUT_CHARACTERS and i + 1 < batch.num_rows:
+                continue
+            for flat, count, end, part, is_link in zip((spans, links), counts, ends, parts, (False, True)):
+                if part:
+                    rows = flat.slice(end[begin], len(part))
+                    lo, hi = ("p_lo", "p_hi") if is_link else ("lo", "hi")
+                    rest = [pc.struct_field(rows, n) if is_link else pa.nulls(len(part), k) for n, k in (
+                        ("hub", pa.int64()), ("points", _POINTS), ("h_lo", pa.int32()), ("h_hi", pa.int32()))]
+                    arrays = [pa.array(np.repeat(nodes[begin : i + 1], count[begin : i + 1])), pc.struct_field(rows, lo), pc.struct_field(rows, hi),
+                              pa.array(part, pa.string()), *rest]
+                    yield pa.RecordBatch.from_arrays(arrays, ["node", "lo", "hi", "part", "hub", "points", "h_lo", "h_hi"])
+            parts, size, begin = ([], []), 0, i + 1
 
 
 def extend(a: list[str], b: list[str], i: int, j: int, step: int) -> list[tuple[int, int, int]]:
@@ -340,6 +360,16 @@ def _alike(sketch: Column, other: Column) -> Column:
     return side(0) | side(SIDE_BITS)
 
 
+def _are_alike(sketch: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """:func:`_alike` of many rows in a task."""
+    found = np.zeros(len(sketch), bool)
+    for shift in (0, SIDE_BITS):
+        a, b = ((s.view(np.uint32) >> np.uint32(shift)) & np.uint32((1 << SIDE_BITS) - 1) for s in (sketch, other))
+        least = np.minimum(np.bitwise_count(a), np.bitwise_count(b)).astype(np.int64)
+        found |= (least > 0) & (np.bitwise_count(a & b).astype(np.int64) * 100 >= least * ALIKE)
+    return found
+
+
 def _is_alike(a: int, b: int) -> bool:
     """:func:`_alike` of two sketches in a task."""
     for shift in (0, SIDE_BITS):
@@ -419,6 +449,50 @@ def _matched(held: DataFrame, ends: DataFrame) -> DataFrame:
     )
 
 
+_PAIRED = ["seed", "node", "place", "sketch", "hub", "hub_place", "alike"]
+
+
+def _pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+    """:func:`_matched` of whole seeds, whose rows come in order of seed, node and place."""
+
+    def begins(*columns):
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return np.flatnonzero(new)
+
+    seed, node = rows[:2]
+    first = begins(seed)
+    sizes = np.diff(np.append(first, len(seed)))
+    several = node[first] != node[first + sizes - 1]
+    seed, node, place, sketch = (c[np.repeat(several, sizes)] for c in rows)
+    sizes = sizes[several]
+    last = np.cumsum(sizes)
+    low = np.repeat(last - sizes, sizes)
+    holders = begins(seed, node)
+    high = np.repeat(holders[np.searchsorted(holders, last - 1, "right") - 1], sizes)
+    is_hub = node == node[low]
+    taken = np.flatnonzero(~is_hub | (place > place[low]))
+    other = np.where(is_hub, high, low)[taken]
+    columns = [seed[taken], node[taken], place[taken], sketch[taken], node[other], place[other], _are_alike(sketch[taken], sketch[other])]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _PAIRED)
+
+
+def _paired(batches):
+    """:func:`_pairs` of rows in order; what the last seed of a batch has waits for the next."""
+    waiting = None
+    for batch in batches:
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = rows if waiting is None else [np.concatenate(c) for c in zip(waiting, rows)]
+        if not len(rows[0]):
+            continue
+        begin = int(np.searchsorted(rows[0], rows[0][-1]))
+        waiting = [c[begin:] for c in rows]
+        if begin:
+            yield _pairs([c[:begin] for c in rows])
+    if waiting is not None:
+        yield _pairs(waiting)
+
+
 def seed_matches(seeded: DataFrame) -> DataFrame:
     """``(node, hub, place, hub_place)`` of seeds in like surroundings. ``seeded`` has each text once."""
     held = seeded.select("node", F.explode(F.arrays_zip("seeds", "places", "sketches")).alias("s")).select(
@@ -430,9 +504,10 @@ def seed_matches(seeded: DataFrame) -> DataFrame:
     # 2 * HOT_SHARE rows at most.
     often = F.col("seed").isNotNull() & (F.col("n") > (total["n"] if total else 0) // (2 * HOT_SHARE))
     hot = F.broadcast(counted.where(often).select("seed"))
-    rest = held.join(hot, "seed", "left_anti").repartition("seed")
+    rest = held.join(hot, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed", "node", "place")
     frequent = held.join(hot, "seed", "left_semi")
-    found = stage(_matched(rest, _ends(rest)).union(_matched(frequent, F.broadcast(_ends(frequent)))), "matches")
+    paired = rest.mapInArrow(_paired, "seed long, node long, place int, sketch int, hub long, hub_place int, alike boolean")
+    found = stage(paired.union(_matched(frequent, F.broadcast(_ends(frequent)))), "matches")
     matches = found.where("alike")
     for _ in range(HUBS - 1):
         unlike = found.where("NOT alike").select("seed", "node", "place", "sketch")
@@ -444,8 +519,10 @@ def seed_matches(seeded: DataFrame) -> DataFrame:
     return matches.select("node", "hub", "place", "hub_place").union(further)
 
 
-def _fetched(chained: DataFrame, texts: DataFrame, least: DataFrame, margin: int) -> DataFrame:
-    """Chains with the words around them on both sides, from the owner's row of each text."""
+def _fetched(chained: DataFrame, texts: DataFrame, margin: int) -> DataFrame:
+    """Chains with the words around them on both sides, from one row of each text.
+
+    A text moves once. What is cut for a chain goes on with it; only the hub's side is joined."""
 
     def tile(side, name):
         first, last = F.array_min(f"points.{side}"), F.array_max(f"points.{side}")
@@ -455,21 +532,23 @@ def _fetched(chained: DataFrame, texts: DataFrame, least: DataFrame, margin: int
         ]
 
     chained = stage(chained.select("node", "hub", "points", *tile("place", "p"), *tile("hub_place", "h")), "chains")
-    spans = chained.select("node", F.col("p_lo").alias("lo"), F.col("p_hi").alias("hi")).union(chained.select("hub", "h_lo", "h_hi")).distinct()
-    wanted = spans.groupBy("node").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    wanted = stage(wanted.join(least, "node").select(F.col("node").alias("of"), "owner", "spans"), "wanted")
-    same = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("owner"))
+    spans = chained.groupBy(F.col("hub").alias("node")).agg(F.collect_set(F.struct(F.col("h_lo").alias("lo"), F.col("h_hi").alias("hi"))).alias("spans"))
+    links = chained.groupBy("node").agg(F.collect_list(F.struct("hub", "points", "p_lo", "p_hi", "h_lo", "h_hi")).alias("links"))
+    wanted = stage(spans.join(links, "node", "full"), "wanted")
     if wanted.count() <= BROADCAST_TEXTS:
-        texts = texts.join(F.broadcast(wanted.select("of", "owner")), same, "left_semi")
-    parts = texts.join(wanted, same).select("node", "spans", "text").mapInArrow(_cut, "node long, lo int, hi int, part string")
-    parts = stage(parts.groupBy("node", "lo", "hi").agg(F.first("part").alias("part")), "parts")
-    own = parts.select("node", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), F.col("part").alias("a"))
-    other = parts.select(F.col("node").alias("hub"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), F.col("part").alias("b"))
-    both = chained.join(own, ["node", "p_lo", "p_hi"]).join(other, ["hub", "h_lo", "h_hi"])
+        texts = texts.join(F.broadcast(wanted.select("node")), "node", "left_semi")
+    whole = texts.groupBy("node").agg(F.first("text").alias("text"))
+    schema = "node long, lo int, hi int, part string, hub long, points array<struct<place:int,hub_place:int>>, h_lo int, h_hi int"
+    parts = stage(whole.join(wanted, "node").select("node", "spans", "links", "text").mapInArrow(_cut, schema), "parts")
+    own = parts.where("hub IS NOT NULL").select(
+        "node", "hub", "points", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), "h_lo", "h_hi", F.col("part").alias("a")
+    )
+    other = parts.where("hub IS NULL").select(F.col("node").alias("hub"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), F.col("part").alias("b"))
+    both = own.join(other, ["hub", "h_lo", "h_hi"])
     return both.select("node", "hub", "points", "p_lo", "p_hi", "h_lo", "h_hi", "a", "b")
 
 
-def _aligned(chained: DataFrame, texts: DataFrame, least: DataFrame) -> DataFrame:
+def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
     """Alignments of chains, none of them cut short by what was fetched."""
     schema = (
         "node long, hub long, start long, end long, other_start long, other_end long, similarity double, "
@@ -477,7 +556,7 @@ def _aligned(chained: DataFrame, texts: DataFrame, least: DataFrame) -> DataFram
     )
     margin, whole = MARGIN, None
     while True:
-        found = stage(_fetched(chained, texts, least, margin).mapInArrow(_align, schema), "aligned")
+        found = stage(_fetched(chained, texts, margin).mapInArrow(_align, schema), "aligned")
         done = found.where("NOT cut")
         whole = done if whole is None else whole.union(done)
         point = F.array(F.struct(F.col("place"), F.col("hub_place")))
@@ -500,10 +579,10 @@ def _covered(aligned: DataFrame) -> DataFrame:
     return sides.where(first <= last).select("node", F.explode(F.sequence(first, last)).alias("cell")).distinct()
 
 
-def _beyond(found: DataFrame, aligned: DataFrame) -> DataFrame:
+def _beyond(found: DataFrame, covered: DataFrame) -> DataFrame:
     """Points from which texts go on alike, or came alike, where they leave their hub by the alignments ``found``,
-    and at least one of them has no passage there yet by ``aligned``."""
-    covered = stage(_covered(aligned), "covered").withColumn("known", F.lit(True))
+    and at least one of them has no passage there yet by the stretches ``covered``."""
+    covered = covered.distinct().withColumn("known", F.lit(True))
 
     def side(hub_place: str, place: Column, key: str) -> DataFrame:
         left = found.select("hub", F.col(hub_place).alias("at"), "node", place.cast("int").alias("place"), F.posexplode(key).alias("words", "key"))
@@ -551,11 +630,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     matches = seed_matches(distinct)
     grouped = matches.groupBy("node", "hub").agg(F.collect_list(F.struct("place", "hub_place")).alias("points"))
     chained = grouped.mapInArrow(_chain, "node long, hub long, points array<struct<place:int,hub_place:int>>")
-    aligned = None
+    aligned = covered = None
     while True:
-        found = _aligned(chained, texts, least)
+        found = _aligned(chained, texts)
         aligned = found if aligned is None else aligned.union(found)
-        chained = stage(_beyond(found, aligned), "beyond")
+        new = stage(_covered(found), "covered")
+        covered = new if covered is None else covered.union(new)
+        chained = stage(_beyond(found, covered), "beyond")
         if chained.isEmpty():
             break
     aligned = _passages(aligned).select("node", "hub", "start", "end", "other_start", "other_end", "similarity").distinct()
