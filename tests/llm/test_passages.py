@@ -202,3 +202,44 @@ def test_seeds_are_matched_in_one_pass_and_texts_cut_in_one():
     assert sorted(out, key=lambda r: r[:2]) == [
         (7, 1, 3, "b c", 9, points, 0, 2), (8, 0, 2, "d e", *nothing), (8, 2, 9, "f g", *nothing), (9, 0, 1, "h", *nothing)
     ]
+
+
+def test_what_a_stage_shuffled_leaves_the_disk(spark):
+    """Within, the files go with the write; the setting is as before afterwards, also after an error."""
+    import glob
+    import os
+
+    from tokenloom import session
+
+    folder = spark.conf.get("spark.local.dir", os.environ.get("SPARK_LOCAL_DIRS", "/tmp"))
+    files = lambda: {f for f in glob.glob(f"{folder}/**/blockmgr-*/*/shuffle_*.data", recursive=True)}
+    before, known = spark.conf.get(session._DROPS_SHUFFLES), files()
+    with pytest.raises(KeyError), session.shuffles_dropped(spark):
+        assert session.stage(spark.range(50_000).repartition("id"), "dropped").count() == 50_000
+        left = files() - known
+        raise KeyError
+    assert not [f for f in left if os.path.exists(f) and os.path.getsize(f) > 20_000]
+    assert spark.conf.get(session._DROPS_SHUFFLES) == before
+    known = files()
+    session.stage(spark.range(50_000).repartition("id"), "kept")
+    assert [f for f in files() - known if os.path.getsize(f) > 20_000]
+    rounds = session.Rounds("rounds")
+    assert [rounds.add(spark.range(n)).count() for n in (2, 0, 5)] == [2, 0, 5]
+    assert rounds.all().count() == 7 and rounds.all(1).count() == 5
+
+
+def test_seeds_of_texts_together_and_links_dealt_out(spark):
+    """Texts side by side have the seeds that each has alone; links of a hub beyond a share go to several groups, none lost."""
+    rng = random.Random(6)
+    texts = [" ".join(words_of(rng, n)) for n in (60, 3, 0, 50, 400)] + [" ".join(["same"] * 200), " ".join(words_of(rng, 49))]
+    *found, counts, sizes = passages.seeds(texts)
+    end = 0
+    for text, n, size in zip(texts, counts, sizes):
+        alone = passages.seeds([text])
+        assert size == alone[4][0] == len(text.split()) and n == alone[3][0] and (n > 0) == (size >= 50)
+        assert all((a[end : end + n] == b).all() for a, b in zip(found, alone))
+        end += n
+    passage = words_of(rng, 60)
+    rows = [(i, " ".join(words_of(rng, rng.randint(3, 30)) + passage + words_of(rng, 5))) for i in range(150)]
+    linked = {i for r in found_of(spark, rows) for i in (r["doc_id"], r["other_id"])}
+    assert linked == set(range(150))

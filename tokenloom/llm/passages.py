@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.llm.hashing import text_key, text_or_empty, windows_hash, word_hashes
-from tokenloom.session import stage
+from tokenloom.session import Rounds, shuffles_dropped, stage
 
 # Words of a seed, the share of runs that are seeds (one in so many), runs of which one is a seed at least, and hubs of a seed.
 SEED, SAMPLE, GUARD, HUBS = 4, 4, 32, 3
@@ -58,6 +58,8 @@ GAP_COST = 1 / 96
 DROP, EDIT_COST, SHIFT = 15, 3, 8
 # Words fetched around a chain at first, and how much more each time an alignment meets their end.
 MARGIN, WIDER, TILE = 32, 8, 32
+# Characters of texts whose seeds are made together, one text's more at most.
+SEEDED_CHARACTERS = 1 << 20
 # Characters of cut words that go on as one batch, one text's more at most.
 CUT_CHARACTERS = 1 << 22
 # Most words that chains fetched together may span.
@@ -68,18 +70,31 @@ CELL = 16
 BEYOND = (1, 2, 4, 8, 16)
 # Seeds with more than one in so many of all rows are matched on the map side: there are few of them.
 HOT_SHARE = 4096
+# What more than one in so many of all links ask of a hub is dealt out with them.
+LINK_SHARE = 1024
 # Texts whose names (a long) may be broadcast to find them without moving the others.
 BROADCAST_TEXTS = 200_000
 
 
-def seeds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sampled seed hashes, their word positions and sketches, and the number of words."""
-    h = word_hashes(text.lower().split())
-    if len(h) < MIN_WORDS:
-        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), len(h)
+def seeds(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sampled seed hashes of texts, one text after the other, with their word positions and sketches; how many of
+    them each text has, and its number of words."""
+    split = [t.lower().split() for t in texts]
+    sizes = np.array([len(w) for w in split], np.int64)
+    held = np.flatnonzero(sizes >= MIN_WORDS)
+    counts = np.zeros(len(texts), np.int64)
+    if not len(held):
+        return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), counts, sizes
+    h = word_hashes([w for i in held for w in split[i]])
+    long = sizes[held]
+    ends = np.cumsum(long)
+    starts = ends - long
     runs = windows_hash(h, SEED)
-    at = np.flatnonzero(runs % np.uint64(SAMPLE) == 0)
-    around = np.concatenate([[-1], at, [len(runs)]])
+    sampled = runs % np.uint64(SAMPLE) == 0
+    # Runs that begin in one text and end in the next are none.
+    sampled[(ends[:-1, None] - np.arange(1, SEED)).ravel()] = False
+    at = np.flatnonzero(sampled)
+    around = np.sort(np.concatenate([at, starts - 1, ends - SEED + 1]))
     extra = []
     for gap in np.flatnonzero(np.diff(around) > GUARD):
         first, last = int(around[gap]) + 1, int(around[gap + 1])
@@ -87,24 +102,36 @@ def seeds(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         extra.append(first + least + np.arange(len(least)))
     if extra:
         at = np.unique(np.concatenate([at, *extra]))
-    bits = np.zeros(len(h) + 2 * AROUND + SEED, np.int64)
-    bits[AROUND : AROUND + len(h)] = 1 << ((h >> np.uint64(7)) % np.uint64(SIDE_BITS)).astype(np.int64)
-    side = lambda first: np.bitwise_or.reduce(bits[(at + first)[:, None] + np.arange(AROUND)], axis=1)
-    sketch = (side(0) | side(AROUND + SEED) << SIDE_BITS).astype(np.uint32).view(np.int32)
-    return runs[at], at.astype(np.int32), sketch, len(h)
+    # Texts lie apart here, so that nothing around a seed is of another text.
+    apart = AROUND * np.arange(1, len(held) + 1)
+    near = np.zeros(len(h) + AROUND * (len(held) + 1), np.uint16)
+    near[np.arange(len(h)) + np.repeat(apart, long)] = np.uint16(1) << ((h >> np.uint64(7)) % np.uint64(SIDE_BITS)).astype(np.uint16)
+    width = 1
+    while width < AROUND:
+        step = min(width, AROUND - width)
+        near, width = near[:-step] | near[step:], width + step
+    of = np.searchsorted(starts, at, "right") - 1
+    side = lambda first: near[at + apart[of] + first].astype(np.uint32)
+    sketch = (side(-AROUND) | side(SEED) << np.uint32(SIDE_BITS)).view(np.int32)
+    counts[held] = np.bincount(of, minlength=len(held))
+    return runs[at], (at - starts[of]).astype(np.int32), sketch, counts, sizes
 
 
 def _seed(batches):
     for batch in batches:
-        for begin in range(0, batch.num_rows, 512):
-            part = batch.slice(begin, 512)
-            found = [seeds(t) for t in part.column(3).to_pylist()]
-            offsets = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(c))) for c in (
-                [f[0].view(np.int64) for f in found], [f[1] for f in found], [f[2] for f in found])]
-            lengths = pa.array([f[3] for f in found], pa.int32())
+        texts, begin = batch.column(3).to_pylist(), 0
+        while begin < len(texts):
+            end, size = begin, 0
+            while end < len(texts) and end - begin < 512 and size < SEEDED_CHARACTERS:
+                size += len(texts[end])
+                end += 1
+            *found, counts, sizes = seeds(texts[begin:end])
+            offsets = pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(c)) for c in (found[0].view(np.int64), *found[1:])]
+            part = batch.slice(begin, end - begin)
             names = ["doc_id", "node", "text_key", "n_words", "seeds", "places", "sketches"]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], lengths, *lists], names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes.astype(np.int32)), *lists], names)
+            begin = end
 
 
 def _frequent(batches):
@@ -151,6 +178,8 @@ def chains(points: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
     before a point's other place is the point's best predecessor.
     """
     points = sorted(set(points), key=lambda x: (x[0], -x[1]))
+    if all(a[0] < b[0] and a[1] < b[1] for a, b in zip(points, points[1:])):
+        return _traced(points, *_in_line(points))
     rank = {h: i for i, h in enumerate(sorted({h for _, h in points}))}
     tree, score, before = Fenwick(len(rank)), [], []
     for i, (p, h) in enumerate(points):
@@ -161,6 +190,23 @@ def chains(points: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
         score.append(value + 1)
         before.append(j)
         tree.put(rank[h], (score[i] + GAP_COST * (p + h), i))
+    return _traced(points, score, before)
+
+
+def _in_line(points) -> tuple[list[float], list[int]]:
+    """Scores and predecessors of points that rise on both sides: there the point before is the best predecessor,
+    since score + GAP_COST * (place + other place) rises from each point to the next."""
+    score, before, entry = [], [], -1e18
+    for i, (p, h) in enumerate(points):
+        value = entry - GAP_COST * (p + h)
+        before.append(i - 1 if value > 0 else -1)
+        score.append(max(value, 0.0) + 1)
+        entry = score[i] + GAP_COST * (p + h)
+    return score, before
+
+
+def _traced(points, score, before) -> list[list[tuple[int, int]]]:
+    """Chains from the points with the best scores back, each point in one of them."""
     used, found = set(), []
     for i in sorted(range(len(points)), key=lambda i: -score[i]):
         chain = []
@@ -207,12 +253,21 @@ _POINTS = pa.list_(pa.struct([("place", pa.int32()), ("hub_place", pa.int32())])
 
 def _chain(batches):
     for batch in batches:
-        rows = []
-        for node, hub, points in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            for together in _near(chains(_apart((x["place"], x["hub_place"]) for x in points))):
-                rows.append((node, hub, [{"place": p, "hub_place": h} for c in together for p, h in c]))
-        columns = list(zip(*rows)) if rows else [[]] * 3
-        arrays = [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), _POINTS))]
+        nodes, hubs, lists = (batch.column(i) for i in range(3))
+        flat = pc.list_flatten(lists)
+        points = list(zip(*(pc.struct_field(flat, name).to_pylist() for name in ("place", "hub_place"))))
+        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy()))).tolist()
+        of, sizes, out = [], [0], []
+        for i in range(batch.num_rows):
+            for together in _near(chains(_apart(points[ends[i] : ends[i + 1]]))):
+                for chain in together:
+                    out += chain
+                of.append(i)
+                sizes.append(len(out))
+        sides = np.array(out, np.int32).reshape(-1, 2).T
+        places = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in sides], fields=list(_POINTS.value_type))
+        taken = pa.array(of, pa.int64())
+        arrays = [nodes.take(taken), hubs.take(taken), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), places)]
         yield pa.RecordBatch.from_arrays(arrays, ["node", "hub", "points"])
 
 
@@ -245,39 +300,62 @@ def _cut(batches):
             parts, size, begin = ([], []), 0, i + 1
 
 
-def extend(a: list[str], b: list[str], i: int, j: int, step: int) -> list[tuple[int, int, int]]:
-    """The best extensions of a match over more and more edits, from a[i], b[j] on in one direction.
+def _run(a: list[str], b: list[str], x: int, y: int) -> int:
+    """The number of equal words from a[x], b[y] on."""
+    start, end = x, x + min(len(a) - x, len(b) - y)
+    while x + 16 <= end and a[x : x + 16] == b[y : y + 16]:
+        x, y = x + 16, y + 16
+    while x < end and a[x] == b[y]:
+        x, y = x + 1, y + 1
+    return x - start
+
+
+def extend(a: list[str], b: list[str]) -> list[tuple[int, int, int]]:
+    """The best extensions of a match over more and more edits, from the first words on.
 
     Gives (words of a, words of b, equal words) after 0, 1, 2 ... edits, each at the end of a run of
     equal words. For each number of edits the furthest place on every diagonal follows from those
     of one edit less: a changed, a left-out or an added word, then equal words.
     """
-    n, m = (len(a) - i, len(b) - j) if step > 0 else (i + 1, j + 1)
-
-    def run(x: int, y: int) -> int:
-        start = x
-        while x < n and y < m and a[i + step * x] == b[j + step * y]:
-            x, y = x + 1, y + 1
-        return x - start
-
-    equal = run(0, 0)
-    reached, found = {0: (equal, equal)}, [(equal, equal, equal)]  # diagonal y - x: (x, equal words)
+    n, m = len(a), len(b)
+    equal = _run(a, b, 0, 0)
+    # By diagonal y - x: x and the equal words, as one number that is greater the further x is.
+    word, low = 1 << 32, (1 << 32) - 1
+    reached, found = {0: equal * (word + 1)}, [(equal, equal, equal)]
     best, edits = equal, 0
     while reached:
+        # So many edits more are tried if no equal word follows, and none does where the words within their reach differ.
+        more = -((best - DROP - max(v & low for v in reached.values())) // EDIT_COST) - edits
+        xs, ys = [v >> 32 for v in reached.values()], [(v >> 32) + d for d, v in reached.items()]
+        if set(a[min(xs) : max(xs) + more + 1]).isdisjoint(b[min(ys) : max(ys) + more + 1]):
+            break
         edits += 1
-        further: dict[int, tuple[int, int]] = {}
-        for d, (x, equal) in reached.items():
-            for e, x2 in ((d, x + 1), (d - 1, x + 1), (d + 1, x)):
-                y2 = x2 + e
-                if x2 <= n and y2 <= m and abs(e) <= SHIFT and (e not in further or further[e] < (x2, equal)):
-                    further[e] = (x2, equal)
-        reached = {}
-        for d, (x, equal) in further.items():
-            more = run(x, x + d)
-            if equal + more - EDIT_COST * edits > best - DROP:
-                reached[d] = (x + more, equal + more)
+        further: dict[int, int] = {}
+        get = further.get
+        for d, v in reached.items():
+            x, w = v >> 32, v + word
+            if x < n:
+                if x + d < m and get(d, -1) < w:
+                    further[d] = w
+                if d > -SHIFT and get(d - 1, -1) < w:
+                    further[d - 1] = w
+            if d < SHIFT and x + d < m and get(d + 1, -1) < v:
+                further[d + 1] = v
+        reached, least = {}, best - DROP + EDIT_COST * edits
+        top = (-1, -1, 0)
+        for d, v in further.items():
+            x = v >> 32
+            y = x + d
+            if x < n and y < m and a[x] == b[y]:
+                v += (1 + _run(a, b, x + 1, y + 1)) * (word + 1)
+            equal = v & low
+            if equal > least:
+                reached[d] = v
+                x = v >> 32
+                if equal > top[0] or (equal == top[0] and x > top[1]):
+                    top = equal, x, d
         if reached:
-            d, (x, equal) = max(reached.items(), key=lambda r: (r[1][1], r[1][0]))
+            equal, x, d = top
             if equal > found[-1][2]:
                 found.append((x, x + d, equal))
             best = max(best, equal - EDIT_COST * edits)
@@ -289,11 +367,13 @@ def align(a: list[str], b: list[str], i: int, j: int) -> tuple[int, int, int, in
 
     Gives (start, end, other start, other end, equal words).
     """
-    right, left = extend(a, b, i, j, 1), extend(a, b, i - 1, j - 1, -1)
-    chosen = max(
-        ((max(x1 + x0, y1 + y0), e1 + e0, x0, x1, y0, y1) for x1, y1, e1 in right for x0, y0, e0 in left
-         if e1 + e0 >= MIN_SIMILARITY * max(x1 + x0, y1 + y0)),
-    )
+    right, left = extend(a[i:], b[j:]), extend(a[:i][::-1], b[:j][::-1])
+    chosen = (-1,)
+    for x1, y1, e1 in right:
+        for x0, y0, e0 in left:
+            length = max(x1 + x0, y1 + y0)
+            if length >= chosen[0] and e1 + e0 >= MIN_SIMILARITY * length:
+                chosen = max(chosen, (length, e1 + e0, x0, x1, y0, y1))
     _, equal, x0, x1, y0, y1 = chosen
     return i - x0, i + x1, j - y0, j + y1, equal
 
@@ -304,33 +384,48 @@ _ALIGNED = [
 ]
 
 
-def _goes_on(words: list[str], missing: int, from_end: bool = False) -> list[int | None]:
-    """Hashes of the next words, for each number of BEYOND, nulls where a passage cannot need them.
+def _goes_on(words: list[str], missing: int, from_end: bool = False) -> list[int | None] | None:
+    """Hashes of the next words, for each number of BEYOND, nulls where a passage cannot need them; none if it lacks nothing.
 
     An alignment that lacks ``missing`` words of a passage is a part of one only if that goes on for half
     of them on one side. Longer numbers are kept, to meet texts with shorter parts.
     """
     need = -(-missing // 2)
-    own = max(k for k in BEYOND if k <= need) if need > 0 else None
+    if need <= 0:
+        return None
+    own = max(k for k in BEYOND if k <= need)
     keys = []
     for k in BEYOND:
+        if k < own or len(words) < k:
+            keys.append(None)
+            continue
         near = words[len(words) - k :] if from_end else words[:k]
-        usable = own is not None and k >= own and len(words) >= k
-        keys.append(xxhash.xxh64_intdigest(" ".join(near).encode("utf-8", "surrogatepass")) - (1 << 63) if usable else None)
+        keys.append(xxhash.xxh64_intdigest(" ".join(near).encode("utf-8", "surrogatepass")) - (1 << 63))
     return keys
 
 
 def _align(batches):
     """One row for each alignment: its place, hashes of the words that come before and behind it in the
-    text, and whether it met the end of what was fetched."""
+    text, and whether it met the end of what was fetched. What is cut from a hub comes before its links."""
     far = BEYOND[-1] + SHIFT
+    at, b = None, []
     for batch in batches:
         rows = []
-        for node, hub, points, lo, hi, other_lo, other_hi, a, b in zip(*(batch.column(i).to_pylist() for i in range(9))):
-            a, b, done = a.split(" "), b.split(" "), []
+        nodes, lows, highs, parts, hubs, others, tops = (batch.column(i).to_pylist() for i in (0, 1, 2, 3, 4, 6, 7))
+        lists = batch.column(5)
+        flat = pc.list_flatten(lists)
+        points = list(zip(*(pc.struct_field(flat, name).to_pylist() for name in ("place", "hub_place"))))
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()))).tolist()
+        for row, (node, lo, hi, part, hub, other_lo, other_hi) in enumerate(zip(nodes, lows, highs, parts, hubs, others, tops)):
+            if hub is None:
+                at, b = (node, lo, hi), part.split(" ")
+                continue
+            if at != (hub, other_lo, other_hi):
+                raise ValueError(f"words [{other_lo}, {other_hi}) of text {hub} are missing")
+            a, done = part.split(" "), []
             a_goes_on, b_goes_on = len(a) == hi - lo, len(b) == other_hi - other_lo
-            for point in points:
-                i, j = point["place"] - lo, point["hub_place"] - other_lo
+            for place, hub_place in points[ends[row] : ends[row + 1]]:
+                i, j = place - lo, hub_place - other_lo
                 # Inside a passage that was found, or inside another alignment on both sides.
                 if any(x0 <= i < x1 and (passage or y0 <= j < y1) for x0, x1, y0, y1, passage in done):
                     continue
@@ -344,7 +439,7 @@ def _align(batches):
                 missing = max(0, MIN_WORDS - length)
                 rows.append((node, hub, lo + x0, lo + x1, other_lo + y0, other_lo + y1, equal / max(length, 1),
                              _goes_on(a[max(0, x0 - BEYOND[-1]) : x0], missing, True), _goes_on(a[x1 : x1 + BEYOND[-1]], missing),
-                             cut, point["place"], point["hub_place"]))
+                             cut, place, hub_place))
         columns = zip(*rows) if rows else [[]] * len(_ALIGNED)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, _ALIGNED)], [n for n, _ in _ALIGNED])
 
@@ -450,19 +545,26 @@ def _matched(held: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 _PAIRED = ["seed", "node", "place", "sketch", "hub", "hub_place", "alike"]
+_MATCH = ["node", "hub", "place", "hub_place"]
 
 
 def _pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-    """:func:`_matched` of whole seeds, whose rows come in order of seed, node and place."""
+    """:func:`_matched` of whole seeds, whose rows come in order of seed."""
 
     def begins(*columns):
         new = np.ones(len(columns[0]), bool)
         new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
         return np.flatnonzero(new)
 
+    first = begins(rows[0])
+    sizes = np.diff(np.append(first, len(rows[0])))
+    rows = [c[np.repeat(sizes > 1, sizes)] for c in rows]
+    if not len(rows[0]):
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (*rows, *rows[1:3], np.empty(0, bool))], _PAIRED)
+    rows = [c[np.lexsort(rows[2::-1])] for c in rows]
     seed, node = rows[:2]
-    first = begins(seed)
-    sizes = np.diff(np.append(first, len(seed)))
+    sizes = sizes[sizes > 1]
+    first = np.cumsum(sizes) - sizes
     several = node[first] != node[first + sizes - 1]
     seed, node, place, sketch = (c[np.repeat(several, sizes)] for c in rows)
     sizes = sizes[several]
@@ -478,7 +580,7 @@ def _pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _paired(batches):
-    """:func:`_pairs` of rows in order; what the last seed of a batch has waits for the next."""
+    """:func:`_pairs` of rows in order of seed; what the last seed of a batch has waits for the next."""
     waiting = None
     for batch in batches:
         rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -493,36 +595,47 @@ def _paired(batches):
         yield _pairs(waiting)
 
 
+def _hubbed(batches):
+    """Matches of all holders of seeds that come in order: with the first HUBS hubs, then with all further ones."""
+    kinds, names = (pa.int64(), pa.int64(), pa.int32(), pa.int32()), ["seed", "node", "place", "sketch"]
+    for batch in _paired(batches):
+        for left in range(HUBS, 0, -1):
+            alike = batch.column(6)
+            yield pa.RecordBatch.from_arrays([c.filter(alike) for c in (batch.column(1), batch.column(4), batch.column(2), batch.column(5))], _MATCH)
+            unlike = [c.filter(pc.invert(alike)) for c in batch.columns[:4]]
+            if left > 1:
+                batch = _pairs([c.to_numpy() for c in unlike])
+        yield from _led([pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(unlike, kinds)], names)])
+
+
 def seed_matches(seeded: DataFrame) -> DataFrame:
     """``(node, hub, place, hub_place)`` of seeds in like surroundings. ``seeded`` has each text once."""
-    held = seeded.select("node", F.explode(F.arrays_zip("seeds", "places", "sketches")).alias("s")).select(
-        F.col("s.seeds").alias("seed"), "node", F.col("s.places").alias("place"), F.col("s.sketches").alias("sketch")
+    held = seeded.select("node", "places", "sketches", F.posexplode("seeds").alias("number", "seed")).select(
+        "seed", "node", F.get("places", "number").alias("place"), F.get("sketches", "number").alias("sketch")
     )
     counted = seeded.select("seeds").mapInArrow(_frequent, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
     counted = stage(counted, "frequent")
     total = counted.where("seed IS NULL").first()
     # 2 * HOT_SHARE rows at most.
     often = F.col("seed").isNotNull() & (F.col("n") > (total["n"] if total else 0) // (2 * HOT_SHARE))
-    hot = F.broadcast(counted.where(often).select("seed"))
-    rest = held.join(hot, "seed", "left_anti").repartition("seed").sortWithinPartitions("seed", "node", "place")
-    frequent = held.join(hot, "seed", "left_semi")
-    paired = rest.mapInArrow(_paired, "seed long, node long, place int, sketch int, hub long, hub_place int, alike boolean")
-    found = stage(paired.union(_matched(frequent, F.broadcast(_ends(frequent)))), "matches")
-    matches = found.where("alike")
-    for _ in range(HUBS - 1):
-        unlike = found.where("NOT alike").select("seed", "node", "place", "sketch")
-        found = stage(_matched(unlike, _ends(unlike)), "matches")
-        matches = matches.union(found.where("alike"))
+    hot = counted.where(often).select("seed")
+    matched = "node long, hub long, place int, hub_place int"
+    if hot.isEmpty():
+        return held.repartition("seed").sortWithinPartitions("seed").mapInArrow(_hubbed, matched)
+    matches = held.join(F.broadcast(hot), "seed", "left_anti").repartition("seed").sortWithinPartitions("seed").mapInArrow(_hubbed, matched)
+    rest, found = stage(held.join(F.broadcast(hot), "seed", "left_semi"), "held"), Rounds("matches")
+    for _ in range(HUBS):
+        ends = _ends(rest)
+        rest = found.add(_matched(rest, F.broadcast(ends))).where("NOT alike").select("seed", "node", "place", "sketch")
     # What is unlike all of these hubs, of which there may be any number.
-    rest = found.where("NOT alike").select("seed", "node", "place", "sketch").repartition("seed").sortWithinPartitions("seed", "node", "place")
-    further = rest.mapInArrow(_led, "node long, hub long, place int, hub_place int")
-    return matches.select("node", "hub", "place", "hub_place").union(further)
+    further = rest.repartition("seed").sortWithinPartitions("seed", "node", "place").mapInArrow(_led, matched)
+    return matches.union(found.all().where("alike").select(*_MATCH)).union(further)
 
 
 def _fetched(chained: DataFrame, texts: DataFrame, margin: int) -> DataFrame:
-    """Chains with the words around them on both sides, from one row of each text.
+    """Chains with the words around them, from one row of each text, in order behind what is cut from their hubs.
 
-    A text moves once. What is cut for a chain goes on with it; only the hub's side is joined."""
+    A text moves once, what is cut from it once more. What many links ask of a hub is dealt out with them over several groups."""
 
     def tile(side, name):
         first, last = F.array_min(f"points.{side}"), F.array_max(f"points.{side}")
@@ -532,37 +645,45 @@ def _fetched(chained: DataFrame, texts: DataFrame, margin: int) -> DataFrame:
         ]
 
     chained = stage(chained.select("node", "hub", "points", *tile("place", "p"), *tile("hub_place", "h")), "chains")
-    spans = chained.groupBy(F.col("hub").alias("node")).agg(F.collect_set(F.struct(F.col("h_lo").alias("lo"), F.col("h_hi").alias("hi"))).alias("spans"))
-    links = chained.groupBy("node").agg(F.collect_list(F.struct("hub", "points", "p_lo", "p_hi", "h_lo", "h_hi")).alias("links"))
-    wanted = stage(spans.join(links, "node", "full"), "wanted")
+    span, link = F.struct(F.col("h_lo").alias("lo"), F.col("h_hi").alias("hi")), F.struct("hub", "points", "p_lo", "p_hi", "h_lo", "h_hi")
+    sides = F.explode(F.array(
+        F.struct("node", F.when(F.lit(False), span).alias("span"), link.alias("link")),
+        F.struct(F.col("hub").alias("node"), span.alias("span"), F.when(F.lit(False), link).alias("link")),
+    ))
+    wanted = chained.select(sides.alias("side")).groupBy("side.node").agg(F.collect_set("side.span").alias("spans"), F.collect_list("side.link").alias("links"))
+    wanted = stage(wanted, "wanted")
     if wanted.count() <= BROADCAST_TEXTS:
         texts = texts.join(F.broadcast(wanted.select("node")), "node", "left_semi")
     whole = texts.groupBy("node").agg(F.first("text").alias("text"))
     schema = "node long, lo int, hi int, part string, hub long, points array<struct<place:int,hub_place:int>>, h_lo int, h_hi int"
-    parts = stage(whole.join(wanted, "node").select("node", "spans", "links", "text").mapInArrow(_cut, schema), "parts")
-    own = parts.where("hub IS NOT NULL").select(
-        "node", "hub", "points", F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi"), "h_lo", "h_hi", F.col("part").alias("a")
+    parts = whole.join(wanted, "node").select("node", "spans", "links", "text").mapInArrow(_cut, schema)
+    of = [F.coalesce(a, b).alias(name) for name, a, b in (("of", "hub", "node"), ("of_lo", "h_lo", "lo"), ("of_hi", "h_hi", "hi"))]
+    parts = parts.select("*", *of)
+    most = chained.count() // LINK_SHARE + 64
+    # LINK_SHARE rows at most.
+    asked = chained.groupBy(F.col("hub").alias("of"), F.col("h_lo").alias("of_lo"), F.col("h_hi").alias("of_hi")).agg(F.count("*").alias("n")).where(F.col("n") > most)
+    groups = F.coalesce(F.ceil(F.col("n") / most), F.lit(1))
+    dealt = F.when(F.col("hub").isNull(), F.sequence(F.lit(0).cast("long"), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), groups)))
+    parts = parts.join(F.broadcast(asked), ["of", "of_lo", "of_hi"], "left").withColumn("group", F.explode(dealt))
+    ends = ["of", "of_lo", "of_hi", "group"]
+    return parts.repartition(*ends).sortWithinPartitions(*ends, F.col("hub").asc_nulls_first()).select(
+        "node", "lo", "hi", "part", "hub", "points", "h_lo", "h_hi"
     )
-    other = parts.where("hub IS NULL").select(F.col("node").alias("hub"), F.col("lo").alias("h_lo"), F.col("hi").alias("h_hi"), F.col("part").alias("b"))
-    both = own.join(other, ["hub", "h_lo", "h_hi"])
-    return both.select("node", "hub", "points", "p_lo", "p_hi", "h_lo", "h_hi", "a", "b")
 
 
-def _aligned(chained: DataFrame, texts: DataFrame) -> DataFrame:
-    """Alignments of chains, none of them cut short by what was fetched."""
+def _aligned(chained: DataFrame, texts: DataFrame, rounds: Rounds) -> DataFrame:
+    """Alignments of chains, none of them cut short by what was fetched. All go to ``rounds``."""
     schema = (
         "node long, hub long, start long, end long, other_start long, other_end long, similarity double, "
         "before array<long>, behind array<long>, cut boolean, place int, hub_place int"
     )
-    margin, whole = MARGIN, None
+    margin, first = MARGIN, rounds.number
     while True:
-        found = stage(_fetched(chained, texts, margin).mapInArrow(_align, schema), "aligned")
-        done = found.where("NOT cut")
-        whole = done if whole is None else whole.union(done)
+        found = rounds.add(_fetched(chained, texts, margin).mapInArrow(_align, schema))
         point = F.array(F.struct(F.col("place"), F.col("hub_place")))
         chained = found.where("cut").select("node", "hub", point.alias("points"))
         if chained.isEmpty():
-            return whole
+            return rounds.all(first).where("NOT cut")
         margin *= WIDER
 
 
@@ -582,32 +703,34 @@ def _covered(aligned: DataFrame) -> DataFrame:
 def _beyond(found: DataFrame, covered: DataFrame) -> DataFrame:
     """Points from which texts go on alike, or came alike, where they leave their hub by the alignments ``found``,
     and at least one of them has no passage there yet by the stretches ``covered``."""
-    covered = covered.distinct().withColumn("known", F.lit(True))
-
-    def side(hub_place: str, place: Column, key: str) -> DataFrame:
-        left = found.select("hub", F.col(hub_place).alias("at"), "node", place.cast("int").alias("place"), F.posexplode(key).alias("words", "key"))
-        left = left.where(F.col("key").isNotNull()).withColumn("cell", F.floor(F.col("place") / CELL).cast("long"))
-        left = left.join(covered, ["node", "cell"], "left").withColumn("new", F.col("known").isNull())
-        ends = ["hub", "at", "words", "key"]
-        first = left.groupBy(*ends).agg(F.min(F.struct("new", "node", "place")).alias("low"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-        return left.where("new").join(first, ends).where("node != low.node").select(
-            "node", F.col("low.node").alias("hub"), F.array(F.struct("place", F.col("low.place").alias("hub_place"))).alias("points")
-        )
-
-    return side("other_end", F.col("end"), "behind").union(side("other_start", F.col("start") - 1, "before")).distinct()
-
-
-def _clashes(keyed: DataFrame) -> DataFrame | None:
+    ways = [
+        F.struct(F.lit(True).alias("behind"), F.col("other_end").alias("at"), F.col("end").cast("int").alias("place"), F.col("behind").alias("keys")),
+        F.struct(F.lit(False).alias("behind"), F.col("other_start").alias("at"), (F.col("start") - 1).cast("int").alias("place"), F.col("before").alias("keys")),
+    ]
+    left = found.where("behind IS NOT NULL").select("hub", "node", F.explode(F.array(*ways)).alias("way")).select("hub", "node", "way.*")
+    left = left.withColumn("cell", F.floor(F.col("place") / CELL).cast("long"))
+    left = left.join(covered.distinct().withColumn("known", F.lit(True)), ["node", "cell"], "left").withColumn("new", F.col("known").isNull())
+    left = left.select("hub", "behind", "at", "node", "place", "new", F.posexplode("keys").alias("words", "key")).where("key IS NOT NULL")
+    ends = ["hub", "behind", "at", "words", "key"]
+    first = left.groupBy(*ends).agg(F.min(F.struct("new", "node", "place")).alias("low"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    return left.where("new").join(first, ends).where("node != low.node").select(
+        "node", F.col("low.node").alias("hub"), F.array(F.struct("place", F.col("low.place").alias("hub_place"))).alias("points")
+    ).distinct()
+
+
+def _texts(keyed: DataFrame) -> DataFrame:
+    """``(node, owner, n, clash)``: the least id and the rows of each text, and whether different texts share its 64-bit hash."""
+    key = F.xxhash64("text_key")
+    return keyed.groupBy("node").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n"), (F.min(key) != F.max(key)).alias("clash"))
+
+
+def _clashes(keyed: DataFrame, shared: DataFrame) -> DataFrame:
     """``(node, least)`` of 64-bit hashes that different texts share, with the least key: next to none, and none as a rule."""
-    texts = keyed.select("node", "text_key").distinct()
-    found = stage(texts.groupBy("node").agg(F.min("text_key").alias("least"), F.count("*").alias("n")).where("n > 1").select("node", "least"), "clashes")
-    return None if found.isEmpty() else found
+    return stage(keyed.join(F.broadcast(shared), "node").groupBy("node").agg(F.min("text_key").alias("least")), "clashes")
 
 
-def _named(keyed: DataFrame, clashes: DataFrame | None) -> DataFrame:
+def _named(keyed: DataFrame, clashes: DataFrame) -> DataFrame:
     """``keyed`` with a node of its own for every text: of texts with one hash all but the least get another."""
-    if clashes is None:
-        return keyed
     joined = keyed.join(F.broadcast(clashes), "node", "left")
     again = F.col("least").isNotNull() & (F.col("least") != F.col("text_key"))
     return joined.withColumn("node", F.when(again, F.xxhash64("text_key", F.lit("again"))).otherwise(F.col("node"))).drop("least")
@@ -615,12 +738,20 @@ def _named(keyed: DataFrame, clashes: DataFrame | None) -> DataFrame:
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, kind, start, end, other_id, other_start, other_end, similarity)``."""
+    with shuffles_dropped(docs.sparkSession):
+        return _repeated(docs)
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("node"), text_key().alias("text_key"), text_or_empty().alias("text"))
     schema = "doc_id long, node long, text_key binary, n_words int, seeds array<long>, places array<int>, sketches array<int>"
     seeded = stage(keyed.mapInArrow(_seed, schema), "seeds")
-    clashes = _clashes(seeded)
-    seeded, texts = _named(seeded, clashes), _named(keyed, clashes)
-    least = stage(seeded.groupBy("node").agg(F.min("doc_id").alias("owner"), F.count("*").alias("n")), "texts")
+    texts, least = keyed, stage(_texts(seeded), "texts")
+    shared = least.where("clash").select("node")
+    if not shared.isEmpty():
+        clashes = _clashes(seeded, shared)
+        seeded, texts = _named(seeded, clashes), _named(keyed, clashes)
+        least = stage(_texts(seeded), "texts")
     several = least.where("n > 1")
     # One row of each text: its owner's. Rows that repeat id and text repeat points, which count once.
     owned = several.select(F.col("node").alias("of"), "owner")
@@ -630,16 +761,14 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     matches = seed_matches(distinct)
     grouped = matches.groupBy("node", "hub").agg(F.collect_list(F.struct("place", "hub_place")).alias("points"))
     chained = grouped.mapInArrow(_chain, "node long, hub long, points array<struct<place:int,hub_place:int>>")
-    aligned = covered = None
+    rounds, covered = Rounds("aligned"), Rounds("covered")
     while True:
-        found = _aligned(chained, texts)
-        aligned = found if aligned is None else aligned.union(found)
-        new = stage(_covered(found), "covered")
-        covered = new if covered is None else covered.union(new)
-        chained = stage(_beyond(found, covered), "beyond")
+        found = _aligned(chained, texts, rounds)
+        covered.add(_covered(found))
+        chained = stage(_beyond(found, covered.all()), "beyond")
         if chained.isEmpty():
             break
-    aligned = _passages(aligned).select("node", "hub", "start", "end", "other_start", "other_end", "similarity").distinct()
+    aligned = _passages(rounds.all().where("NOT cut")).select("node", "hub", "start", "end", "other_start", "other_end", "similarity").distinct()
     owner = least.select("node", F.col("owner").alias("doc_id"))
     passages = aligned.join(owner, "node").join(owner.select(F.col("node").alias("hub"), F.col("doc_id").alias("other_id")), "hub").select(
         "doc_id", F.lit("passage").alias("kind"), "start", "end", "other_id", "other_start", "other_end", "similarity"

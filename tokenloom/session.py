@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,10 @@ def stage_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+# Whether Spark drops the shuffle files of a query when it ends.
+_DROPS_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the staging folder and return the stored table.
 
@@ -56,6 +62,42 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within, what a stage shuffled leaves the disk once the stage is written: nothing reads it again.
+
+    Otherwise it stays until the driver happens to collect its garbage.
+    """
+    before = spark.conf.get(_DROPS_SHUFFLES)
+    spark.conf.set(_DROPS_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROPS_SHUFFLES, before)
+
+
+class Rounds:
+    """A stored table that grows by rounds and is read as one scan, however many there were."""
+
+    def __init__(self, label: str):
+        self.label, self.number, self.path, self.schema, self.spark = label, 0, None, None, None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Store ``df`` as the next round; returns its rows."""
+        if self.path is None:
+            self.spark, self.schema = df.sparkSession, df.schema
+            self.path = f"{stage_root(self.spark)}/tokenloom/{self.label}-{uuid.uuid4().hex}"
+        path = f"{self.path}/{self.number}"
+        df.write.parquet(path)
+        self.number += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self, first: int = 0) -> DataFrame:
+        """The rows of all rounds from ``first`` on."""
+        paths = [f"{self.path}/{n}" for n in range(first, self.number)]
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Use all cores for an input of few splits, such as one large row group.
 
